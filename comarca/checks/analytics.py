@@ -82,7 +82,7 @@ def j6_exact(t):
 
 @check("j7_centroid", f"SELECT id, clng AS lng, clat AS lat FROM ({POINTS}) AS p")
 def j7(t):
-    return t.est.select("id", geo.centroid_lng("municipio").alias("lng"), geo.centroid_lat("municipio").alias("lat"))
+    return geo.with_centroid(t.est, "municipio", "lng", "lat").select("id", "lng", "lat")
 
 
 CORRIDOR = "(VALUES " + ", ".join(

@@ -72,8 +72,7 @@ POINTS = f"""
 
 def located(t):
     """Establishments with made coordinates lon, lat."""
-    p = geo.synthetic_point("cnpj_completo", "business_type", "municipio")
-    return t.est.withColumn("p", p).withColumns({"lon": F.col("p.x"), "lat": F.col("p.y")}).drop("p")
+    return geo.with_synthetic_point(t.est, "cnpj_completo", "business_type", "municipio")
 
 
 @check("f1_lenient_numbers", f"""

@@ -31,39 +31,53 @@ def hub_of(digits, kind) -> Column:
     return F.element_at(order, (_col(digits) % 5 + 1).cast("int"))
 
 
-def _centroid(city, part, fold):
-    key = F.coalesce(F.lower(strip(city)), F.lit(""))
-    key = fold_accents(key) if fold else key
-    rule = None
-    for how, text, lng, lat in fixed.CENTROIDS:
+def _place(key):
+    """Number of the first centroid rule that a folded or lower-case city name meets, or 0."""
+    rule = F.lit(0)
+    for i, (how, text, _, _) in reversed(list(enumerate(fixed.CENTROIDS, 1))):
         hit = key.startswith(text) if how == "prefix" else key.contains(text)
-        value = F.lit(lng if part == "lng" else lat)
-        rule = F.when(hit, value) if rule is None else rule.when(hit, value)
+        rule = F.when(hit, i).otherwise(rule)
     return rule
 
 
-def centroid_lng(city, fold=True) -> Column:
-    return _centroid(city, "lng", fold)
+def _pick(values, index):
+    """The value at a 1-based index, NULL at 0."""
+    return F.get(F.array(*[F.lit(v) for v in values]), index - 1)
+
 
+def with_centroid(df, city, lng="clng", lat="clat", fold=True):
+    """Add the centroid of the city a name points to; NULL when no rule fits."""
+    key = F.coalesce(F.lower(strip(city)), F.lit(""))
+    named = df.withColumn("_key", fold_accents(key) if fold else key)
+    return (
+        named.withColumn("_place", _place(F.col("_key")))
+        .withColumns(
+            {lng: _pick([c[2] for c in fixed.CENTROIDS], F.col("_place")),
+             lat: _pick([c[3] for c in fixed.CENTROIDS], F.col("_place"))}
+        )
+        .drop("_key", "_place")
+    )
 
-def centroid_lat(city, fold=True) -> Column:
-    return _centroid(city, "lat", fold)
 
+def with_synthetic_point(df, company, kind, city, lng="lon", lat="lat", fold=True):
+    """Add a repeatable point per establishment: city centroid or hub plus cubic jitter.
 
-def synthetic_point(company, kind, city, fold=True) -> Column:
-    """Repeatable point for an establishment: city centroid or hub plus cubic jitter."""
-    digits = hash_digits(company)
-    hub = hub_of(digits, kind)
-    hub_lng = F.element_at(F.array(*[F.lit(h[2]) for h in fixed.HUBS]), hub)
-    hub_lat = F.element_at(F.array(*[F.lit(h[3]) for h in fixed.HUBS]), hub)
-    city_lng, city_lat = centroid_lng(city, fold), centroid_lat(city, fold)
-    spread = F.when(city_lng.isNotNull(), fixed.CITY_SPREAD).otherwise(fixed.HUB_SPREAD)
-    fx = (digits % 1000 - 500) / F.lit(500.0)
-    fy = (F.floor(digits / 1000) % 1000 - 500) / F.lit(500.0)
-    return F.struct(
-        (F.coalesce(city_lng, hub_lng) + fx * fx * fx * spread).alias("x"),
-        (F.coalesce(city_lat, hub_lat) + fy * fy * fy * spread).alias("y"),
+    The hash, the centroid and the jitter are separate projections, so each is computed once.
+    """
+    made = with_centroid(df.withColumn("_digits", hash_digits(company)), city, "_clng", "_clat", fold)
+    made = made.withColumns(
+        {
+            "_hub": hub_of("_digits", kind),
+            "_fx": (F.col("_digits") % 1000 - 500) / F.lit(500.0),
+            "_fy": (F.floor(F.col("_digits") / 1000) % 1000 - 500) / F.lit(500.0),
+            "_spread": F.when(F.col("_clng").isNull(), fixed.HUB_SPREAD).otherwise(fixed.CITY_SPREAD),
+        }
     )
+    cube = lambda c: F.col(c) * F.col(c) * F.col(c) * F.col("_spread")
+    centre = lambda c, at: F.coalesce(c, _pick([h[at] for h in fixed.HUBS], F.col("_hub")))
+    return made.withColumns(
+        {lng: centre("_clng", 2) + cube("_fx"), lat: centre("_clat", 3) + cube("_fy")}
+    ).drop("_digits", "_clng", "_clat", "_hub", "_fx", "_fy", "_spread")
 
 
 def point(lng, lat) -> Column:

@@ -1,5 +1,7 @@
 """Streets, corridor, hubs, search pages and cluster statistics."""
 
+from unicodedata import combining, normalize
+
 from pyspark.sql import DataFrame, functions as F
 
 from comarca import fixed
@@ -47,11 +49,14 @@ def corridor_city(city, fold=True):
     """First corridor city that a name equals or shares five leading letters with."""
     name = F.lower(strip(city))
     name = fold_accents(name) if fold else name
+    fold_text = lambda v: "".join(
+        c for c in normalize("NFD", v) if not combining(c)
+    )
     rule = F.lit(None).cast("string")
     for text, _, _ in reversed(fixed.CORRIDOR):
-        key = text.lower()
-        key = key.translate(str.maketrans("áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")) if fold else key
-        rule = F.when((name == key) | name.startswith(key[:5]), text).otherwise(rule)
+        start = (fold_text(text.lower()) if fold else text.lower())[:5]
+        # an equal name shares its first letters too
+        rule = F.when(name.startswith(start), text).otherwise(rule)
     return rule
 
 
@@ -231,7 +236,10 @@ def recount(clusters, points, sector, centres=None) -> DataFrame:
                 ),
             )
         )["id"]
-    counted = rows.groupBy(near.alias("cluster_id")).agg(F.count("*").alias("_n"))
+    # a point without coordinates is near no centre; a key that cannot be NULL also spares the
+    # optimizer a null filter that would repeat the whole coordinate expression
+    key = F.coalesce(near, F.lit(0)).alias("cluster_id")
+    counted = rows.groupBy(key).agg(F.count("*").alias("_n"))
     joined = clusters.drop("total_lojas").join(counted, "cluster_id", "left")
     return joined.withColumn("total_lojas", F.coalesce("_n", F.lit(0))).drop("_n")
 

@@ -6,7 +6,7 @@ from comarca import fixed
 from comarca.functions.geo import line_bounds, line_hits_box, parse_box
 from comarca.functions.text import iso, or_default_blank
 from comarca.operators.filters import of_user
-from comarca.scale import skew_join
+from comarca.scale import HOT_ROWS, skew_join
 
 
 def with_bounds(segments) -> DataFrame:
@@ -103,7 +103,7 @@ def overlay_pending(state, waiting) -> DataFrame:
     ).drop("_visited")
 
 
-def box_join(segments, boxes, detail=1) -> DataFrame:
+def box_join(segments, boxes, detail=1, min_rows=HOT_ROWS) -> DataFrame:
     """Pairs of boxes and segments that meet: ``box_id, id``.
 
     Each box is laid on a grid of its own size class, so it covers few cells however large it
@@ -135,5 +135,5 @@ def box_join(segments, boxes, detail=1) -> DataFrame:
         (F.col("min_x") <= F.col("x2")) & (F.col("max_x") >= F.col("x1"))
         & (F.col("min_y") <= F.col("y2")) & (F.col("max_y") >= F.col("y1"))
     )
-    pairs = skew_join(left, right, ["level", "cx", "cy"]).where(overlap & home_x & home_y)
+    pairs = skew_join(left, right, ["level", "cx", "cy"], min_rows=min_rows).where(overlap & home_x & home_y)
     return pairs.where(line_hits_box("geom", "x1", "y1", "x2", "y2")).select("box_id", "id")

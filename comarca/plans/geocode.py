@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from comarca.functions.geo import synthetic_point
+from comarca.functions.geo import with_synthetic_point
 from comarca.functions.text import address
 from comarca.scale import skew_join
 from comarca.sources.readers import pending
@@ -17,12 +17,12 @@ def locate(rows, gazetteer, fold=True) -> DataFrame:
     known = gazetteer.select("address", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     joined = skew_join(asked, known, ["address"], "left")
     kind = F.coalesce("business_type", F.lit("tech"))
-    made = synthetic_point("cnpj_completo", kind, "municipio", fold)
+    made = with_synthetic_point(joined, "cnpj_completo", kind, "municipio", "_x", "_y", fold)
     found = F.col("_lon").isNotNull() & F.col("_lat").isNotNull()
-    return joined.select(
+    return made.select(
         *rows.columns, "address",
-        F.when(found, F.col("_lon")).otherwise(made["x"]).alias("lon"),
-        F.when(found, F.col("_lat")).otherwise(made["y"]).alias("lat"),
+        F.when(found, F.col("_lon")).otherwise(F.col("_x")).alias("lon"),
+        F.when(found, F.col("_lat")).otherwise(F.col("_y")).alias("lat"),
         F.when(found, "nominatim").otherwise("fallback").alias("source"),
     )
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from comarca import fixed
-from comarca.functions.geo import point_geometry, stored_or, synthetic_point
+from comarca.functions.geo import point, point_geometry, stored_or, with_synthetic_point
 from comarca.functions.labels import size_label
 from comarca.functions.text import company_id, or_default
 
@@ -98,18 +98,25 @@ def stable_id(*columns):
 
 def heatmap_features(est, fold=True) -> DataFrame:
     """One GeoJSON point feature per establishment as a struct column ``feature``."""
-    have = lambda c: F.col(c) if c in est.columns else F.lit(None).cast("string")
-    company = company_id("cnpj_basico", "cnpj_ordem", "cnpj_dv")
-    kind = or_default("business_type", "retail")
-    where = stored_or(
-        have("longitude"), have("latitude"), synthetic_point(company, kind, "municipio", fold)
+    missing = {
+        c: F.lit(None).cast("string")
+        for c in ("longitude", "latitude", "cnae_fiscal", "cnae_fiscal_principal",
+                  "cnae_fiscal_descricao", "numero", "cep", "telefone_1", "porte_empresa")
+        if c not in est.columns
+    }
+    est = est.withColumns(missing) if missing else est
+    est = est.withColumns(
+        {"_company": company_id("cnpj_basico", "cnpj_ordem", "cnpj_dv"),
+         "_kind": or_default("business_type", "retail")}
     )
-    code = F.coalesce(have("cnae_fiscal").cast("string"), have("cnae_fiscal_principal"), F.lit(""))
-    text = lambda c: or_default(have(c).cast("string"), "")
+    est = with_synthetic_point(est, "_company", "_kind", "municipio", "_x", "_y", fold)
+    where = stored_or("longitude", "latitude", point("_x", "_y"))
+    code = F.coalesce(F.col("cnae_fiscal").cast("string"), "cnae_fiscal_principal", F.lit(""))
+    text = lambda c: or_default(F.col(c).cast("string"), "")
     properties = F.struct(
-        company.alias("cnpj"),
+        F.col("_company").alias("cnpj"),
         or_default("nome_fantasia", fixed.DEFAULT_NAME).alias("nome_fantasia"),
-        kind.alias("business_type"),
+        F.col("_kind").alias("business_type"),
         code.alias("cnae"),
         text("cnae_fiscal_descricao").alias("cnae_desc"),
         or_default("bairro", fixed.DEFAULT_DISTRICT).alias("bairro"),
