@@ -174,6 +174,16 @@ VIEWS = {
             CAST((p_partkey - p_partkey % 40) AS DOUBLE) / CAST(40 AS DOUBLE)
                 + CAST(p_size % 2 AS DOUBLE) AS cy
         FROM {part}""",
+    # route lines: from each line of an order to the next one
+    "route_lines": """
+        SELECT route_id, route_id * 1000 + r AS segment_id, CAST(k % 100 AS DOUBLE) AS ax,
+            CAST(k - k % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS ay, CAST(k2 % 100 AS DOUBLE) AS bx,
+            CAST(k2 - k2 % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS by_
+        FROM (SELECT l_orderkey AS route_id, l_partkey AS k,
+                row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r,
+                lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k2
+            FROM {lineitem}) AS s
+        WHERE k2 IS NOT NULL""",
     # map windows, one per supplier
     "windows": """
         SELECT s_suppkey AS box_id, CAST(s_suppkey % 37 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS x1,

@@ -6,6 +6,7 @@ from comarca import fixed
 from comarca.functions.geo import point, point_geometry, stored_or, with_synthetic_point
 from comarca.functions.labels import size_label
 from comarca.functions.text import company_id, or_default
+from comarca.scale import number_rows
 
 
 def write_json(df, path, mode="overwrite"):
@@ -17,8 +18,10 @@ def write_csv(df, path, mode="overwrite"):
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def replace_table(df, name):
-    df.write.mode("overwrite").saveAsTable(name)
+def replace_table(df, name, path=None):
+    """Replace a catalog table; ``path`` keeps its files outside the warehouse folder."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def write_grid(grid, path):
@@ -96,6 +99,13 @@ def stable_id(*columns):
     return F.xxhash64(*columns)
 
 
+def with_new_ids(target, new, order, name="id") -> DataFrame:
+    """Number new rows upwards from the largest id of the target."""
+    last = target.agg(F.coalesce(F.max(name), F.lit(0))).scalar()
+    placed = number_rows(new, order, "_place")
+    return placed.withColumn(name, last + F.col("_place")).drop("_place")
+
+
 def heatmap_features(est, fold=True) -> DataFrame:
     """One GeoJSON point feature per establishment as a struct column ``feature``."""
     missing = {
