@@ -566,11 +566,12 @@ def _filled(t):
 
 
 @check("k6_fill_points", f"""
-    SELECT e.id, coalesce(round(s.lon, 6), round(e.longitude, 6)) AS lon, coalesce(round(s.lat, 6), round(e.latitude, 6)) AS lat,
+    SELECT e.id, CAST(CAST(coalesce(s.lon, e.longitude) AS DECIMAL(11, 8)) AS DOUBLE) AS lon,
+        CAST(CAST(coalesce(s.lat, e.latitude) AS DECIMAL(10, 8)) AS DOUBLE) AS lat,
         CASE WHEN s.id IS NOT NULL THEN TRUE ELSE e.geocoded END AS geocoded
     FROM {{est}} AS e LEFT JOIN ({LOCATED}) AS s ON s.id = e.id""")
 def k6(t):
-    number = lambda c: F.round(F.col(c).cast("double"), 6)
+    number = lambda c: F.col(c).cast("double")
     return _filled(t).select("id", number("longitude").alias("lon"), number("latitude").alias("lat"), "geocoded")
 
 

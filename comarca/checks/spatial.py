@@ -176,7 +176,7 @@ GRID = f"""
             CAST(ceil((max(y) - min(y) + 3000) / 500.0) AS BIGINT) AS ny FROM ({MET}) AS m2) AS b,
         (VALUES (CAST(200 AS DOUBLE)), (CAST(500 AS DOUBLE)), (CAST(1000 AS DOUBLE))) AS w(h),
         LATERAL (SELECT unnest(range(nx)) AS ix) AS c, LATERAL (SELECT unnest(range(ny)) AS iy) AS r
-    GROUP BY ALL"""
+    GROUP BY h, ix, iy, x0, y0"""
 
 
 def _grid(t):

@@ -13,13 +13,13 @@ def _col(c):
 
 
 def hash_digits(c) -> Column:
-    """The md5 of a text, read as one large number, modulo one million."""
+    """The md5 of a text, read as one large number, modulo one million; 0 for NULL."""
     hexed = F.md5(_col(c).cast("binary"))
     rest = F.lit(0).cast("bigint")
     for start in (1, 9, 17, 25):
         limb = F.conv(F.substring(hexed, start, 8), 16, 10).cast("bigint")
         rest = (rest * F.lit(2**32 % 10**6) + limb) % F.lit(10**6)
-    return rest
+    return F.coalesce(rest, F.lit(0).cast("bigint"))
 
 
 def hub_of(digits, kind) -> Column:
@@ -63,6 +63,7 @@ def with_synthetic_point(df, company, kind, city, lng="lon", lat="lat", fold=Tru
     """Add a repeatable point per establishment: city centroid or hub plus cubic jitter.
 
     The hash, the centroid and the jitter are separate projections, so each is computed once.
+    The result is declared not NULL: a null filter on it would repeat the whole expression.
     """
     made = with_centroid(df.withColumn("_digits", hash_digits(company)), city, "_clng", "_clat", fold)
     made = made.withColumns(
@@ -76,7 +77,10 @@ def with_synthetic_point(df, company, kind, city, lng="lon", lat="lat", fold=Tru
     cube = lambda c: F.col(c) * F.col(c) * F.col(c) * F.col("_spread")
     centre = lambda c, at: F.coalesce(c, _pick([h[at] for h in fixed.HUBS], F.col("_hub")))
     return made.withColumns(
-        {lng: centre("_clng", 2) + cube("_fx"), lat: centre("_clat", 3) + cube("_fy")}
+        {
+            lng: F.coalesce(centre("_clng", 2) + cube("_fx"), F.lit(0.0)),
+            lat: F.coalesce(centre("_clat", 3) + cube("_fy"), F.lit(0.0)),
+        }
     ).drop("_digits", "_clng", "_clat", "_hub", "_fx", "_fy", "_spread")
 
 

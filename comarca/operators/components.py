@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from comarca.scale import HOT_KEYS, HOT_ROWS, skew_join
+from comarca.scale import HOT_KEYS, HOT_ROWS, hot_keys, skew_join
 from comarca.session import durable
 
 
@@ -14,26 +14,30 @@ def _hot(df, key, count):
 def connected_components(edges: DataFrame, src="src", dst="dst", most_rounds=200) -> DataFrame:
     """Smallest node id of the component of every node that has an edge: ``node, component``.
 
-    Each round orders the nodes at random and moves every node to the first of its
-    neighbourhood, so the graph shrinks by a constant factor and the number of rounds is
+    Each round orders the nodes at random and moves every node to the first one within two steps,
+    so stars and chains alike collapse and the graph shrinks by a constant factor and the number of rounds is
     logarithmic whatever its shape. The moves are composed from the last (smallest) round back.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    work = durable(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    work = durable(both.distinct())
     moves = []
     for turn in range(most_rounds):
-        if work.isEmpty():
+        left = work.count()
+        if left == 0:
             break
 
         def place(c):
             return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
 
         first = work.groupBy("a").agg(F.min(place("b")).alias("m"), F.count("*").alias("n"))
+        first = first.withColumn("m", F.least("m", place("a")))
+        hot = _hot(first, "a", "n") if left >= HOT_ROWS else []
+        around = skew_join(work, first.select(F.col("a").alias("b"), "m"), ["b"], hot=hot)
         move = durable(
-            first.select(F.col("a").alias("node"), F.least("m", place("a"))["id"].alias("to"), "n")
+            around.groupBy("a").agg(F.min("m")["id"].alias("to")).withColumnRenamed("a", "node")
         )
-        hot = _hot(move, "node", "n")
-        moves.append((move.select("node", "to"), hot))
+        moves.append((move, hot))
         for end in ("a", "b"):
             target = move.select(F.col("node").alias(end), "to")
             work = skew_join(work, target, [end], hot=hot).drop(end).withColumnRenamed("to", end)
@@ -46,13 +50,12 @@ def connected_components(edges: DataFrame, src="src", dst="dst", most_rounds=200
     labels = moves[-1][0]
     for move, hot in reversed(moves[:-1]):
         later = labels.select(F.col("node").alias("to"), F.col("to").alias("final"))
+        if hot:  # within two steps more nodes can share a target than any one had neighbours
+            hot = hot_keys(move, ["to"])
         labels = skew_join(move, later, ["to"], how="left", hot=hot).select(
             "node", F.coalesce("final", "to").alias("to")
         )
     labels = durable(labels)
-    names = durable(
-        labels.groupBy("to").agg(F.min("node").alias("component"), F.count("*").alias("n"))
-    )
-    return skew_join(labels, names.drop("n"), ["to"], hot=_hot(names, "to", "n")).select(
-        "node", "component"
-    )
+    names = labels.groupBy("to").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    hot = _hot(names, "to", "n") if labels.count() >= HOT_ROWS else []
+    return skew_join(labels, names.drop("n"), ["to"], hot=hot).select("node", "component")

@@ -3,8 +3,8 @@
 With one point as the minimum every point is a core point, so clusters are the connected
 components of the "within eps" graph. Points are reduced to grid cells whose diagonal is at
 most eps: one cell is always one cluster. Whether two cells touch is decided from their extreme
-points and bounding boxes; only pairs that stay open are looked at in finer cells, so no cell is
-ever compared point by point with another.
+points and bounding boxes; pairs that stay open are looked at in finer cells. Points are compared
+only where two cells have a handful of them, so crowded cells cost no more than others.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +17,7 @@ from comarca.session import durable
 
 DIAGONAL = 0.7071067  # just below 1/sqrt(2): the cell diagonal stays below eps
 SPLIT = 4
+LEAF = 64  # cell pairs with at most this many point pairs are settled point by point
 DEPTH = 24  # finer than double precision, so every open pair is settled before
 
 _AHEAD = [(dx, dy) for dx in range(0, 3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
@@ -38,91 +39,103 @@ def _packed(prefix):
     return F.struct(*[F.col(c) for c in _BOX]).alias(prefix)
 
 
-def _gap(a, b):
-    """Squared distance between two bounding boxes."""
-    dx = F.greatest(b["west"]["x"] - a["east"]["x"], a["west"]["x"] - b["east"]["x"], F.lit(0.0))
-    dy = F.greatest(b["south"]["y"] - a["north"]["y"], a["south"]["y"] - b["north"]["y"], F.lit(0.0))
-    return dx * dx + dy * dy
+def _square(dx, dy):
+    return f"({dx}) * ({dx}) + ({dy}) * ({dy})"
 
 
-def _closest_extremes(a, b):
-    """Smallest squared distance between the extreme points of two cells."""
-    found = []
-    for p in _BOX:
-        for q in _BOX:
-            dx, dy = a[p]["x"] - b[q]["x"], a[p]["y"] - b[q]["y"]
-            found.append(dx * dx + dy * dy)
-    return F.least(*found)
+# squared distance between two bounding boxes
+_GAP = _square(
+    "greatest(box_b.west.x - box_a.east.x, box_a.west.x - box_b.east.x, 0D)",
+    "greatest(box_b.south.y - box_a.north.y, box_a.south.y - box_b.north.y, 0D)",
+)
+# smallest squared distance between the extreme points of two cells
+_CLOSEST = "least({})".format(
+    ", ".join(
+        _square(f"box_a.{p}.x - box_b.{q}.x", f"box_a.{p}.y - box_b.{q}.y") for p in _BOX for q in _BOX
+    )
+)
 
 
 def _judge(pairs, eps):
-    """Mark pairs as linked, open, or drop them."""
+    """Mark pairs as linked or open, and drop those too far apart."""
     limit = F.lit(eps * eps)
-    a, b = F.col("box_a"), F.col("box_b")
-    near = pairs.where(_gap(a, b) <= limit)
-    return near.withColumn("linked", _closest_extremes(a, b) <= limit)
+    return pairs.where(F.expr(_GAP) <= limit).withColumn("linked", F.expr(_CLOSEST) <= limit)
+
+
+def _at(c, w, scale=1):
+    """Grid index; declared not NULL, so joins on it add no null filter over the input."""
+    return F.coalesce(F.floor(F.col(c) / w * F.lit(float(scale))), F.lit(0))
 
 
 def cell_table(points, eps) -> DataFrame:
     """Non-empty grid cells: column, row, count, coordinate sums, smallest id, extremes."""
     w = eps * DIAGONAL
-    return points.groupBy(
-        F.floor(F.col("x") / w).alias("cx"), F.floor(F.col("y") / w).alias("cy")
-    ).agg(
+    return points.groupBy(_at("x", w).alias("cx"), _at("y", w).alias("cy")).agg(
         F.min("id").alias("cell"), F.count("*").alias("n"),
         F.sum("x").alias("sx"), F.sum("y").alias("sy"), *_summary(),
     )
 
 
+def _few(points, pairs, at, eps):
+    """Cell pairs with at most LEAF point pairs, settled by their points."""
+    w_a = points.select(at("x").alias("ax"), at("y").alias("ay"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    w_b = points.select(at("x").alias("bx"), at("y").alias("by"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
+    met = pairs.join(w_a, ["ax", "ay"]).join(w_b, ["bx", "by"])
+    return met.where(dx * dx + dy * dy <= F.lit(eps * eps)).select("src", "dst").distinct()
+
+
 def linked_cells(points, cells, eps) -> DataFrame:
     """Pairs of cells that hold points within eps of each other: ``src, dst``."""
     w = eps * DIAGONAL
-    side = cells.select("cx", "cy", "cell", _packed("box"))
+    side = cells.select("cx", "cy", "cell", "n", _packed("box"))
     ahead = F.explode(F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx, dy in _AHEAD]))
     left = side.select(
         F.col("cell").alias("src"), F.col("cx").alias("ax"), F.col("cy").alias("ay"),
-        F.col("box").alias("box_a"), ahead.alias("step"),
+        F.col("n").alias("na"), F.col("box").alias("box_a"), ahead.alias("step"),
     ).withColumns({"cx": F.col("ax") + F.col("step.x"), "cy": F.col("ay") + F.col("step.y")})
-    right = side.select("cx", "cy", F.col("cell").alias("dst"), F.col("box").alias("box_b"))
-    pairs = left.join(right, ["cx", "cy"]).select(
-        "src", "dst", "ax", "ay", F.col("cx").alias("bx"), F.col("cy").alias("by"), "box_a", "box_b"
+    right = side.select(
+        "cx", "cy", F.col("cell").alias("dst"), F.col("n").alias("nb"), F.col("box").alias("box_b")
     )
-    judged = durable(_judge(pairs, eps).drop("box_a", "box_b"))
+    kept = ["src", "dst", "ax", "ay", "bx", "by", "na", "nb"]
+    pairs = left.join(right, ["cx", "cy"]).withColumnsRenamed({"cx": "bx", "cy": "by"})
+    judged = durable(_judge(pairs.select(*kept, "box_a", "box_b"), eps).select(*kept, "linked"))
     links = [judged.where("linked").select("src", "dst")]
-    undecided = judged.where("not linked").drop("linked")
 
     rest, scale = points.select("x", "y"), 1
+    undecided = judged.where("not linked")
     for _ in range(DEPTH):
         if undecided.isEmpty():
             break
+        small = F.col("na") * F.col("nb") <= LEAF
         ends = undecided.select(F.col("ax").alias("px"), F.col("ay").alias("py")).union(
             undecided.select("bx", "by")
         )
-        at = lambda c, k: F.floor(F.col(c) / w * F.lit(float(k)))
-        placed = rest.withColumns({"px": at("x", scale), "py": at("y", scale)})
+        here = lambda c, k=scale: _at(c, w, k)
+        placed = rest.withColumns({"px": here("x"), "py": here("y")})
         rest = durable(skew_join(placed, ends.distinct(), ["px", "py"], "left_semi").select("x", "y"))
+        few = _few(rest, undecided.where(small).select("src", "dst", "ax", "ay", "bx", "by"), here, eps)
+
         scale *= SPLIT
-        fine = durable(
-            rest.groupBy(at("x", scale).alias("cx"), at("y", scale).alias("cy")).agg(*_summary())
-        ).withColumns(
-            {"px": F.floor(F.col("cx") / SPLIT), "py": F.floor(F.col("cy") / SPLIT)}
-        )
+        fine = rest.groupBy(_at("x", w, scale).alias("cx"), _at("y", w, scale).alias("cy")).agg(
+            F.count("*").alias("n"), *_summary()
+        ).withColumns({"px": F.floor(F.col("cx") / SPLIT), "py": F.floor(F.col("cy") / SPLIT)})
         as_side = lambda s: fine.select(
-            F.col("px").alias(f"{s}x"), F.col("py").alias(f"{s}y"),
+            F.col("px").alias(f"{s}x"), F.col("py").alias(f"{s}y"), F.col("n").alias(f"n{s}"),
             F.col("cx").alias(f"{s}cx"), F.col("cy").alias(f"{s}cy"), _packed(f"box_{s}"),
         )
-        finer = undecided.join(as_side("a"), ["ax", "ay"]).join(as_side("b"), ["bx", "by"])
-        judged = durable(
-            _judge(finer, eps).select(
-                "src", "dst", F.col("acx").alias("ax"), F.col("acy").alias("ay"),
-                F.col("bcx").alias("bx"), F.col("bcy").alias("by"), "linked",
-            )
+        many = undecided.where(~small).select("src", "dst", "ax", "ay", "bx", "by")
+        finer = many.join(as_side("a"), ["ax", "ay"]).join(as_side("b"), ["bx", "by"])
+        finer = finer.drop("ax", "ay", "bx", "by").withColumnsRenamed(
+            {"acx": "ax", "acy": "ay", "bcx": "bx", "bcy": "by"}
         )
+        told = few.select(
+            "src", "dst", *[F.lit(None).cast("bigint").alias(c) for c in kept[2:]], F.lit(True).alias("linked")
+        )
+        judged = durable(_judge(finer, eps).select(*kept, "linked").unionByName(told))
         found = judged.where("linked").select("src", "dst").distinct()
         links.append(found)
-        undecided = durable(
-            judged.where("not linked").drop("linked").join(found, ["src", "dst"], "left_anti")
-        )
+        undecided = judged.where("not linked").join(found, ["src", "dst"], "left_anti")
     else:
         raise RuntimeError("cell pairs stayed open below double precision")
     out = links[0]
@@ -142,13 +155,13 @@ def _labelled_cells(points, eps):
 def dbscan(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -> DataFrame:
     """Cluster of every point: ``id, x, y, component``; component is its smallest point id.
 
-    ``points`` has a unique ``id`` and coordinates ``x``, ``y``.
+    ``points`` has a unique ``id`` and coordinates ``x``, ``y``, none of them NULL.
     """
     if min_points != 1:
         raise ValueError("only min_points=1 is supported")
     w = eps * DIAGONAL
     labels = _labelled_cells(points, eps).select("cx", "cy", "component")
-    placed = points.withColumns({"cx": F.floor(F.col("x") / w), "cy": F.floor(F.col("y") / w)})
+    placed = points.withColumns({"cx": _at("x", w), "cy": _at("y", w)})
     return skew_join(placed, labels, ["cx", "cy"]).drop("cx", "cy")
 
 
