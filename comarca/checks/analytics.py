@@ -566,13 +566,17 @@ def _filled(t):
 
 
 @check("k6_fill_points", f"""
-    SELECT e.id, CAST(CAST(coalesce(s.lon, e.longitude) AS DECIMAL(11, 8)) AS DOUBLE) AS lon,
-        CAST(CAST(coalesce(s.lat, e.latitude) AS DECIMAL(10, 8)) AS DOUBLE) AS lat,
+    SELECT e.id, coalesce(s.lon, e.longitude) IS NOT NULL AS placed, TRUE AS exact,
         CASE WHEN s.id IS NOT NULL THEN TRUE ELSE e.geocoded END AS geocoded
     FROM {{est}} AS e LEFT JOIN ({LOCATED}) AS s ON s.id = e.id""")
 def k6(t):
-    number = lambda c: F.col(c).cast("double")
-    return _filled(t).select("id", number("longitude").alias("lon"), number("latitude").alias("lat"), "geocoded")
+    """Stored points keep eight decimals, so they are compared with the point they came from."""
+    made = _geocoded(t).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    old = t.est.select("id", F.col("longitude").alias("x0"), F.col("latitude").alias("y0"))
+    rows = _filled(t).join(old, "id").join(made, "id", "left")
+    off = lambda stored, new, was: F.abs(F.col(stored).cast("double") - F.coalesce(new, was)) <= 1e-8
+    exact = F.coalesce(off("longitude", "x", "x0") & off("latitude", "y", "y0"), F.lit(True))
+    return rows.select("id", F.col("longitude").isNotNull().alias("placed"), exact.alias("exact"), "geocoded")
 
 
 @check("t3_geocode_resumed", """

@@ -27,15 +27,20 @@ def connected_components(edges: DataFrame, src="src", dst="dst", most_rounds=200
         if left == 0:
             break
 
-        def place(c):
-            return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
+        def rank(c):
+            return F.xxhash64(F.col(c), F.lit(turn))
 
-        first = work.groupBy("a").agg(F.min(place("b")).alias("m"), F.count("*").alias("n"))
-        first = first.withColumn("m", F.least("m", place("a")))
+        first = work.groupBy("a").agg(
+            F.min(rank("b")).alias("h"), F.min_by("b", rank("b")).alias("m"), F.count("*").alias("n")
+        )
+        own = rank("a") <= F.col("h")
+        first = first.select(
+            "a", "n", F.when(own, F.col("a")).otherwise(F.col("m")).alias("m"), F.least("h", rank("a")).alias("h")
+        )
         hot = _hot(first, "a", "n") if left >= HOT_ROWS else []
-        around = skew_join(work, first.select(F.col("a").alias("b"), "m"), ["b"], hot=hot)
+        around = skew_join(work, first.select(F.col("a").alias("b"), "m", "h"), ["b"], hot=hot)
         move = durable(
-            around.groupBy("a").agg(F.min("m")["id"].alias("to")).withColumnRenamed("a", "node")
+            around.groupBy("a").agg(F.min_by("m", "h").alias("to")).withColumnRenamed("a", "node")
         )
         moves.append((move, hot))
         for end in ("a", "b"):

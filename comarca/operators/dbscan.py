@@ -24,11 +24,12 @@ _AHEAD = [(dx, dy) for dx in range(0, 3) for dy in range(-2, 3) if (dx, dy) > (0
 
 
 def _summary():
-    """Per cell: extreme points, which also give the bounding box."""
-    xy, yx = F.struct("x", "y"), F.struct("y", "x")
+    """Per cell: the outermost points, which also give the bounding box."""
     return [
-        F.min(xy).alias("west"), F.max(xy).alias("east"),
-        F.min(yx).alias("south"), F.max(yx).alias("north"),
+        F.struct(F.min("x").alias("x"), F.min_by("y", "x").alias("y")).alias("west"),
+        F.struct(F.max("x").alias("x"), F.max_by("y", "x").alias("y")).alias("east"),
+        F.struct(F.min_by("x", "y").alias("x"), F.min("y").alias("y")).alias("south"),
+        F.struct(F.max_by("x", "y").alias("x"), F.max("y").alias("y")).alias("north"),
     ]
 
 

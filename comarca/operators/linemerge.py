@@ -27,91 +27,99 @@ def route_lines(segments, route_segments) -> DataFrame:
 
 
 def _directed(lines):
-    """Both directions of each line as arcs, with the arc that follows, if any."""
-    first, last = F.element_at("geom", 1), F.element_at("geom", -1)
+    """Both directions of each line as arcs with the arc that follows, if any.
+
+    The forward arc of a segment is twice its id, the backward arc one more.
+    """
     base = lines.select(
         "route_id", "segment_id", (F.size("geom") - 1).alias("weight"),
-        first.alias("first"), last.alias("last"),
+        F.element_at("geom", 1).alias("first"), F.element_at("geom", -1).alias("last"),
     )
+    # an end is the arc that leaves by it: forward from the first vertex, backward from the last
     ends = base.select(
-        "route_id",
+        "route_id", "weight",
         F.explode(
             F.array(
-                F.struct(F.col("first").alias("node"), F.struct("segment_id", F.lit(0).alias("side")).alias("end")),
-                F.struct(F.col("last").alias("node"), F.struct("segment_id", F.lit(1).alias("side")).alias("end")),
+                F.struct(F.col("first").alias("v"), (F.col("segment_id") * 2).alias("end")),
+                F.struct(F.col("last").alias("v"), (F.col("segment_id") * 2 + 1).alias("end")),
             )
         ).alias("e"),
-    ).select("route_id", "e.node", "e.end")
+    ).select("route_id", "weight", "e.v.x", "e.v.y", "e.end")
     met = (
-        ends.groupBy("route_id", "node")
-        .agg(F.count("*").alias("degree"), F.min("end").alias("p"), F.max("end").alias("q"))
+        ends.groupBy("route_id", "x", "y")
+        .agg(
+            F.count("*").alias("degree"), F.min("end").alias("p"), F.max("end").alias("q"),
+            F.min_by("weight", "end").alias("wp"), F.max_by("weight", "end").alias("wq"),
+        )
         .where("degree = 2")
     )
-    # arriving by side 1 is the forward arc (even), leaving by side 0 is the forward arc
-    arriving = lambda e: F.col(f"{e}.segment_id") * 2 + (1 - F.col(f"{e}.side"))
-    leaving = lambda e: F.col(f"{e}.segment_id") * 2 + F.col(f"{e}.side")
+    # who arrives by one end leaves by the other; arriving is the reverse of leaving
     follow = met.select(
         "route_id",
         F.explode(
             F.array(
-                F.struct(arriving("p").alias("arc"), leaving("q").alias("next")),
-                F.struct(arriving("q").alias("arc"), leaving("p").alias("next")),
+                F.struct(F.expr("p ^ 1L").alias("arc"), F.col("q").alias("next"), F.col("wq").alias("w")),
+                F.struct(F.expr("q ^ 1L").alias("arc"), F.col("p").alias("next"), F.col("wp").alias("w")),
             )
         ).alias("f"),
-    ).select("route_id", "f.arc", "f.next")
+    ).select("route_id", "f.arc", "f.next", F.col("f.w").alias("next_weight"))
     arcs = base.select(
         "route_id", "weight",
-        F.explode(
-            F.array(
-                F.struct((F.col("segment_id") * 2).alias("arc"), F.col("first").alias("tail"),
-                         F.col("last").alias("head"), F.lit(1).alias("forward")),
-                F.struct((F.col("segment_id") * 2 + 1).alias("arc"), F.col("last").alias("tail"),
-                         F.col("first").alias("head"), F.lit(0).alias("forward")),
-            )
-        ).alias("a"),
-    ).select("route_id", "weight", "a.*")
+        F.explode(F.array(F.col("segment_id") * 2, F.col("segment_id") * 2 + 1)).alias("arc"),
+    )
     return arcs.join(follow, ["route_id", "arc"], "left")
 
 
+PLACED = ["route_id", "arc", "weight", "to", "hops", "ahead", "forwards"]
+
+
 def _rank(arcs):
-    """Distance of each arc to the end of its chain: ``to, hops, ahead, forwards, done``.
+    """Place of every arc in its chain, and the arcs of closed rings, which have no end.
 
-    Arcs of closed rings have no end; they come back with ``done`` false.
+    ``to`` is the last arc of the chain; ``hops``, ``ahead`` and ``forwards`` count the arcs,
+    edges and forward arcs that come after. Finished arcs are never written again: each round
+    writes only the arcs that still have to jump.
     """
-    after = arcs.select("route_id", F.col("arc").alias("next"), F.col("weight").alias("w"), F.col("forward").alias("f"))
-    state = durable(
-        arcs.join(after, ["route_id", "next"], "left").select(
-            "route_id", "arc", F.coalesce("next", "arc").alias("to"),
-            F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
-            F.coalesce("w", F.lit(0)).cast("bigint").alias("ahead"),
-            F.coalesce("f", F.lit(0)).cast("bigint").alias("forwards"),
-            F.col("next").isNull().alias("done"),
-        )
+    started = arcs.select(
+        "route_id", "arc", "weight", F.coalesce("next", "arc").alias("to"),
+        F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint").alias("hops"),
+        F.coalesce("next_weight", F.lit(0)).cast("bigint").alias("ahead"),
+        F.coalesce(1 - F.expr("next & 1L"), F.lit(0)).cast("bigint").alias("forwards"),
+        F.col("next").isNull().alias("done"),
     )
+    state = durable(started)
+    finished, active = state.where("done"), state.where("not done")
     left = None
     for _ in range(MOST_ROUNDS):
-        unfinished = state.where("not done")
-        now = unfinished.count()
+        now = active.count()
         if now == 0 or now == left:
-            return state
+            return finished.select(*PLACED), active.select("route_id", "arc")
         left = now
-        jump = state.select(
+        jump = finished.unionByName(active).select(
             "route_id", F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"),
             F.col("ahead").alias("ahead2"), F.col("forwards").alias("forwards2"), F.col("done").alias("done2"),
         )
-        moved = unfinished.join(jump, ["route_id", "to"]).select(
-            "route_id", "arc", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"),
-            (F.col("ahead") + F.col("ahead2")).alias("ahead"),
-            (F.col("forwards") + F.col("forwards2")).alias("forwards"), F.col("done2").alias("done"),
+        moved = durable(
+            active.join(jump, ["route_id", "to"]).select(
+                "route_id", "arc", "weight", F.col("to2").alias("to"),
+                (F.col("hops") + F.col("hops2")).alias("hops"),
+                (F.col("ahead") + F.col("ahead2")).alias("ahead"),
+                (F.col("forwards") + F.col("forwards2")).alias("forwards"), F.col("done2").alias("done"),
+            )
         )
-        state = durable(state.where("done").unionByName(moved))
+        finished, active = finished.unionByName(moved.where("done")), moved.where("not done")
     raise RuntimeError("chains did not settle")
 
 
-def _open_rings(arcs):
-    """Cut each ring before the arc that leaves its smallest node."""
+def _open_rings(arcs, tails):
+    """Cut each ring before the arc that leaves its smallest node.
+
+    ``tails`` gives the node each arc leaves from.
+    """
     state = durable(
-        arcs.select("route_id", "arc", F.col("next").alias("to"), F.struct("tail", "arc").alias("low"))
+        arcs.join(tails, ["route_id", "arc"]).select(
+            "route_id", "arc", F.col("next").alias("to"), F.struct("x", "y", "arc").alias("low")
+        )
     )
     for _ in range(MOST_ROUNDS):
         jump = state.select("route_id", F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
@@ -127,8 +135,10 @@ def _open_rings(arcs):
     else:
         raise RuntimeError("rings did not settle")
     lows = state.select("route_id", "arc", F.col("low.arc").alias("start"))
-    cut = F.when(F.col("next") == F.col("start"), F.lit(None)).otherwise(F.col("next"))
-    return arcs.join(lows, ["route_id", "arc"]).withColumn("next", cut).drop("start")
+    cut = F.col("next") == F.col("start")
+    return arcs.join(lows, ["route_id", "arc"]).withColumns(
+        {"next": F.when(~cut, F.col("next")), "next_weight": F.when(~cut, F.col("next_weight"))}
+    ).drop("start")
 
 
 def merge_lines(lines) -> DataFrame:
@@ -139,41 +149,37 @@ def merge_lines(lines) -> DataFrame:
     """
     lines = durable(lines)
     arcs = durable(_directed(lines))
-    chains = _rank(arcs)
-    placed = chains.where("done")
-    rings = chains.where("not done")
+    placed, rings = _rank(arcs)
     if not rings.isEmpty():
-        ring_arcs = arcs.join(rings.select("route_id", "arc"), ["route_id", "arc"])
-        placed = placed.unionByName(_rank(durable(_open_rings(durable(ring_arcs)))))
+        tail = F.when(F.expr("arc & 1L") == 0, F.element_at("geom", 1)).otherwise(F.element_at("geom", -1))
+        tails = (
+            rings.withColumn("segment_id", F.shiftright("arc", 1))
+            .join(lines, ["route_id", "segment_id"])
+            .select("route_id", "arc", tail["x"].alias("x"), tail["y"].alias("y"))
+        )
+        opened = _open_rings(durable(arcs.join(rings, ["route_id", "arc"])), tails)
+        placed = placed.unionByName(_rank(opened)[0])
 
-    info = arcs.select("route_id", "arc", "weight", "tail", "head", "forward")
-    placed = durable(placed.drop("done").join(info, ["route_id", "arc"]))
-    far = F.struct("hops", "arc", "tail", "weight", "ahead", "forward", "forwards")
-    near = F.struct((-F.col("hops")).alias("hops"), "arc", "head")
     lists = placed.groupBy("route_id", "to").agg(
-        F.max(far).alias("a"), F.max(near).alias("z"),
+        (F.max("hops") + 1).alias("arcs"), F.max_by("arc", "hops").alias("first_arc"),
+        F.max_by("forwards", "hops").alias("forwards"), F.max(F.col("ahead") + F.col("weight")).alias("length"),
         F.min(F.shiftright("arc", 1)).alias("line_id"),
     )
-    # forwards counts the arcs after one arc, so the first arc adds itself
-    forward = F.col("a.forwards") + F.col("a.forward")
-    arcs_in = F.col("a.hops") + 1
-    mirrored = F.col("z.arc").bitwiseXOR(F.lit(1))
-    tie = F.struct(F.col("a.tail").alias("n"), F.col("a.arc").alias("k")) < F.struct(
-        F.col("z.head").alias("n"), mirrored.alias("k")
-    )
-    kept = lists.where((forward * 2 > arcs_in) | ((forward * 2 == arcs_in) & tie)).select(
-        "route_id", "to", "line_id", (F.col("a.ahead") + F.col("a.weight")).alias("length"),
-        F.col("a.arc").alias("first_arc"),
+    # the other direction starts with the reverse of the last arc
+    forward = (F.col("forwards") + 1 - F.expr("first_arc & 1L")) * 2
+    tie = F.col("first_arc") < F.expr("to ^ 1L")
+    kept = durable(
+        lists.where((forward > F.col("arcs")) | ((forward == F.col("arcs")) & tie)).select(
+            "route_id", "to", "line_id", "length", "first_arc"
+        )
     )
     ordered = skew_join(
         placed.select("route_id", "arc", "to", "ahead", "weight"), kept, ["route_id", "to"]
     )
-    shapes = lines.select("route_id", "segment_id", "geom")
-    backward = F.col("arc").bitwiseAND(F.lit(1)) == 1
-    path = F.when(backward, F.reverse("geom")).otherwise(F.col("geom"))
+    path = F.when(F.expr("arc & 1L") == 1, F.reverse("geom")).otherwise(F.col("geom"))
     return (
         ordered.withColumn("segment_id", F.shiftright("arc", 1))
-        .join(shapes, ["route_id", "segment_id"])
+        .join(lines, ["route_id", "segment_id"])
         .withColumn("start", F.col("length") - F.col("ahead") - F.col("weight"))
         .select("route_id", "line_id", "start", (F.col("arc") == F.col("first_arc")).alias("leads"),
                 F.posexplode(path).alias("j", "v"))
