@@ -103,31 +103,40 @@ def overlay_pending(state, waiting) -> DataFrame:
     ).drop("_visited")
 
 
+def _sized(df, x1, y1, x2, y2, detail):
+    """Add the size class of the bounds: a power of two, ``detail`` halvings below the extent."""
+    extent = F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1), F.lit(2.0**-30))
+    return df.withColumn("own", F.ceil(F.log2(extent)).cast("int") - detail)
+
+
+def _levels(df):
+    return sorted(r.own for r in df.select("own").distinct().collect())
+
+
+def _laid(df, others, x1, y1, x2, y2):
+    """One row per cell covered, on every grid where the coarser partner sets the size."""
+    grids = F.array_distinct(F.transform(F.array(*[F.lit(v) for v in others]), lambda v: F.greatest(v, F.col("own"))))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    return df.withColumn("level", F.explode(grids)).withColumn("cx", cells(x1, x2)).withColumn("cy", cells(y1, y2))
+
+
 def box_join(segments, boxes, detail=1, min_rows=HOT_ROWS) -> DataFrame:
     """Pairs of boxes and segments that meet: ``box_id, id``.
 
-    Each box is laid on a grid of its own size class, so it covers few cells however large it
-    is, and segments are laid on the size classes in use (at most one per power of two). A pair
-    is reported only by the cell that holds the lower left corner of the shared bounds, so no
+    Both sides have size classes (at most one per power of two), and a pair meets on the grid of
+    the larger one, where either covers at most nine cells however large or small it is. A pair is
+    reported only by the cell that holds the lower left corner of the shared bounds, so no
     duplicates arise. Crowded cells are spread over tasks.
     """
-    wide = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(2.0**-40))
-    sized = boxes.withColumn("level", (F.ceil(F.log2(wide)) - detail).cast("int"))
-    levels = [r.level for r in sized.select("level").distinct().collect()]
-    if not levels:
-        return segments.select(F.lit(None).cast("bigint").alias("box_id"), "id").limit(0)
     bounded = with_bounds(segments).select("id", "geom", "min_x", "max_x", "min_y", "max_y")
-
-    def cells(df, lo_x, hi_x, lo_y, hi_y):
-        size = F.pow(F.lit(2.0), F.col("level"))
-        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
-        return df.withColumn("cx", span(lo_x, hi_x)).withColumn("cy", span(lo_y, hi_y))
-
-    left = cells(
-        bounded.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)]))),
-        "min_x", "max_x", "min_y", "max_y",
-    )
-    right = cells(sized, "x1", "x2", "y1", "y2").select("box_id", "level", "cx", "cy", "x1", "y1", "x2", "y2")
+    left = _sized(bounded, "min_x", "min_y", "max_x", "max_y", detail)
+    right = _sized(boxes.select("box_id", "x1", "y1", "x2", "y2"), "x1", "y1", "x2", "y2", detail)
+    of_segments, of_boxes = _levels(left), _levels(right)
+    if not of_segments or not of_boxes:
+        return segments.select(F.lit(None).cast(boxes.schema["box_id"].dataType).alias("box_id"), "id").limit(0)
+    left = _laid(left, of_boxes, "min_x", "min_y", "max_x", "max_y")
+    right = _laid(right, of_segments, "x1", "y1", "x2", "y2").withColumnRenamed("own", "box_own")
     size = F.pow(F.lit(2.0), F.col("level"))
     home_x = F.floor(F.greatest("min_x", "x1") / size) == F.col("cx")
     home_y = F.floor(F.greatest("min_y", "y1") / size) == F.col("cy")
@@ -135,5 +144,6 @@ def box_join(segments, boxes, detail=1, min_rows=HOT_ROWS) -> DataFrame:
         (F.col("min_x") <= F.col("x2")) & (F.col("max_x") >= F.col("x1"))
         & (F.col("min_y") <= F.col("y2")) & (F.col("max_y") >= F.col("y1"))
     )
-    pairs = skew_join(left, right, ["level", "cx", "cy"], min_rows=min_rows).where(overlap & home_x & home_y)
+    pairs = skew_join(left, right, ["level", "cx", "cy"], min_rows=min_rows)
+    pairs = pairs.where((F.col("level") == F.greatest("own", "box_own")) & overlap & home_x & home_y)
     return pairs.where(line_hits_box("geom", "x1", "y1", "x2", "y2")).select("box_id", "id")
