@@ -6,7 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from comarca import fixed
 
-SPACE = r"[\s\x1c-\x1f]"
+# The white space characters that are trimmed.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c):
@@ -15,7 +19,7 @@ def _col(c):
 
 def strip(c) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_col(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def blank(c) -> Column:

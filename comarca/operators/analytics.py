@@ -67,14 +67,12 @@ def corridor_dim(spark) -> DataFrame:
 
 def corridor_counts(est, fold=True) -> DataFrame:
     """Total, tech and repairs per corridor city, zero-filled, and a grand total (city NULL)."""
-    found = est.select(corridor_city("municipio", fold).alias("city"), "business_type").where(
-        F.col("city").isNotNull()
-    )
+    # names repeat, so rows are counted per name first and each name is matched once
+    named = est.groupBy("municipio", "business_type").agg(F.count("*").alias("n"))
+    found = named.withColumn("city", corridor_city("municipio", fold)).where(F.col("city").isNotNull())
+    of_type = lambda k: F.coalesce(F.sum(F.when(F.col("business_type") == k, F.col("n"))), F.lit(0))
     counted = found.rollup("city").agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("business_type") == "tech").alias("tech"),
-        F.count_if(F.col("business_type") == "repairs").alias("repairs"),
-        F.grouping("city").cast("int").alias("grand"),
+        F.sum("n").alias("total"), of_type("tech").alias("tech"), of_type("repairs").alias("repairs")
     )
     # eight fixed rows: seven cities and the grand total
     frame = corridor_dim(est.sparkSession).unionByName(

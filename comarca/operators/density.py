@@ -10,7 +10,7 @@ from comarca import fixed
 from comarca.functions.geo import mercator_x, mercator_y
 from comarca.scale import exact_quantiles
 
-REACH = 9.0  # bandwidths; a kernel beyond is below 3e-18 of its peak
+REACH = 8.5  # bandwidths; a kernel beyond is below double precision of its peak
 
 
 def metric_points(df, lng="lon", lat="lat") -> DataFrame:
@@ -31,55 +31,87 @@ def kernel(d2, bandwidth):
     return F.exp(-d2 / F.lit(2.0 * h2)) * F.lit(1e6 / (2.0 * math.pi * h2))
 
 
-def _tile_sums(min_x, min_y, resolution, tile):
-    """Sum kernels per tile over a stream of points sorted by bandwidth and tile."""
+def _tile(bandwidth, resolution, reach):
+    """Cells along a tile: about the reach of the kernel, so a point goes to few tiles."""
+    cells = max(64.0, min(256.0, bandwidth * reach / resolution))
+    return 2 ** math.ceil(math.log2(cells))
+
+
+HELD = 200  # tiles a task adds up at once before it hands them on
+
+
+def _spread(lo, hi):
+    """Row numbers and values of the ranges ``lo..hi`` written one under the other."""
+    count = np.maximum(hi - lo + 1, 0)
+    row = np.repeat(np.arange(len(lo)), count)
+    first = np.cumsum(count) - count
+    return row, lo[row] + np.arange(len(row)) - first[row]
+
+
+def _tile_sums(min_x, min_y, cols, lines, resolution, tiles, reach):
+    """Add up kernels tile by tile over a stream of points in spatial order.
+
+    A point is added to every tile within reach. Sums are handed on as they are when many tiles
+    are held, and meet again in the final sum per cell.
+    """
 
     def add(batches):
-        key, total = None, None
+        held = {}
 
         def rows():
-            iy, ix = np.nonzero(total)
-            return pd.DataFrame(
-                {
-                    "bandwidth": key[0], "ix": ix + key[1] * tile, "iy": iy + key[2] * tile,
-                    "part": total[iy, ix],
-                }
-            )
-
-        steps = np.arange(tile)
+            for (h, tx, ty), total in held.items():
+                iy, ix = np.nonzero(total)
+                ix, iy, part = ix + tx * tiles[h], iy + ty * tiles[h], total[iy, ix]
+                inside = (ix < cols) & (iy < lines)
+                yield pd.DataFrame(
+                    {"bandwidth": h, "ix": ix[inside], "iy": iy[inside], "part": part[inside]}
+                )
+            held.clear()
+
         for batch in batches:
-            keys = batch[["bandwidth", "tx", "ty"]].to_numpy()
             x, y, n = (batch[c].to_numpy() for c in ("x", "y", "n"))
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for run in np.split(np.arange(len(batch)), cuts):
-                if not len(run):
-                    continue
-                h, tx, ty = keys[run[0]]
-                now = (float(h), int(tx), int(ty))
-                if now != key:
-                    if key is not None:
-                        yield rows()
-                    key, total = now, np.zeros((tile, tile))
-                gx = min_x + (now[1] * tile + steps) * resolution
-                gy = min_y + (now[2] * tile + steps) * resolution
-                ex = np.exp(-((x[run, None] - gx) ** 2) / (2 * h * h))
-                ey = np.exp(-((y[run, None] - gy) ** 2) / (2 * h * h)) * n[run, None]
-                total += ey.T @ ex
-        if key is not None:
-            yield rows()
+            for h, tile in tiles.items():
+                side, steps = tile * resolution, np.arange(tile)
+
+                def span(v, low, count):
+                    lo = np.floor((v - h * reach - low) / side).astype(np.int64)
+                    hi = np.floor((v + h * reach - low) / side).astype(np.int64)
+                    return np.maximum(lo, 0), np.minimum(hi, (count - 1) // tile)
+
+                row, tx = _spread(*span(x, min_x, cols))
+                lo_y, hi_y = span(y, min_y, lines)
+                again, ty = _spread(lo_y[row], hi_y[row])
+                row, tx = row[again], tx[again]
+                order = np.lexsort((ty, tx))
+                row, tx, ty = row[order], tx[order], ty[order]
+                cuts = np.flatnonzero((tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])) + 1
+                for run in np.split(np.arange(len(row)), cuts):
+                    if not len(run):
+                        continue
+                    key = (h, int(tx[run[0]]), int(ty[run[0]]))
+                    at = row[run]
+                    gx = min_x + (key[1] * tile + steps) * resolution
+                    gy = min_y + (key[2] * tile + steps) * resolution
+                    ex = np.exp(-((x[at, None] - gx) ** 2) / (2 * h * h))
+                    ey = np.exp(-((y[at, None] - gy) ** 2) / (2 * h * h)) * n[at, None]
+                    total = ey.T @ ex
+                    held[key] = held[key] + total if key in held else total
+                    if len(held) > HELD:
+                        yield from rows()
+        yield from rows()
 
     return add
 
 
 def kde(
     points, resolution=fixed.KDE_RESOLUTION, bandwidths=tuple(fixed.KDE_BANDWIDTHS),
-    margin=fixed.KDE_MARGIN, reach=REACH, tile=64,
+    margin=fixed.KDE_MARGIN, reach=REACH,
 ) -> DataFrame:
     """Points per square kilometre at every grid cell: ``bandwidth, ix, iy, cell_x, cell_y, density``.
 
-    Each point goes to the tiles within ``reach`` bandwidths. The copies are range-partitioned
-    by tile and place, so a crowded tile is shared by many tasks that each add up their part;
-    the parts meet in one sum per cell.
+    Points are range-partitioned by place (and by hash within a place, so a crowded place is
+    shared by many tasks). Every task adds up kernels for the tiles its points reach; the parts
+    meet in one sum per cell.
     """
     box = extent(points, margin).first()
     if box.min_x is None:
@@ -88,29 +120,24 @@ def kde(
         )
     cols = math.ceil((box.max_x - box.min_x) / resolution)
     lines = math.ceil((box.max_y - box.min_y) / resolution)
-    side = tile * resolution
-
-    weighted = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    tiles = {float(b): _tile(b, resolution, reach) for b in bandwidths}
+    side = max(tiles.values()) * resolution
     h = F.col("bandwidth")
 
-    def tiles(c, low, count):
-        last = F.lit((count - 1) // tile)
-        lo = F.greatest(F.floor((F.col(c) - h * reach - low) / side), F.lit(0))
-        hi = F.least(F.floor((F.col(c) + h * reach - low) / side), last)
-        return F.explode(F.sequence(lo, hi))
-
-    widths = F.explode(F.array(*[F.lit(float(b)) for b in bandwidths]))
-    copies = (
-        weighted.withColumn("bandwidth", widths)
-        .withColumn("tx", tiles("x", box.min_x, cols))
-        .withColumn("ty", tiles("y", box.min_y, lines))
-        .repartitionByRange("bandwidth", "tx", "ty", F.xxhash64("x", "y"))
-        .sortWithinPartitions("bandwidth", "tx", "ty")
+    weighted = points.groupBy("x", "y").agg(F.count("*").alias("n"))
+    placed = (
+        weighted.withColumns(
+            {"px": F.floor((F.col("x") - box.min_x) / side), "py": F.floor((F.col("y") - box.min_y) / side)}
+        )
+        .repartitionByRange("px", "py", F.xxhash64("x", "y"))
+        .sortWithinPartitions("px", "py")
+        .select("x", "y", "n")
     )
-    parts = copies.mapInPandas(
-        _tile_sums(box.min_x, box.min_y, resolution, tile),
+    parts = placed.mapInPandas(
+        _tile_sums(box.min_x, box.min_y, cols, lines, resolution, tiles, reach),
         "bandwidth double, ix long, iy long, part double",
-    ).where((F.col("ix") < cols) & (F.col("iy") < lines))
+    )
+    widths = F.explode(F.array(*[F.lit(b) for b in tiles]))
     empty = points.sparkSession.range(cols * lines).select(
         widths.alias("bandwidth"), (F.col("id") % cols).alias("ix"),
         F.floor(F.col("id") / cols).alias("iy"), F.lit(0.0).alias("part"),

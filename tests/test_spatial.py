@@ -154,10 +154,10 @@ def test_kde_against_direct_sum(spark):
     rng = np.random.default_rng(4)
     pts = np.vstack([rng.normal(0, 400, (150, 2)), rng.normal(5000, 50, (150, 2)), [[9000.0, 100.0]] * 40])
     df = spark.createDataFrame([(float(x), float(y)) for x, y in pts], "x double, y double")
-    got = density.kde(df, 250.0, [200.0, 500.0], tile=16).toPandas()
+    got = density.kde(df, 50.0, [200.0, 500.0]).toPandas()
     x0, y0 = pts.min(axis=0) - 1500
     x1, y1 = pts.max(axis=0) + 1500
-    gx, gy = np.arange(x0, x1, 250.0), np.arange(y0, y1, 250.0)
+    gx, gy = np.arange(x0, x1, 50.0), np.arange(y0, y1, 50.0)
     assert len(got) == 2 * len(gx) * len(gy)
     for h in (200.0, 500.0):
         ex = np.exp(-((gx[:, None] - pts[:, 0]) ** 2) / (2 * h * h))
@@ -166,7 +166,7 @@ def test_kde_against_direct_sum(spark):
         part = got[got.bandwidth == h]
         assert np.allclose(part.density, want[part.ix, part.iy], rtol=1e-12, atol=1e-12 * want.max())
         assert np.allclose(part.cell_x, gx[part.ix])
-    stats = density.kde_stats(density.kde(df, 250.0, [500.0])).first()
+    stats = density.kde_stats(density.kde(df, 50.0, [500.0])).first()
     assert np.allclose([stats.p25, stats.p50, stats.p75], np.percentile(want, [25, 50, 75]))
 
 
