@@ -168,19 +168,19 @@ def a11(t):
 
 
 GRID = f"""
-    SELECT h AS bandwidth, ix, iy, x0 + ix * 500.0 AS cell_x, y0 + iy * 500.0 AS cell_y,
-        sum(exp(-((x0 + ix * 500.0 - x) * (x0 + ix * 500.0 - x) + (y0 + iy * 500.0 - y) * (y0 + iy * 500.0 - y)) / (2 * h * h)))
+    SELECT h AS bandwidth, ix, iy, x0 + ix * 1000.0 AS cell_x, y0 + iy * 1000.0 AS cell_y,
+        sum(exp(-((x0 + ix * 1000.0 - x) * (x0 + ix * 1000.0 - x) + (y0 + iy * 1000.0 - y) * (y0 + iy * 1000.0 - y)) / (2 * h * h)))
             * 1e6 / (2 * {PI} * h * h) AS density
     FROM ({MET}) AS m,
-        (SELECT min(x) - 1500 AS x0, min(y) - 1500 AS y0, CAST(ceil((max(x) - min(x) + 3000) / 500.0) AS BIGINT) AS nx,
-            CAST(ceil((max(y) - min(y) + 3000) / 500.0) AS BIGINT) AS ny FROM ({MET}) AS m2) AS b,
+        (SELECT min(x) - 1500 AS x0, min(y) - 1500 AS y0, CAST(ceil((max(x) - min(x) + 3000) / 1000.0) AS BIGINT) AS nx,
+            CAST(ceil((max(y) - min(y) + 3000) / 1000.0) AS BIGINT) AS ny FROM ({MET}) AS m2) AS b,
         (VALUES (CAST(200 AS DOUBLE)), (CAST(500 AS DOUBLE)), (CAST(1000 AS DOUBLE))) AS w(h),
         LATERAL (SELECT unnest(range(nx)) AS ix) AS c, LATERAL (SELECT unnest(range(ny)) AS iy) AS r
     GROUP BY h, ix, iy, x0, y0"""
 
 
 def _grid(t):
-    return density.kde(density.metric_points(located(t)), resolution=500.0)
+    return density.kde(density.metric_points(located(t)), resolution=1000.0)
 
 
 @check("g5_kde_grid", f"""
@@ -190,9 +190,9 @@ def g5(t):
     return _grid(t).select("bandwidth", "ix", "iy", three("cell_x"), three("cell_y"), F.round("density", 4).alias("density"))
 
 
-@check("a13_kernel_sums", f"SELECT bandwidth, round(sum(density) * 0.25, 2) AS mass FROM ({GRID}) AS g GROUP BY bandwidth")
+@check("a13_kernel_sums", f"SELECT bandwidth, round(sum(density), 2) AS mass FROM ({GRID}) AS g GROUP BY bandwidth")
 def a13(t):
-    return _grid(t).groupBy("bandwidth").agg(F.round(F.sum("density") * 0.25, 2).alias("mass"))
+    return _grid(t).groupBy("bandwidth").agg(F.round(F.sum("density"), 2).alias("mass"))
 
 
 @check("a12_density_stats", f"""
@@ -241,11 +241,11 @@ def g5_lines(t):
     SELECT m.id AS segment_id, round(coalesce(density, 0), 4) AS density
     FROM ({MET}) AS m, (SELECT min(x) - 1500 AS x0, min(y) - 1500 AS y0 FROM ({MET}) AS m2) AS b
     LEFT JOIN (SELECT * FROM ({GRID}) AS g WHERE bandwidth = 500) AS g
-    ON g.ix = CAST(round((x - x0) / 500.0) AS BIGINT) AND g.iy = CAST(round((y - y0) / 500.0) AS BIGINT)""")
+    ON g.ix = CAST(round((x - x0) / 1000.0) AS BIGINT) AND g.iy = CAST(round((y - y0) / 1000.0) AS BIGINT)""")
 def g6(t):
     rows = located(t)
     points = density.metric_points(rows)
     box = density.extent(points, 1500.0).first()
     spot = F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))
-    found = density.density_at(rows.select("id", F.array(spot, spot).alias("geom")), _grid(t), 500.0, box.min_x, box.min_y, 500.0)
+    found = density.density_at(rows.select("id", F.array(spot, spot).alias("geom")), _grid(t), 500.0, box.min_x, box.min_y, 1000.0)
     return found.withColumn("density", F.round("density", 4))

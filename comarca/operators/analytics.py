@@ -74,11 +74,11 @@ def corridor_counts(est, fold=True) -> DataFrame:
     counted = found.rollup("city").agg(
         F.sum("n").alias("total"), of_type("tech").alias("tech"), of_type("repairs").alias("repairs")
     )
-    # eight fixed rows: seven cities and the grand total
+    # at most eight rows on either side: seven cities and the grand total
     frame = corridor_dim(est.sparkSession).unionByName(
         est.sparkSession.createDataFrame([(0,)], "place int"), allowMissingColumns=True
     )
-    filled = counted.join(F.broadcast(frame), counted["city"].eqNullSafe(frame["city"]), "right")
+    filled = frame.join(F.broadcast(counted), counted["city"].eqNullSafe(frame["city"]), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return filled.select(
         "place", frame["city"], "lng", "lat", zero("total"), zero("tech"), zero("repairs")
