@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from comarca import fixed
 from comarca.operators.components import connected_components
 from comarca.operators.filters import cluster_input
-from comarca.scale import number_rows, skew_join
+from comarca.scale import HOT_KEYS, HOT_ROWS, number_rows, skew_join
 from comarca.session import durable
 
 DIAGONAL = 0.7071067  # just below 1/sqrt(2): the cell diagonal stays below eps
@@ -86,9 +86,11 @@ def _few(points, pairs, at, eps):
     return met.where(dx * dx + dy * dy <= F.lit(eps * eps)).select("src", "dst").distinct()
 
 
-def linked_cells(points, cells, eps) -> DataFrame:
-    """Pairs of cells that hold points within eps of each other: ``src, dst``."""
-    w = eps * DIAGONAL
+PAIR = ["src", "dst", "ax", "ay", "bx", "by", "na", "nb"]
+
+
+def _neighbours(cells, eps) -> DataFrame:
+    """Pairs of cells near enough to matter, marked as linked or open."""
     side = cells.select("cx", "cy", "cell", "n", _packed("box"))
     ahead = F.explode(F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx, dy in _AHEAD]))
     left = side.select(
@@ -98,13 +100,27 @@ def linked_cells(points, cells, eps) -> DataFrame:
     right = side.select(
         "cx", "cy", F.col("cell").alias("dst"), F.col("n").alias("nb"), F.col("box").alias("box_b")
     )
-    kept = ["src", "dst", "ax", "ay", "bx", "by", "na", "nb"]
     pairs = left.join(right, ["cx", "cy"]).withColumnsRenamed({"cx": "bx", "cy": "by"})
-    judged = durable(_judge(pairs.select(*kept, "box_a", "box_b"), eps).select(*kept, "linked"))
-    links = [judged.where("linked").select("src", "dst")]
+    return _judge(pairs.select(*PAIR, "box_a", "box_b"), eps).select(*PAIR, "linked")
+
+
+def _hot_ends(pairs):
+    """Crowded cells among the ends of pairs; their counts are known already."""
+    ends = pairs.select(F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("na").alias("n")).union(
+        pairs.select("bx", "by", "nb")
+    )
+    top = ends.where(F.col("n") >= HOT_ROWS).distinct().orderBy(F.desc("n")).limit(HOT_KEYS)
+    return [(r.px, r.py) for r in top.collect()]
+
+
+def _late_links(points, undecided, eps) -> DataFrame:
+    """Which open pairs of groups hold points within eps: ``src, dst``.
 
-    rest, scale = points.select("x", "y"), 1
-    undecided = judged.where("not linked")
+    Every round looks only at points of cells in open pairs, in cells a quarter as wide; a pair
+    of groups leaves as soon as one pair of its cells is found linked.
+    """
+    w = eps * DIAGONAL
+    rest, scale, links = points.select("x", "y"), 1, []
     for _ in range(DEPTH):
         if undecided.isEmpty():
             break
@@ -114,7 +130,8 @@ def linked_cells(points, cells, eps) -> DataFrame:
         )
         here = lambda c, k=scale: _at(c, w, k)
         placed = rest.withColumns({"px": here("x"), "py": here("y")})
-        rest = durable(skew_join(placed, ends.distinct(), ["px", "py"], "left_semi").select("x", "y"))
+        kept = skew_join(placed, ends.distinct(), ["px", "py"], "left_semi", hot=_hot_ends(undecided))
+        rest = durable(kept.select("x", "y"))
         few = _few(rest, undecided.where(small).select("src", "dst", "ax", "ay", "bx", "by"), here, eps)
 
         scale *= SPLIT
@@ -131,9 +148,9 @@ def linked_cells(points, cells, eps) -> DataFrame:
             {"acx": "ax", "acy": "ay", "bcx": "bx", "bcy": "by"}
         )
         told = few.select(
-            "src", "dst", *[F.lit(None).cast("bigint").alias(c) for c in kept[2:]], F.lit(True).alias("linked")
+            "src", "dst", *[F.lit(None).cast("bigint").alias(c) for c in PAIR[2:]], F.lit(True).alias("linked")
         )
-        judged = durable(_judge(finer, eps).select(*kept, "linked").unionByName(told))
+        judged = durable(_judge(finer, eps).select(*PAIR, "linked").unionByName(told))
         found = judged.where("linked").select("src", "dst").distinct()
         links.append(found)
         undecided = judged.where("not linked").join(found, ["src", "dst"], "left_anti")
@@ -146,11 +163,35 @@ def linked_cells(points, cells, eps) -> DataFrame:
 
 
 def _labelled_cells(points, eps):
+    """Cells with their component.
+
+    Linked cells are put together first. Open pairs inside one component no longer matter, so
+    points are read again only where two components may still touch.
+    """
     cells = durable(cell_table(points, eps))
-    parts = connected_components(linked_cells(points, cells, eps))
-    return cells.join(parts, cells["cell"] == parts["node"], "left").withColumn(
-        "component", F.coalesce("component", "cell")
-    ).drop("node")
+    pairs = durable(_neighbours(cells, eps))
+    parts = connected_components(pairs.where("linked").select("src", "dst"))
+    labels = durable(
+        cells.select("cell").join(parts, F.col("cell") == F.col("node"), "left").select(
+            "cell", F.coalesce("component", "cell").alias("component")
+        )
+    )
+    label = lambda end: labels.select(F.col("cell").alias(end), F.col("component").alias(f"{end}_part"))
+    between = pairs.where("not linked").drop("linked").join(label("src"), "src").join(label("dst"), "dst")
+    between = durable(
+        between.where("src_part <> dst_part").withColumns(
+            {"src": F.least("src_part", "dst_part"), "dst": F.greatest("src_part", "dst_part")}
+        ).select(*PAIR)
+    )
+    labelled = cells.join(labels, "cell")
+    if between.isEmpty():
+        return labelled
+    merged = connected_components(_late_links(points, between, eps)).select(
+        F.col("node").alias("component"), F.col("component").alias("_whole")
+    )
+    return skew_join(labelled, merged, ["component"], "left").withColumn(
+        "component", F.coalesce("_whole", "component")
+    ).drop("_whole")
 
 
 def dbscan(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -> DataFrame:
@@ -161,9 +202,11 @@ def dbscan(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -
     if min_points != 1:
         raise ValueError("only min_points=1 is supported")
     w = eps * DIAGONAL
-    labels = _labelled_cells(points, eps).select("cx", "cy", "component")
+    labels = durable(_labelled_cells(points, eps).select("cx", "cy", "n", "component"))
+    top = labels.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS)
+    hot = [(r.cx, r.cy) for r in top.collect()]
     placed = points.withColumns({"cx": _at("x", w), "cy": _at("y", w)})
-    return skew_join(placed, labels, ["cx", "cy"]).drop("cx", "cy")
+    return skew_join(placed, labels.drop("n"), ["cx", "cy"], hot=hot).drop("cx", "cy")
 
 
 def cluster_table(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -> DataFrame:

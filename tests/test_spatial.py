@@ -191,3 +191,18 @@ def test_mass_of_density(spark):
     df = spark.createDataFrame([(float(i % 7 * 90), float(i % 5 * 70)) for i in range(100)], "x double, y double")
     mass = density.kde(df, 100.0, [200.0]).agg(F.sum("density")).first()[0] * 0.01
     assert mass == pytest.approx(100, rel=1e-6)
+
+
+def test_crowded_keys_take_the_split_paths(spark, monkeypatch):
+    """The same clusters and components when almost every key counts as hot."""
+    monkeypatch.setattr(dbscan, "HOT_ROWS", 20)
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    pts = cluster_points("crowded", random.Random(11)) + cluster_points("arc", random.Random(11))
+    near = [(i, j) for i in range(len(pts)) for j in range(i)
+            if (pts[i][0] - pts[j][0]) ** 2 + (pts[i][1] - pts[j][1]) ** 2 <= 1.0]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id long, x double, y double")
+    got = {r.id: r.component for r in dbscan.dbscan(df, 1.0).collect()}
+    assert got == smallest_of_component(range(len(pts)), near)
+    star = [(500, i) for i in range(150)] + [(500, 900), (900, 901)]
+    found = components.connected_components(spark.createDataFrame(star, "src long, dst long")).collect()
+    assert len(found) == 153 and {r.component for r in found} == {0}
