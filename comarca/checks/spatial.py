@@ -118,13 +118,10 @@ def p18(t):
     SELECT route_id, count(*) AS edges, round(sum(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_))), 6) AS length
     FROM {route_lines} WHERE ax <> bx OR ay <> by_ GROUP BY route_id""")
 def g4_totals(t):
-    from pyspark.sql import Window as W
-
     vertices = linemerge.route_vertices(*_route_parts(t))
-    before = W.partitionBy("route_id", "line_id").orderBy("pos")
-    step = lambda c: F.col(c) - F.lag(c).over(before)
-    length = F.sqrt(step("x") * step("x") + step("y") * step("y"))
-    steps = vertices.withColumn("d", length).where("d is not null")
+    after = vertices.select("route_id", "line_id", (F.col("pos") - 1).alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    steps = vertices.join(after, ["route_id", "line_id", "pos"]).withColumn("d", F.sqrt(dx * dx + dy * dy))
     return steps.groupBy("route_id").agg(F.count("*").alias("edges"), F.round(F.sum("d"), 6).alias("length"))
 
 

@@ -81,11 +81,11 @@ RECORD = "SELECT cnpj_basico, cnpj_ordem, cnpj_dv, nome_fantasia, municipio, por
 
 @check("s3_json_records", RECORD)
 def s3(t):
-    """A JSON array is one file; every part is wrapped into an array of its own."""
+    """Arrays of a hundred records, one array per line."""
     path = _folder(t, "records")
     fields = ["cnpj_basico", "cnpj_ordem", "cnpj_dv", "nome_fantasia", "municipio", "porte_empresa"]
-    pages = t.est.groupBy((F.col("id") % 8).alias("page")).agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    pages.select(F.to_json("rows").alias("value")).repartition("value").write.text(path)
+    pages = t.est.groupBy(F.floor(F.col("id") / 100).alias("page")).agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    pages.select(F.to_json("rows").alias("value")).write.text(path)
     return readers.read_business_json(t.spark, path, lines=True).select(*fields)
 
 

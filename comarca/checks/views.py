@@ -151,11 +151,15 @@ VIEWS = {
             strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso
         FROM {events}""",
     ),
-    "visits_server": """
-        SELECT user_id, segment_id, visited, t AS visited_at, notes, source, TRUE AS synced FROM (
+    "visits_server": (
+        """SELECT user_id, segment_id, r.visited, r.t AS visited_at, r.notes, r.source, TRUE AS synced FROM (
+            SELECT user_id, segment_id, max_by(struct(visited, t, notes, source), struct(t, -event_id)) AS r
+            FROM {events_keyed} WHERE event_id % 3 = 0 GROUP BY user_id, segment_id) AS s""",
+        """SELECT user_id, segment_id, visited, t AS visited_at, notes, source, TRUE AS synced FROM (
             SELECT *, row_number() OVER (PARTITION BY user_id, segment_id ORDER BY t DESC, event_id) AS r
             FROM {events_keyed} WHERE event_id % 3 = 0) AS s
         WHERE r = 1""",
+    ),
     "visits_batch": """
         SELECT user_id, segment_id, visited,
             CASE WHEN event_id % 17 = 0 THEN 'not a time' ELSE iso || 'Z' END AS visited_at,

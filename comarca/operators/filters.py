@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 from comarca import fixed
 from comarca.functions.labels import sector_filter
 from comarca.functions.text import blank, holds_text, pad, to_number
+from comarca.scale import skew_join
 
 MANY_CODES = 500
 
@@ -38,8 +39,7 @@ def active(df, column="situacao_cadastral") -> DataFrame:
 def with_codes(df, codes, column="cnae_fiscal_principal") -> DataFrame:
     """Rows whose activity code is listed: a set test, or a semi join for a long list."""
     if isinstance(codes, DataFrame):
-        listed = codes.toDF("_code")
-        return df.join(listed, F.col(column) == F.col("_code"), "left_semi")
+        return skew_join(df, codes.toDF(column), [column], "left_semi").select(*df.columns)
     codes = list(codes)
     if len(codes) <= MANY_CODES:
         return df.where(F.col(column).isin(codes))

@@ -6,7 +6,7 @@ from comarca import fixed
 from comarca.functions.geo import point, point_geometry, stored_or, with_synthetic_point
 from comarca.functions.labels import size_label
 from comarca.functions.text import company_id, or_default
-from comarca.scale import number_rows
+from comarca.scale import number_rows, skew_join
 
 
 def write_json(df, path, mode="overwrite"):
@@ -91,7 +91,7 @@ def upsert(target, source, keys, update, order=None, stamp=None, reset_geocode_o
 
 def insert_absent(target, new, keys) -> DataFrame:
     """Rows of ``new`` whose key the target lacks; append these."""
-    return new.join(target.select(*keys), keys, "left_anti")
+    return skew_join(new, target.select(*keys), list(keys), "left_anti")
 
 
 def stable_id(*columns):
