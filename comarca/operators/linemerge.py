@@ -8,7 +8,7 @@ chain, so no chain is ever brought into one task.
 from pyspark.sql import DataFrame, functions as F
 
 from comarca.functions.geo import line_geometry
-from comarca.scale import skew_join
+from comarca.scale import HOT_KEYS, HOT_ROWS, skew_join
 from comarca.session import durable
 
 MOST_ROUNDS = 62
@@ -170,11 +170,14 @@ def merge_lines(lines) -> DataFrame:
     tie = F.col("first_arc") < F.expr("to ^ 1L")
     kept = durable(
         lists.where((forward > F.col("arcs")) | ((forward == F.col("arcs")) & tie)).select(
-            "route_id", "to", "line_id", "length", "first_arc"
+            "route_id", "to", "line_id", "length", "first_arc", "arcs"
         )
     )
+    # the lengths of the chains are known, so the hot ones need no count of their own
+    long = kept.where(F.col("arcs") >= HOT_ROWS).orderBy(F.desc("arcs")).limit(HOT_KEYS)
     ordered = skew_join(
-        placed.select("route_id", "arc", "to", "ahead", "weight"), kept, ["route_id", "to"]
+        placed.select("route_id", "arc", "to", "ahead", "weight"), kept.drop("arcs"),
+        ["route_id", "to"], hot=[(r.route_id, r.to) for r in long.collect()],
     )
     path = F.when(F.expr("arc & 1L") == 1, F.reverse("geom")).otherwise(F.col("geom"))
     return (

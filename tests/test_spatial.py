@@ -206,3 +206,9 @@ def test_crowded_keys_take_the_split_paths(spark, monkeypatch):
     star = [(500, i) for i in range(150)] + [(500, 900), (900, 901)]
     found = components.connected_components(spark.createDataFrame(star, "src long, dst long")).collect()
     assert len(found) == 153 and {r.component for r in found} == {0}
+
+
+def test_long_chain_takes_the_split_path(spark, monkeypatch):
+    monkeypatch.setattr(linemerge, "HOT_ROWS", 10)
+    lines = {i: line((i, 0), (i + 1, 0)) for i in range(40)} | {100: line((0, 5), (1, 5))}
+    assert merged(spark, lines) == {0: line(*[(i, 0) for i in range(41)]), 100: lines[100]}
