@@ -40,20 +40,21 @@ def _tile(bandwidth, resolution, reach):
 HELD = 200  # tiles a task adds up at once before it hands them on
 
 
-def _spread(lo, hi):
-    """Row numbers and values of the ranges ``lo..hi`` written one under the other."""
-    count = np.maximum(hi - lo + 1, 0)
-    row = np.repeat(np.arange(len(lo)), count)
-    first = np.cumsum(count) - count
-    return row, lo[row] + np.arange(len(row)) - first[row]
-
-
 def _tile_sums(min_x, min_y, cols, lines, resolution, tiles, reach):
     """Add up kernels tile by tile over a stream of points in spatial order.
 
     A point is added to every tile within reach. Sums are handed on as they are when many tiles
-    are held, and meet again in the final sum per cell.
+    are held, and meet again in the final sum per cell. The task function carries all it needs, so
+    workers need not have this package.
     """
+    most = HELD
+
+    def spread(lo, hi):
+        """Row numbers and values of the ranges ``lo..hi`` written one under the other."""
+        count = np.maximum(hi - lo + 1, 0)
+        row = np.repeat(np.arange(len(lo)), count)
+        first = np.cumsum(count) - count
+        return row, lo[row] + np.arange(len(row)) - first[row]
 
     def add(batches):
         held = {}
@@ -78,9 +79,9 @@ def _tile_sums(min_x, min_y, cols, lines, resolution, tiles, reach):
                     hi = np.floor((v + h * reach - low) / side).astype(np.int64)
                     return np.maximum(lo, 0), np.minimum(hi, (count - 1) // tile)
 
-                row, tx = _spread(*span(x, min_x, cols))
+                row, tx = spread(*span(x, min_x, cols))
                 lo_y, hi_y = span(y, min_y, lines)
-                again, ty = _spread(lo_y[row], hi_y[row])
+                again, ty = spread(lo_y[row], hi_y[row])
                 row, tx = row[again], tx[again]
                 order = np.lexsort((ty, tx))
                 row, tx, ty = row[order], tx[order], ty[order]
@@ -96,7 +97,7 @@ def _tile_sums(min_x, min_y, cols, lines, resolution, tiles, reach):
                     ey = np.exp(-((y[at, None] - gy) ** 2) / (2 * h * h)) * n[at, None]
                     total = ey.T @ ex
                     held[key] = held[key] + total if key in held else total
-                    if len(held) > HELD:
+                    if len(held) > most:
                         yield from rows()
         yield from rows()
 
