@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from comarca.llm import licenses, quality_model, quality_rules, url_filters
+from comarca.llm import licenses, mixing, near_dups, neighbours, pii, quality_model, quality_rules, url_filters
 from comarca.llm.frames import load
 
 QUERIES, ORACLES = {}, {}
@@ -38,3 +38,24 @@ def op6(spark, folder):
 @query("op10_quality_rules")
 def op10(spark, folder):
     return quality_rules.quality_rules(load(spark, folder, "documents"))
+
+
+@query("op1_nearest_neighbours")
+def op1(spark, folder):
+    return neighbours.nearest(load(spark, folder, "embeddings"))
+
+
+@query("op7_source_mix")
+def op7(spark, folder):
+    return mixing.mix_report(load(spark, folder, "documents"))
+
+
+@query("op5_personal_data")
+def op5(spark, folder):
+    documents = load(spark, folder, "documents")
+    return pii.find_pii(documents, pii.train(documents), redact=False).drop("redacted")
+
+
+@query("op4_near_duplicates")
+def op4(spark, folder):
+    return near_dups.near_duplicates(load(spark, folder, "documents"))
