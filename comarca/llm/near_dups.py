@@ -22,7 +22,7 @@ from comarca.session import durable
 BASE = 1.2  # b: ratio of register steps
 RATE = 16.0  # a: rate of the exponential variates
 LIMIT = 200  # q + 1: the largest register
-BAND, BANDS = 6, 26  # at similarity 0.85 a pair shares no band with probability 1e-6
+BAND, BANDS = 5, 32  # a pair of similarity 0.8 shares no band with probability 6e-7, one of 0.85 with 1e-9
 REGISTERS = BAND * BANDS
 SHINGLE, PERCENT = 3, 85
 CHUNK = 512  # classes of a bucket that meet in one block

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from comarca.llm import licenses, mixing, near_dups, neighbours, pii, quality_model, quality_rules, url_filters
+from comarca.llm import (
+    licenses, line_dedup, mixing, near_dups, neighbours, pieces, pii, quality_model, quality_rules, url_filters,
+)
 from comarca.llm.frames import load
 
 QUERIES, ORACLES = {}, {}
@@ -59,3 +61,14 @@ def op5(spark, folder):
 @query("op4_near_duplicates")
 def op4(spark, folder):
     return near_dups.near_duplicates(load(spark, folder, "documents"))
+
+
+@query("op8_line_dedup")
+def op8(spark, folder):
+    documents = load(spark, folder, "documents")
+    return line_dedup.dedup_lines(documents.select("doc_id", "text"))
+
+
+@query("op9_sentencepiece")
+def op9(spark, folder):
+    return pieces.encode(load(spark, folder, "documents"))
