@@ -156,15 +156,12 @@ def dedup_lines(documents: DataFrame, near=True, min_words=MIN_WORDS, near_words
             raise ValueError(f"documents have a column {name}")
     if near and near_words < max(2, min_words):
         raise ValueError("near lines need at least two words and min_words")
-    spark = documents.sparkSession
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     lines = _first_lines(documents, min_words, near_words if near else 1 << 30)
     types = durable(
         lines.groupBy("line").agg(
             F.min(F.struct("doc_id", "no")).alias("place"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(4)]
         )
     )
-    texts = documents.repartition(pieces, "doc_id")
     kept = types.select("line", F.col("place.doc_id").alias("doc_id"))
     if near:
         halves = types.where("k0 is not null").select(
@@ -174,11 +171,11 @@ def dedup_lines(documents: DataFrame, near=True, min_words=MIN_WORDS, near_words
         shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
         wanted = halves.join(shared, "key").groupBy("line", "doc_id").agg(F.bit_or("side").alias("sides"))
         wanted = durable(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "sides")).alias("wanted")))
-        asked = texts.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+        asked = documents.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
         gone = _near_lines(_variants(asked.select("doc_id", "text", "wanted"), min_words))
         kept = kept.join(gone, "line", "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_list("line").alias("_kept")).withColumnRenamed("doc_id", "_id")
-    joined = texts.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     return _cut(joined, documents.schema, min_words)
 
 
