@@ -93,7 +93,7 @@ class Chunks:
         return self.data[self.starts[i] : self.ends[i]].tobytes().decode()
 
 
-def _spaced_slices(column, size=1 << 20):
+def _spaced_slices(column, size=1 << 19):
     for row, data, offsets in slices(column, size):
         texts = [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])]
         for _, more, bounds in slices(pa.array(spaced(texts), pa.large_string()), 1 << 62):
@@ -105,7 +105,7 @@ def count_words(texts: DataFrame, solo) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in _spaced_slices(batch.column("text"), 1 << 22):
+            for _, _, data, offsets in _spaced_slices(batch.column("text")):
                 chunks = Chunks(data, offsets, solo)
                 _, at, n = np.unique(chunks.hashes, return_index=True, return_counts=True)
                 words = pa.array([chunks.text(i) for i in at], pa.string())
