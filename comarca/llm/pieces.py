@@ -127,10 +127,12 @@ def lattice(words: DataFrame, keys, pieces: DataFrame, longest) -> DataFrame:
     spans = """flatten(transform(sequence(1, size), s -> transform(sequence(1, least({}, size - s + 1)),
         n -> struct(s - 1 as s, n as n, substring(_text, s, n) as piece))))""".format(int(longest))
     cut = words.withColumn("_text", text).withColumn("size", F.length("_text"))
-    parts = cut.select(*keys, "size", F.explode(F.expr(spans)).alias("x")).select(*keys, "size", "x.*")
+    # a number first among the keys lets rows be sorted by it instead of by long texts with like beginnings
+    parts = cut.select(F.xxhash64(*keys).alias("_h"), *keys, F.explode(F.expr(spans)).alias("x")).select("_h", *keys, "x.*")
     edges = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
-    edge = F.struct(F.coalesce(-F.col("score"), F.lit(0.0)).alias("r"), "s", "n", "id", "piece")
-    return edges.groupBy(*keys, "size").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = F.struct(F.coalesce(-F.col("score"), F.lit(0.0)).cast("float").alias("r"), "s", "n", "id")
+    grouped = edges.groupBy("_h", *keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return grouped.withColumn("size", F.length(text)).drop("_h")
 
 
 # An edge can be merged where both of its ends are cuts and exactly one cut lies inside.
@@ -180,7 +182,7 @@ def fold_viterbi(words: DataFrame, unknown=-1e4) -> DataFrame:
 
 def ids_of(folded: DataFrame, keys, first_byte) -> DataFrame:
     """``keys, ids`` of folded words; characters that are no piece become the ids of their UTF-8 bytes."""
-    raw = "hex(encode(c.piece, 'utf-8'))"
+    raw = "hex(encode(substring(word, c.s + 1, 1), 'utf-8'))"
     octets = f"transform(sequence(0, cast(length({raw}) / 2 as int) - 1), k -> {first_byte} + cast(conv(substring({raw}, 2 * k + 1, 2), 16, 10) as int))"
     ends = "concat(slice(cuts, 2, size), array(size))"
     chosen = f"zip_with(cuts, {ends}, (b, t) -> filter(edges, e -> e.s = b and e.s + e.n = t)[0])"
