@@ -174,51 +174,86 @@ class _Union:
         return i != j
 
 
-def block_links(ids, sizes, tables, sets, left, right, percent):
-    """Links that connect what one block shows connected; row 0 is the leader, ``left`` and ``right`` row numbers.
-
-    Verified pairs only; pairs already connected through others of the block are not looked at again.
-    """
-    union = _Union(len(ids))
+def shortlist(sizes, tables, rows, columns, percent):
+    """Pairs of ``rows`` x ``columns`` whose estimate may reach the threshold, best first."""
     level = percent / 100
-
-    def shortlist(rows, columns):
-        a, b = tables[rows][:, None, :], tables[columns][None, :, :]
+    slack = MARGIN * math.sqrt(level * (1 - level) / REGISTERS)
+    first, second = [], []
+    guesses = []
+    for at in range(0, len(rows), 64):
+        part = rows[at : at + 64]
+        a, b = tables[part][:, None, :], tables[columns][None, :, :]
         above, below = (a > b).sum(2, dtype=np.int32), (a < b).sum(2, dtype=np.int32)
-        guess = estimate(above, below, sizes[rows][:, None].astype(float), sizes[columns][None, :].astype(float), 24)
-        slack = MARGIN * math.sqrt(level * (1 - level) / REGISTERS)
+        guess = estimate(above, below, sizes[part][:, None].astype(float), sizes[columns][None, :].astype(float), 24)
         r, c = np.nonzero(guess >= level - slack)
-        order = np.argsort(-guess[r, c], kind="stable")
-        return rows[r[order]], columns[c[order]]
+        first.append(part[r])
+        second.append(columns[c])
+        guesses.append(guess[r, c])
+    order = np.argsort(-np.concatenate(guesses), kind="stable")
+    return np.concatenate(first)[order], np.concatenate(second)[order]
+
 
-    def settle(pairs):
-        for i, j in zip(*pairs):
-            if i != j and union.find(i) != union.find(j) and enough(sets[i], sets[j], percent):
+def block_pairs(sizes, tables, left, right, percent):
+    """Shortlisted pairs of one block: those of the leader (row 0), then those of ``left`` x ``right``."""
+    every = np.unique(np.concatenate((left, right)))
+    for rows, columns in ((np.array([0]), every), (left, right)):
+        a, b = shortlist(sizes, tables, rows, columns, percent)
+        yield a[a != b], b[a != b]
+
+
+def block_links(ids, sets, pairs, percent):
+    """Links that connect what the shortlisted pairs of one block show connected, each verified on the full sets.
+
+    Pairs already connected through others of the block are not looked at again.
+    """
+    union = _Union(len(ids))
+    for left, right in pairs:
+        for i, j in zip(left.tolist(), right.tolist()):
+            if union.find(i) != union.find(j) and enough(sets[i], sets[j], percent):
                 union.join(i, j)
                 yield ids[i], ids[j]
 
-    every = np.unique(np.concatenate((left, right)))
-    yield from settle(shortlist(np.array([0]), every))
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
-        yield from settle(shortlist(rows, right))
+
+def _each_block(batches):
+    """Rows of each block, the leader first, with register table, left and right row numbers."""
+    for group in sorted_groups(batches, ["leader", "i", "j"]):
+        side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
+        order = np.lexsort((ids, side))
+        table, side = group.take(pa.array(order)), side[order]
+        if side[0] != 0 or len(side) < 2:
+            continue
+        tables = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        yield table, tables, left if len(left) else right, right if len(right) else left
+
+
+_BLOCK = "leader long, i int, j int, side int, id long"
+
+
+def _promising(blocks: DataFrame, percent) -> DataFrame:
+    """The rows of ``blocks`` that have a shortlisted pair in their block, judged by registers and sizes alone."""
+
+    def run(batches):
+        for table, tables, left, right in _each_block(batches):
+            pairs = list(block_pairs(table.column("n").to_numpy(), tables, left, right, percent))
+            used = np.unique(np.concatenate([x for p in pairs for x in p]))
+            if len(used):
+                used = np.union1d(used, [0])  # the leader opens its block
+                kept = table.select([c.split()[0] for c in _BLOCK.split(", ")]).take(pa.array(used))
+                yield from kept.combine_chunks().to_batches()
+
+    ordered = blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    return ordered.mapInArrow(run, _BLOCK)
 
 
 def _verify(blocks: DataFrame, percent) -> DataFrame:
     """``src, dst`` from ``leader, i, j, side, id, n, registers, members`` dealt by block."""
 
     def run(batches):
-        for group in sorted_groups(batches, ["leader", "i", "j"]):
-            side, ids = group.column("side").to_numpy(), group.column("id").to_numpy()
-            order = np.lexsort((ids, side))
-            table = group.take(pa.array(order))
-            side, ids = side[order], ids[order]
-            tables = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        for table, tables, left, right in _each_block(batches):
             sets = [np.frombuffer(b, np.uint64) for b in table.column("members").to_pylist()]
-            left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-            right = right if len(right) else left
-            left = left if len(left) else right
-            links = list(block_links(ids, table.column("n").to_numpy(), tables, sets, left, right, percent))
+            pairs = block_pairs(table.column("n").to_numpy(), tables, left, right, percent)
+            links = list(block_links(table.column("id").to_pylist(), sets, pairs, percent))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["src", "dst"])
 
@@ -272,7 +307,8 @@ def near_duplicates(documents: DataFrame, shingle=SHINGLE, percent=PERCENT, chun
     wide = counts.withColumn("k", chunks).select("leader", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), "k")
     heads = wide.select("leader", "id", "i", F.explode(F.sequence("i", F.col("k") - 1)).alias("j"), F.lit(0).alias("side"))
     blocks = met.unionByName(heads.select("leader", "id", "i", "j", "side"))
-    wanted = pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct()
+    blocks = durable(_promising(blocks.join(classes.select("id", "n", "registers"), "id"), percent))
+    wanted = blocks.select("id").distinct()
     sets = _members(documents, wanted, shingle)
     # of rows that repeat an id, the set of the class is taken: as many members and the same digest
     known = classes.join(wanted, "id", "left_semi")
