@@ -318,7 +318,8 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
                 words = pa.array([chunks.text(i) for i in missing], pa.string())
                 yield pa.RecordBatch.from_arrays([ids, words], ["doc_id", "word"])
 
-    found = texts.mapInArrow(rare, "doc_id long, word string").repartition(pieces, "doc_id").distinct()
+    # written once: the lattice takes short and long words apart
+    found = durable(texts.mapInArrow(rare, "doc_id long, word string").distinct()).repartition(pieces, "doc_id")
     keyed = encode_words(found, ["doc_id", "word"], model).groupBy("doc_id").agg(
         F.collect_list(F.struct("word", "ids")).alias("rare")
     )
