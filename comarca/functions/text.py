@@ -90,15 +90,28 @@ def city_name(c) -> Column:
     return F.when(blank(c), F.lit(fixed.UNKNOWN_CITY)).otherwise(named)
 
 
+_DATE, _TIME, _ZONE = r"\d{4}-\d{2}-\d{2}", r"[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?", r"(Z|[+-]\d{2}:?\d{2})"
+
+
 def instant(c) -> Column:
-    """ISO-8601 text as a UTC timestamp, NULL where it does not parse."""
-    return F.try_to_timestamp(_col(c))
+    """ISO-8601 date or date and time as a timestamp, NULL for anything else; UTC where no zone is named.
+
+    The session's own zone plays no part.
+    """
+    read = _col(c)
+    full = (
+        F.when(read.rlike(f"^{_DATE}{_TIME}{_ZONE}$"), read)
+        .when(read.rlike(f"^{_DATE}{_TIME}$"), F.concat(read, F.lit("Z")))
+        .when(read.rlike(f"^{_DATE}$"), F.concat(read, F.lit("T00:00:00Z")))
+    )
+    return F.try_to_timestamp(full)
 
 
 def iso(c) -> Column:
-    """Timestamp as ISO-8601 text, with the fraction only when there is one."""
-    whole = F.date_format(_col(c), "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(_col(c), "SSSSSS")
+    """Timestamp as ISO-8601 text in UTC, with the fraction only when there is one."""
+    utc = F.to_utc_timestamp(_col(c), F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    fraction = F.date_format(utc, "SSSSSS")
     return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
 
 

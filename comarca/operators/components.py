@@ -2,12 +2,12 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from comarca.scale import HOT_KEYS, HOT_ROWS, hot_keys, skew_join
+from comarca.scale import HOT_ROWS, hot_keys, skew_join
 from comarca.session import durable
 
 
 def _hot(df, key, count):
-    top = df.where(F.col(count) >= HOT_ROWS).orderBy(F.desc(count)).limit(HOT_KEYS)
+    top = df.where(F.col(count) >= HOT_ROWS).orderBy(F.desc(count))
     return [(r[0],) for r in top.select(key).collect()]
 
 

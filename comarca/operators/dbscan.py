@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from comarca import fixed
 from comarca.operators.components import connected_components
 from comarca.operators.filters import cluster_input
-from comarca.scale import HOT_KEYS, HOT_ROWS, number_rows, skew_join
+from comarca.scale import HOT_ROWS, number_rows, skew_join
 from comarca.session import durable
 
 DIAGONAL = 0.7071067  # just below 1/sqrt(2): the cell diagonal stays below eps
@@ -109,7 +109,7 @@ def _hot_ends(pairs):
     ends = pairs.select(F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("na").alias("n")).union(
         pairs.select("bx", "by", "nb")
     )
-    top = ends.where(F.col("n") >= HOT_ROWS).distinct().orderBy(F.desc("n")).limit(HOT_KEYS)
+    top = ends.where(F.col("n") >= HOT_ROWS).distinct().orderBy(F.desc("n"))
     return [(r.px, r.py) for r in top.collect()]
 
 
@@ -203,7 +203,7 @@ def dbscan(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -
         raise ValueError("only min_points=1 is supported")
     w = eps * DIAGONAL
     labels = durable(_labelled_cells(points, eps).select("cx", "cy", "n", "component"))
-    top = labels.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS)
+    top = labels.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"))
     hot = [(r.cx, r.cy) for r in top.collect()]
     placed = points.withColumns({"cx": _at("x", w), "cy": _at("y", w)})
     return skew_join(placed, labels.drop("n"), ["cx", "cy"], hot=hot).drop("cx", "cy")

@@ -8,7 +8,7 @@ chain, so no chain is ever brought into one task.
 from pyspark.sql import DataFrame, functions as F
 
 from comarca.functions.geo import line_geometry
-from comarca.scale import HOT_KEYS, HOT_ROWS, skew_join
+from comarca.scale import HOT_ROWS, skew_join
 from comarca.session import durable
 
 MOST_ROUNDS = 62
@@ -174,7 +174,7 @@ def merge_lines(lines) -> DataFrame:
         )
     )
     # the lengths of the chains are known, so the hot ones need no count of their own
-    long = kept.where(F.col("arcs") >= HOT_ROWS).orderBy(F.desc("arcs")).limit(HOT_KEYS)
+    long = kept.where(F.col("arcs") >= HOT_ROWS).orderBy(F.desc("arcs"))
     ordered = skew_join(
         placed.select("route_id", "arc", "to", "ahead", "weight"), kept.drop("arcs"),
         ["route_id", "to"], hot=[(r.route_id, r.to) for r in long.collect()],

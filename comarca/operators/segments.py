@@ -6,7 +6,7 @@ from comarca import fixed
 from comarca.functions.geo import line_bounds, line_hits_box, parse_box
 from comarca.functions.text import iso, or_default_blank
 from comarca.operators.filters import of_user
-from comarca.scale import HOT_ROWS, skew_join
+from comarca.scale import skew_join
 
 
 def with_bounds(segments) -> DataFrame:
@@ -121,7 +121,7 @@ def _laid(df, others, x1, y1, x2, y2):
     return df.withColumn("level", F.explode(grids)).withColumn("cx", cells(x1, x2)).withColumn("cy", cells(y1, y2))
 
 
-def box_join(segments, boxes, detail=1, min_rows=HOT_ROWS) -> DataFrame:
+def box_join(segments, boxes, detail=1, min_rows=None) -> DataFrame:
     """Pairs of boxes and segments that meet: ``box_id, id``.
 
     Both sides have size classes (at most one per power of two), and a pair meets on the grid of

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from comarca.functions.text import instant, iso
 from comarca.scale import running_best
+from comarca.session import durable
 from comarca.sources.writers import keep_last
 
 KEYS = ["user_id", "segment_id"]
@@ -15,8 +16,17 @@ def latest_queued(queue) -> DataFrame:
     return keep_last(queue, KEYS, "seq")
 
 
+#: Server rows come before every item of a batch.
+_SERVER = -(1 << 63)
+#: What settles the order of items of one ``seq``, as when two devices drain into one batch.
+_TIES = ["t", "visited", "notes", "source"]
+
+
 def _timed(items):
-    return items.withColumn("t", instant("visited_at")).where("t is not null")
+    missing = F.raise_error(F.lit("an item without seq")).cast("bigint")
+    return items.withColumn("seq", F.coalesce(F.col("seq").cast("bigint"), missing)).withColumn(
+        "t", instant("visited_at")
+    ).where("t is not null")
 
 
 def _touched(state, items):
@@ -28,21 +38,22 @@ def fold(state, items) -> DataFrame:
     """Every item of a batch with the state it meets and whether it is accepted.
 
     An item is accepted when no earlier accepted write of its key is newer; equal times go to
-    the item. ``seq`` (0 or more) is the order of the batch. Items with an unreadable time are
-    left out.
+    the item. ``seq`` is the order of the batch, equal ones are ordered by time and then by the rest of the row; an
+    item without it is an error. Items with an unreadable time are left out.
     """
     batch = _timed(items).select(
-        *KEYS, "seq", "t", "visited", "notes", "source", F.col("visited_at").alias("sent_at")
+        *KEYS, "seq", "t", "visited", "notes", "source", F.col("visited_at").alias("sent_at"),
+        F.lit(False).alias("_server"),
     )
     server = _touched(state, batch).select(
-        *KEYS, F.lit(-1).cast("bigint").alias("seq"), F.col("visited_at").alias("t"), "visited",
-        "notes", "source", F.lit(None).cast("string").alias("sent_at"),
+        *KEYS, F.lit(_SERVER).cast("bigint").alias("seq"), F.col("visited_at").alias("t"), "visited",
+        "notes", "source", F.lit(None).cast("string").alias("sent_at"), F.lit(True).alias("_server"),
     )
     seen = running_best(
-        server.unionByName(batch), KEYS, "seq", F.struct("t", "seq", "visited", "notes"), "met"
+        server.unionByName(batch), KEYS, "seq", F.struct("t", "seq", "visited", "notes"), "met", ties=_TIES
     )
     fits = F.coalesce(F.col("t") >= F.col("met.t"), F.lit(True))
-    return seen.where("seq >= 0").withColumn("accepted", fits)
+    return seen.where("not _server").drop("_server").withColumn("accepted", fits)
 
 
 def conflicts(folded) -> DataFrame:
@@ -56,7 +67,7 @@ def conflicts(folded) -> DataFrame:
 
 def accepted_state(folded) -> DataFrame:
     """The newest accepted write per key, as state rows."""
-    won = folded.where("accepted").withColumn("_order", F.struct("t", "seq"))
+    won = folded.where("accepted").withColumn("_order", F.struct("t", "seq", "visited", "notes", "source"))
     last = keep_last(won, KEYS, "_order")
     return last.select(
         *KEYS, "visited", F.col("t").alias("visited_at"), "notes", "source",
@@ -72,7 +83,7 @@ def replace_rows(state, rows) -> DataFrame:
 
 def sync_visits(state, items):
     """(new state, conflicts, outcome) of merging a batch; the last write wins by time."""
-    folded = fold(state, items)
+    folded = durable(fold(state, items))  # three results, one fold
     return replace_rows(state, accepted_state(folded)), conflicts(folded), outcome(folded)
 
 

@@ -11,10 +11,11 @@ from comarca.sources.readers import pending
 def locate(rows, gazetteer, fold=True) -> DataFrame:
     """Add lon, lat and source: the gazetteer's point for the address, else a repeatable one.
 
-    ``gazetteer`` has one row per address: address, lon, lat. A common address is spread.
+    ``gazetteer`` has address, lon and lat; of repeated addresses the smallest point counts.
     """
     asked = rows.withColumn("address", address("logradouro", "numero", "bairro", "municipio"))
-    known = gazetteer.select("address", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    point = F.struct(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    known = gazetteer.groupBy("address").agg(F.min(point).alias("_point")).select("address", "_point.*")
     joined = skew_join(asked, known, ["address"], "left")
     kind = F.coalesce("business_type", F.lit("tech"))
     made = with_synthetic_point(joined, "cnpj_completo", kind, "municipio", "_x", "_y", fold)

@@ -7,27 +7,24 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from comarca.session import durable
 
 HOT_ROWS = 1_000_000  # a key below this many rows never needs splitting
-HOT_KEYS = 1_000  # at most this many keys can each hold 1/1000 of the rows
 
 
 def hot_keys(df: DataFrame, keys, min_rows=HOT_ROWS):
-    """Keys with at least ``min_rows`` rows, largest first.
-
-    Only the ``HOT_KEYS`` largest are looked at: any further key holds less than 1/1000 of the
-    rows, so it is not skewed. The driver sees at most ``HOT_KEYS`` small rows.
-    """
-    top = df.groupBy(*keys).count().orderBy(F.desc("count")).limit(HOT_KEYS).collect()
-    return [tuple(r[k] for k in keys) for r in top if r["count"] >= min_rows]
+    """All keys with at least ``min_rows`` rows, largest first: at most one for so many rows of ``df``."""
+    top = df.groupBy(*keys).count().where(F.col("count") >= min_rows).orderBy(F.desc("count")).collect()
+    return [tuple(r[k] for k in keys) for r in top]
 
 
-def skew_join(left, right, keys, how="inner", min_rows=HOT_ROWS, salts=64, hot=None):
+def skew_join(left, right, keys, how="inner", min_rows=None, salts=64, hot=None):
     """Join on ``keys`` where some keys may dominate ``left``.
 
-    Without hot keys this is the plain join. Otherwise the rows of hot keys are spread over
+    By default this is the plain join, whose skewed partitions adaptive execution splits from the sizes it sees
+    while it runs, without a counting pass. With ``hot`` (or ``min_rows``, which counts the keys first), the rows of hot keys are spread over
     ``salts`` sub-keys and only the matching rows of ``right`` are repeated, so every pair is
     still produced exactly once. Works for inner, left, left_semi and left_anti.
     """
-    hot = hot_keys(left, keys, min_rows) if hot is None else hot
+    if hot is None and min_rows is not None:
+        hot = hot_keys(left, keys, min_rows)
     if not hot:
         return left.join(right, keys, how)
     schema = left.select(*keys).schema
@@ -49,7 +46,7 @@ def _mark(df, listed, keys):
     names = {k: f"_hot_{k}" for k in keys}
     renamed = listed.withColumnsRenamed(names)
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[names[k]]) for k in keys])
-    # at most HOT_KEYS rows, see hot_keys
+    # at most one row per HOT_ROWS rows of the larger side, see hot_keys
     return df.join(F.broadcast(renamed), same, "left").drop(*names.values())
 
 
@@ -66,23 +63,28 @@ def quantile_bounds(df, value, pieces=None):
 
 
 def range_piece(value: Column, cuts) -> Column:
-    """Index of the range that ``value`` falls in: the number of cuts at or below it."""
+    """Index of the range that ``value`` falls in: the number of cuts at or below it.
+
+    A binary search over one array, so thousands of cuts cost a dozen steps and no generated code.
+    """
+    if not cuts:
+        return F.lit(0)
+    listed = F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
 
-    def branch(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(cuts[mid]), branch(lo, mid)).otherwise(branch(mid + 1, hi))
+    def step(at, size):
+        beyond = F.try_element_at(listed, at + size) <= value
+        return F.when(F.coalesce(beyond, F.lit(False)), at + size).otherwise(at)
 
-    return branch(0, len(cuts))
+    return F.aggregate(steps, F.lit(0), step)
 
 
-def running_best(df, keys, order, value, name, pieces=None):
+def running_best(df, keys, order, value, name, pieces=None, ties=()):
     """Add ``name``: the greatest ``value`` among earlier rows (by ``order``) of the same key.
 
     The running maximum is split at quantiles of ``order``, so a key with any share of the rows
     is worked on in many tasks: rows within a range use a window, earlier ranges arrive as one
-    pre-aggregated row per range.
+    pre-aggregated row per range. ``ties`` settle the order of rows of equal ``order``.
     """
     cuts = quantile_bounds(df, order, pieces)
     cut = df.withColumn("_piece", range_piece(F.col(order), cuts))
@@ -90,7 +92,7 @@ def running_best(df, keys, order, value, name, pieces=None):
     before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     carried = tops.select(*keys, "_piece", F.max("_top").over(before).alias("_carried"))
     inside = (
-        W.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*keys, "_piece").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         cut.join(carried, [*keys, "_piece"], "left")

@@ -1,16 +1,24 @@
 """Readers for registry files, business records and database tables."""
 
-from pyspark.errors import AnalysisException
+import logging
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from comarca import fixed, schemas
 
 
 def read_registry_csv(spark, paths) -> DataFrame:
-    """Headerless ``;`` Latin-1 registry files; every column stays text."""
+    """Headerless ``;`` Latin-1 registry files; every column stays text.
+
+    Quotes inside quoted text are doubled and a backslash is an ordinary character.
+    """
     return (
         spark.read.schema(schemas.RAW_ESTAB)
         .option("sep", ";")
+        .option("quote", '"')
+        .option("escape", '"')
         .option("encoding", "ISO-8859-1")
         .option("header", False)
         .csv(paths)
@@ -36,15 +44,16 @@ def read_jdbc(spark, url, table, column, lower, upper, partitions, **options) ->
 def first_non_empty(readers):
     """First source that exists and has at least one row; None when there is none.
 
-    ``readers`` are functions without arguments. Each try costs a one-row job.
+    ``readers`` are functions without arguments. Each try costs a one-row job. A source that fails, such as a
+    database that is down, is logged and passed over.
     """
     for reader in readers:
         try:
             df = reader()
             if not df.isEmpty():
                 return df
-        except AnalysisException:
-            continue
+        except (PySparkException, Py4JError, OSError) as error:
+            logging.getLogger(__name__).warning("source passed over: %s", str(error).split("\n")[0])
     return None
 
 

@@ -39,16 +39,23 @@ def widen(df, columns) -> DataFrame:
     return df.withColumns(added) if added else df
 
 
+def _one_per_key(df, keys, pick) -> DataFrame:
+    """One row per key; the keys stay plain columns, so that filters on them reach the scan."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*keys).agg(pick(F.struct(*rest)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+
+
 def keep_last(df, keys, order) -> DataFrame:
     """The last row per key by ``order``; rows are reduced before the shuffle."""
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_row"))
-    return best.select("_row.*")
+    return _one_per_key(df, list(keys), lambda row: F.max_by(row, order))
 
 
 def keep_first(df, keys, order) -> DataFrame:
     """The first row per key by ``order``; rows are reduced before the shuffle."""
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("_row"))
-    return best.select("_row.*")
+    return _one_per_key(df, list(keys), lambda row: F.min_by(row, order))
 
 
 def upsert(target, source, keys, update, order=None, stamp=None, reset_geocode_on=()):

@@ -140,3 +140,52 @@ def test_density_label(spark):
         "Sin comercios activos detectados en esta zona.",
         "Desarrollo de Software en funcionamiento: 4 empresas de desarrollo de software activas.",
     ]
+
+
+def test_instants_are_strict_and_free_of_the_session_zone(spark):
+    from comarca.functions.text import instant, iso
+
+    rows = [
+        ("2026-05-30T10:00:00Z", "2026-05-30T10:00:00"), ("2026-05-30 10:00:00.25", "2026-05-30T10:00:00.250000"),
+        ("2026-05-30T10:00:00-03:00", "2026-05-30T13:00:00"), ("2026-05-30", "2026-05-30T00:00:00"), ("10:00", None),
+        ("2026", None), ("2026-05", None), (" 2026-05-30 ", None), ("2026-13-01", None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "t string, want string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert all(r.got == r.want for r in df.select(iso(instant("t")).alias("got"), "want").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_registry_csv_equals_pandas(spark, tmp_path):
+    import csv
+
+    import pandas as pd
+
+    from comarca import schemas
+    from comarca.sources.readers import first_non_empty, read_registry_csv
+
+    width = len(spark.createDataFrame([], schemas.RAW_ESTAB).columns)
+    rows = [["1", 'LOJA ""BOA"" LTDA', "a;b", "C:\\"], ["2", "x", "\\", '""']]
+    path = tmp_path / "estab.csv"
+    text = "\n".join(";".join(f'"{v}"' for v in [*r, *["é"] * (width - 4)]) for r in rows) + "\n"
+    path.write_bytes(text.encode("latin-1"))
+    want = pd.read_csv(path, sep=";", header=None, dtype=str, encoding="latin-1", quoting=csv.QUOTE_MINIMAL)
+    got = read_registry_csv(spark, str(path)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want.itertuples(index=False)]
+
+    down = lambda: spark.read.jdbc("jdbc:none://nowhere/db", "t")
+    assert first_non_empty([down, lambda: read_registry_csv(spark, str(path))]).count() == 2
+
+
+def test_keys_stay_visible_to_filters(spark, tmp_path):
+    from comarca.sources.writers import keep_last
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("u", 1, "a"), ("u", 2, "b")], "k string, seq long, v string").write.parquet(path)
+    last = keep_last(spark.read.parquet(path), ["k"], "seq").where("k = 'u'")
+    assert [tuple(r) for r in last.collect()] == [("u", 2, "b")]
+    assert "EqualTo(k,u)" in last._jdf.queryExecution().executedPlan().toString()

@@ -50,3 +50,15 @@ def test_exact_quantiles(spark):
         assert np.allclose([got[(g, p)] for p in probs], want)
     alone = exact_quantiles(df.where("g = 0").limit(1), "v", [0.5]).collect()
     assert len(alone) == 1
+
+
+def test_joins_start_no_job_and_many_cuts_are_cheap(spark):
+    left, right = spark.range(50).toDF("k"), spark.range(10).toDF("k")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plain-join", "no job is expected")
+    skew_join(left, right, ["k"])
+    assert not list(tracker.getJobIdsForGroup("plain-join"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    cuts = list(range(10, 40_010, 10))
+    rows = spark.range(0, 40_100, 7).select("id", range_piece(F.col("id"), cuts).alias("p")).collect()
+    assert all(r.p == min(r.id // 10, len(cuts)) for r in rows)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -73,7 +74,9 @@ def write(path, items):
     names = ["user_id", "segment_id", "visited", "visited_at", "notes", "source", "seq"]
     path.mkdir(parents=True, exist_ok=True)
     for k, part in enumerate(items):
-        (path / f"{k:03d}.json").write_text("\n".join(json.dumps(dict(zip(names, i))) for i in part))
+        file = path / f"{k:03d}.json"
+        file.write_text("\n".join(json.dumps(dict(zip(names, i))) for i in part))
+        os.utime(file, (1_000_000 + k, 1_000_000 + k))  # a stream takes files by age
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -110,3 +113,22 @@ def test_stream_overwrite(spark, tmp_path):
     store = VisitStore(spark, str(tmp_path / "store"), policy="overwrite")
     store.apply(spark.createDataFrame(good, schemas.VISIT_ITEM), 0)
     assert {k: v[2] for k, v in read(store.state()).items()} == {(i[0], i[1]): i[4] for i in good}
+
+
+def test_any_seq(spark):
+    """Negative and equal seq are taken in a fixed order; an item without seq is an error."""
+    import pytest
+
+    state, items = frames(spark, {}, [])
+    row = items.schema.names
+    base = {"user_id": "u", "segment_id": 1, "visited": True, "notes": "n", "source": "s"}
+
+    def batch(*parts):
+        full = [tuple({**base, **p}.get(c) for c in row) for p in parts]
+        return spark.createDataFrame(full, items.schema)
+
+    a, b = {"seq": -5, "visited_at": "2026-05-02T00:00:00"}, {"seq": -5, "visited_at": "2026-05-01T00:00:00"}
+    got = [sorted(tuple(r) for r in visits.fold(state, batch(*x)).select("t", "accepted").collect()) for x in ([a, b], [b, a])]
+    assert got[0] == got[1] and len(got[0]) == 2 and all(r[1] for r in got[0])
+    with pytest.raises(Exception, match="without seq"):
+        visits.fold(state, batch({"seq": None, "visited_at": "2026-05-02T00:00:00"})).collect()
