@@ -5,9 +5,10 @@ lattice edges; edges are grouped by word and folded with Spark's ``aggregate``.
 for a unigram model it is Viterbi's best sum of scores; for a BPE model, where the best sum is not what the model
 means, edges are taken best score first and merged where exactly one cut lies inside (``fold_merges``).
 
-A word is a run of spaces with the characters behind it, or one character that no longer piece holds, so no piece
-reaches over its borders and words can be encoded apart from each other. Words seen at least twice form a dictionary of
-bounded size, which is broadcast; the others pass through the same lattice, keyed by their document.
+Texts are cut wherever no piece holds the two neighbouring characters side by side, so no piece reaches over a border
+and the words between borders can be encoded apart from each other. They are told apart by 64-bit hashes. Words seen at
+least twice form a dictionary of bounded size, which is broadcast; the others pass through the same lattice, keyed by
+their document.
 """
 
 import heapq
@@ -53,8 +54,12 @@ class Pieces:
         self.sizes = np.array([len(t) for t in texts])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
-        joined = {c for p, _, _ in self.rows if len(p) > 1 for c in p}
-        self.solo = [b for b in range(128) if chr(b) not in joined and b != 32]
+        # joined[256 * a + b]: some piece has a character ending in byte a before one beginning with byte b
+        self.joined = np.zeros(1 << 16, bool)
+        for p, _, _ in self.rows:
+            letters = [c.encode() for c in p.replace(SPACE, " ")]
+            for a, b in zip(letters, letters[1:]):
+                self.joined[256 * a[-1] + b[0]] = True
 
     def table(self, spark):
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
@@ -71,12 +76,10 @@ def spaced(texts):
 class Chunks:
     """Words of a slice of spaced texts: starts, ends, hashes, and the first word of each text."""
 
-    def __init__(self, data, offsets, solo):
-        kind = np.ones(256, np.uint8)  # 0 space, 1 other, 2 on its own
-        kind[32], kind[solo] = 0, 2
-        k = kind[data]
+    def __init__(self, data, offsets, joined):
         start = np.ones(len(data), bool)
-        start[1:] = (k[1:] == 2) | (k[:-1] == 2) | ((k[1:] == 0) & (k[:-1] != 0))
+        pair = data[:-1].astype(np.int32) << 8 | data[1:]
+        start[1:] = ~joined[pair] & (data[1:] & 0xC0 != 0x80)
         start[offsets[:-1][np.diff(offsets) > 0]] = True
         self.data, self.starts = data, np.flatnonzero(start)
         self.ends = np.append(self.starts[1:], len(data)) if len(data) else self.starts
@@ -100,18 +103,19 @@ def _spaced_slices(column, size=1 << 19):
             yield row, texts, more, bounds
 
 
-def count_words(texts: DataFrame, solo) -> DataFrame:
-    """``word, n`` of all words of ``texts(text)``."""
+def count_words(texts: DataFrame, joined) -> DataFrame:
+    """``h, word, n`` of all words of ``texts(text)``."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in _spaced_slices(batch.column("text")):
-                chunks = Chunks(data, offsets, solo)
-                _, at, n = np.unique(chunks.hashes, return_index=True, return_counts=True)
+                chunks = Chunks(data, offsets, joined)
+                hashes, at, n = np.unique(chunks.hashes, return_index=True, return_counts=True)
                 words = pa.array([chunks.text(i) for i in at], pa.string())
-                yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), words, pa.array(n)], ["h", "word", "n"])
 
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = texts.select("text").mapInArrow(run, "h long, word string, n long")
+    return found.groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
 # --- the lattice --------------------------------------------------------------------------------------------------
@@ -120,19 +124,20 @@ def count_words(texts: DataFrame, solo) -> DataFrame:
 def lattice(words: DataFrame, keys, pieces: DataFrame, longest) -> DataFrame:
     """``keys``, ``size`` and ``edges`` (rank, start, length, id; best rank first) of every word of ``words``.
 
-    Single characters have an edge each, with a null id where they are no piece. ``pieces`` is the vocabulary, so its
-    size is bounded. Words must be distinct by ``keys``, which hold ``word``, and rows dealt by some of ``keys``.
+    Single characters have an edge each; where they are no piece, its id is -1 minus their code point. ``pieces`` is the
+    vocabulary, so its size is bounded. ``words(keys, word)`` must be distinct by ``keys``, none empty, and dealt by
+    some of ``keys``.
     """
     text = F.regexp_replace("word", " ", SPACE)
-    spans = """flatten(transform(sequence(1, size), s -> transform(sequence(1, least({}, size - s + 1)),
-        n -> struct(s - 1 as s, n as n, substring(_text, s, n) as piece))))""".format(int(longest))
-    cut = words.withColumn("_text", text).withColumn("size", F.length("_text"))
-    # a number first among the keys lets rows be sorted by it instead of by long texts with like beginnings
-    parts = cut.select(F.xxhash64(*keys).alias("_h"), *keys, F.explode(F.expr(spans)).alias("x")).select("_h", *keys, "x.*")
+    cut = words.select(*keys, text.alias("_text")).withColumn("_size", F.length("_text"))
+    starts = cut.withColumn("s", F.explode(F.expr("sequence(0, _size - 1)")))
+    spans = starts.withColumn("n", F.explode(F.expr(f"sequence(1, least({int(longest)}, _size - s))")))
+    parts = spans.select(*keys, "s", "n", F.expr("substring(_text, s + 1, n)").alias("piece"))
     edges = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
-    edge = F.struct(F.coalesce(-F.col("score"), F.lit(0.0)).cast("float").alias("r"), "s", "n", "id")
-    grouped = edges.groupBy("_h", *keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    return grouped.withColumn("size", F.length(text)).drop("_h")
+    rank, own = F.coalesce(-F.col("score"), F.lit(0.0)).cast("float"), F.coalesce("id", -1 - F.ascii("piece"))
+    edge = F.struct(rank.alias("r"), "s", "n", own.alias("id"))
+    grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return grouped.withColumn("size", F.expr("aggregate(edges, 0, (a, e) -> greatest(a, e.s + e.n))"))
 
 
 # An edge can be merged where both of its ends are cuts and exactly one cut lies inside.
@@ -158,36 +163,47 @@ def _fold_exact():
 
 
 def fold_merges(words: DataFrame) -> DataFrame:
-    """Add ``cuts``: the starts of a word's pieces, by BPE merges over ``size, edges``."""
+    """Add ``mask`` and ``cuts``: the starts of a word's pieces, as bits and listed, by BPE merges over ``size, edges``."""
     out = words.withColumn("longer", F.expr("filter(edges, e -> e.n > 1)")).withColumn("_fast", F.expr(_fold_fast()))
     mask = F.when(F.col("_fast.late"), F.expr(_fold_exact())).otherwise(F.col("_fast.m"))
-    out = out.withColumn("_mask", mask)
-    cuts = F.expr("filter(sequence(0, size - 1), i -> (_mask & shiftleft(1L, i)) != 0)")
-    return out.withColumn("cuts", cuts).drop("longer", "_fast", "_mask")
+    out = out.withColumn("mask", mask)
+    cuts = F.expr("filter(sequence(0, size - 1), i -> (mask & shiftleft(1L, i)) != 0)")
+    return out.withColumn("cuts", cuts).drop("longer", "_fast")
 
 
 def fold_viterbi(words: DataFrame, unknown=-1e4) -> DataFrame:
-    """Add ``cuts`` of the largest sum of scores over ``size, edges``; ties go to the longer last piece.
+    """Add ``mask`` and ``cuts`` of the largest sum of scores over ``size, edges``; ties go to the longer last piece.
 
     Characters that are no piece cost ``unknown``. The state is the best score and start of the last piece, by end.
     """
-    gain = f"if(e.id is null, {unknown}D, -e.r)"
+    gain = f"if(e.id < 0, {unknown}D, -e.r)"
     reach = f"transform(filter(edges, e -> e.s + e.n = k), e -> struct(best[e.s].v + {gain} as v, -e.s as s))"
     start = "array(named_struct('v', 0D, 's', 0))"
     best = f"aggregate(sequence(1, size), {start}, (best, k) -> concat(best, array(array_max({reach}))))"
     back = """aggregate(sequence(1, size), named_struct('p', size, 'c', cast(array() as array<int>)),
         (a, k) -> if(a.p = 0, a, named_struct('p', -_best[a.p].s, 'c', concat(array(-_best[a.p].s), a.c)))).c"""
-    return words.withColumn("_best", F.expr(best)).withColumn("cuts", F.expr(back)).drop("_best")
+    mask = "aggregate(cuts, shiftleft(1L, size), (m, i) -> m | shiftleft(1L, i))"
+    found = words.withColumn("_best", F.expr(best)).withColumn("cuts", F.expr(back)).drop("_best")
+    return found.withColumn("mask", F.expr(mask))
+
+
+#: An edge is a piece of the result where both of its ends are cuts and no cut lies inside.
+_CHOSEN = (
+    "(mask & shiftleft(1L, e.s)) != 0 and (mask & shiftleft(1L, e.s + e.n)) != 0 and (mask & " + _INSIDE.format(e="e") + ") = 0"
+)
 
 
 def ids_of(folded: DataFrame, keys, first_byte) -> DataFrame:
     """``keys, ids`` of folded words; characters that are no piece become the ids of their UTF-8 bytes."""
-    raw = "hex(encode(substring(word, c.s + 1, 1), 'utf-8'))"
-    octets = f"transform(sequence(0, cast(length({raw}) / 2 as int) - 1), k -> {first_byte} + cast(conv(substring({raw}, 2 * k + 1, 2), 16, 10) as int))"
-    ends = "concat(slice(cuts, 2, size), array(size))"
-    chosen = f"zip_with(cuts, {ends}, (b, t) -> filter(edges, e -> e.s = b and e.s + e.n = t)[0])"
-    flat = f"flatten(transform(_chosen, c -> if(c.id is null, {octets}, array(c.id))))"
-    return folded.withColumn("_chosen", F.expr(chosen)).select(*keys, F.expr(flat).alias("ids"))
+    tail = [f"{first_byte + 128} + (shiftright(-1 - c.id, {6 * k}) & 63)" for k in range(3)]
+    octets = f"""case when c.id >= -128 then array({first_byte - 1} - c.id)
+        when c.id >= -2048 then array({first_byte + 192} + shiftright(-1 - c.id, 6), {tail[0]})
+        when c.id >= -65536 then array({first_byte + 224} + shiftright(-1 - c.id, 12), {tail[1]}, {tail[0]})
+        else array({first_byte + 240} + shiftright(-1 - c.id, 18), {tail[2]}, {tail[1]}, {tail[0]}) end"""
+    chosen = f"array_sort(transform(filter(edges, e -> {_CHOSEN}), e -> struct(e.s as s, e.id as id)))"
+    ids = f"""if(exists(_chosen, c -> c.id < 0), flatten(transform(_chosen, c -> if(c.id < 0, {octets}, array(c.id)))),
+        transform(_chosen, c -> c.id))"""
+    return folded.withColumn("_chosen", F.expr(chosen)).select(*keys, F.expr(ids).alias("ids"))
 
 
 def merge_long(word: str, ranks: dict, first_byte: int) -> list[int]:
@@ -223,7 +239,7 @@ def merge_long(word: str, ranks: dict, first_byte: int) -> list[int]:
 
 
 def encode_words(words: DataFrame, keys, model: Pieces) -> DataFrame:
-    """``keys, ids`` of words that are distinct by ``keys``."""
+    """``keys, ids`` of ``words(keys, word)`` that are distinct by ``keys``."""
     table, first_byte = model.table(words.sparkSession), model.bytes[0]
     short = lattice(words.where(F.length("word") <= FOLDED), keys, table, model.longest)
     folded = ids_of(fold_merges(short), keys, first_byte)
@@ -238,7 +254,7 @@ def encode_words(words: DataFrame, keys, model: Pieces) -> DataFrame:
 
     types = dict(words.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ids array<int>"
-    return folded.unionByName(words.where(F.length("word") > FOLDED).select(*keys).mapInArrow(long, schema))
+    return folded.unionByName(words.where(F.length("word") > FOLDED).select(*keys, "word").mapInArrow(long, schema))
 
 
 # --- documents ----------------------------------------------------------------------------------------------------
@@ -256,35 +272,14 @@ def _dictionary(counts: DataFrame, model, most):
         least = key
     words = counts.where(level >= least) if least is not None else counts.limit(0)
     pieces = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    encoded = encode_words(words.select("word").repartition(pieces, "word"), ["word"], model)
-
-    kind = np.uint16 if len(model.sizes) <= 1 << 16 else np.uint32
-
-    def packed(batches):
-        for batch in batches:
-            if batch.num_rows:
-                for _, data, offsets in slices(batch.column("word"), 1 << 62):
-                    hashes = _whole_hashes(data, offsets)
-                    ids = [np.array(x, kind).tobytes() for x in batch.column("ids").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(ids, pa.binary())], ["h", "ids"])
-
-    table = encoded.mapInArrow(packed, "h long, ids binary").toArrow()
-    hashes = table.column("h").to_numpy().astype(np.uint64)
+    table = encode_words(words.select("h", "word").repartition(pieces, "h"), ["h"], model).toArrow().combine_chunks()
+    hashes = table.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    parts = table.column("ids").combine_chunks().take(pa.array(order))
-    parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
-    _, where, data = parts.buffers()
-    bounds = np.frombuffer(where, np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
-    flat = np.frombuffer(data, kind) if len(parts) else np.zeros(0, kind)
-    return hashes[order], (bounds // np.dtype(kind).itemsize).astype(np.int64), flat
-
-
-def _whole_hashes(data, offsets):
-    """Hash of each text as one word."""
-    sizes = np.diff(offsets)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
-    terms = _power(int(sizes.max()))[place] * (data.astype(np.uint64) + np.uint64(1))
-    return mix(np.add.reduceat(terms, offsets[:-1]) ^ (sizes.astype(np.uint64) << np.uint64(40)))
+    ids = table.column("ids").combine_chunks().take(pa.array(order))
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    kind = np.uint16 if len(model.sizes) <= 1 << 16 else np.uint32
+    bounds = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return hashes[order], bounds, ids.flatten().to_numpy(zero_copy_only=False).astype(kind)
 
 
 def _look_up(hashes, known):
@@ -295,7 +290,7 @@ def _look_up(hashes, known):
 def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) -> DataFrame:
     """``doc_id, n_words, n_tokens, ids, round_trip`` and the columns ``carry`` of every row of ``documents(doc_id, text)``.
 
-    Ids are those of the model for the whole text. ``round_trip`` tells that they decode to the text, U+2581 counting as
+    ``n_words`` counts runs without spaces (U+0020). Ids are those of the model for the whole text. ``round_trip`` tells that they decode to the text, U+2581 counting as
     a space. Null and empty texts have no ids. Rows that repeat an id are encoded each. Rows of one ``doc_id`` share
     their rare words, which changes nothing.
     """
@@ -303,44 +298,45 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
     context, pieces = spark.sparkContext, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     model = Pieces(path)
     texts = with_text(documents, "doc_id", "text", *carry)
-    counts = durable(count_words(texts, model.solo).where("n > 1"))
+    counts = durable(count_words(texts, model.joined).where("n > 1"))
     # at most ``dictionary`` words
-    shared = context.broadcast((*_dictionary(counts, model, dictionary), model.solo, model.sizes, model.starts, model.flat))
+    shared = context.broadcast((*_dictionary(counts, model, dictionary), model.joined, model.sizes, model.starts, model.flat))
 
     def rare(batches):
-        known, solo = shared.value[0], shared.value[3]
+        known, joined = shared.value[0], shared.value[3]
         for batch in batches:
             for row, _, data, offsets in _spaced_slices(batch.column("text")):
-                chunks = Chunks(data, offsets, solo)
+                chunks = Chunks(data, offsets, joined)
                 missing = np.flatnonzero(~_look_up(chunks.hashes, known)[1])
                 owner = np.searchsorted(chunks.first, missing, "right") - 1
                 ids = batch.column("doc_id").slice(row).take(pa.array(owner))
                 words = pa.array([chunks.text(i) for i in missing], pa.string())
-                yield pa.RecordBatch.from_arrays([ids, words], ["doc_id", "word"])
+                hashes = pa.array(chunks.hashes[missing].view(np.int64))
+                yield pa.RecordBatch.from_arrays([hashes, ids, words], ["h", "doc_id", "word"])
 
     # written once: the lattice takes short and long words apart
-    found = durable(texts.mapInArrow(rare, "doc_id long, word string").distinct()).repartition(pieces, "doc_id")
-    keyed = encode_words(found, ["doc_id", "word"], model).groupBy("doc_id").agg(
-        F.collect_list(F.struct("word", "ids")).alias("rare")
+    found = durable(texts.mapInArrow(rare, "h long, doc_id long, word string").distinct()).repartition(pieces, "doc_id")
+    keyed = encode_words(found, ["h", "doc_id"], model).groupBy("doc_id").agg(
+        F.collect_list(F.struct("h", "ids")).alias("rare")
     )
     joined = texts.join(keyed.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     def assemble(batches):
-        known, bounds, flat, solo, sizes, starts, letters = shared.value
+        known, bounds, flat, joined, sizes, starts, letters = shared.value
         for batch in batches:
             others = batch.column("rare")
             for row, texts, data, offsets in _spaced_slices(batch.column("text")):
-                chunks = Chunks(data, offsets, solo)
+                chunks = Chunks(data, offsets, joined)
                 at, held = _look_up(chunks.hashes, known)
                 begin = np.zeros(len(at), np.int64)
                 count = np.zeros(len(at), np.int64)
                 begin[held], count[held] = bounds[at[held]], bounds[at[held] + 1] - bounds[at[held]]
                 extra, end, own, last = [], len(flat), None, -1
-                missing = np.flatnonzero(~held)
+                missing, signed = np.flatnonzero(~held), chunks.hashes.view(np.int64)
                 for i, t in zip(missing, np.searchsorted(chunks.first, missing, "right") - 1):
                     if t != last:
-                        own, last = {x["word"]: x["ids"] for x in others[row + t].as_py() or ()}, t
-                    ids = own[chunks.text(i)]
+                        own, last = {x["h"]: x["ids"] for x in others[row + t].as_py() or ()}, t
+                    ids = own[signed[i]]
                     begin[i], count[i] = end, len(ids)
                     extra += ids
                     end += len(ids)
@@ -356,9 +352,11 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
                     for s, e, x, y in zip(ends, ends[1:], offsets, offsets[1:])
                 ]
                 rows = len(texts)
+                begins = np.zeros(len(data) + 1, np.int64)
+                begins[2:] = np.cumsum((data[1:] != 32) & (data[:-1] == 32)) if len(data) else 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(row, rows), pa.array(np.diff(chunks.first), pa.int64()),
+                        batch.column("doc_id").slice(row, rows), pa.array(np.diff(begins[offsets]), pa.int64()),
                         pa.array(np.diff(tokens), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(ids)), pa.array(fine, pa.bool_()),
                         *(batch.column(f"_{c}").slice(row, rows) for c in carry),

@@ -314,7 +314,7 @@ def test_pieces_equal_the_library(spark, small):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    odd = [*H.ODD, (None, "null id"), (40, " a  b\nc\t x 12é　漢😀 ▁ "), (41, "ab" * 400), (42, "\n\n"), (43, "  ")]
+    odd = [*H.ODD, (None, "null id"), (40, " a  b\nc\t x 12é　漢😀 ▁ "), (41, "ab" * 400), (42, "\n\n"), (43, "  "), (44, "a\x7f߿ࠀ￿𐀀b ߿ࠀ￿")]
     # few dictionary words, so that most pass as rare ones
     for rows, most in ((small, pieces.DICTIONARY), (odd, 3)):
         encoded = pieces.encode(H.documents(spark, rows), dictionary=most)
