@@ -62,7 +62,14 @@ class Pieces:
                 self.joined[256 * a[-1] + b[0]] = True
 
     def table(self, spark):
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
+        """``piece, id, score, opens``; ``opens`` where a piece of better score begins or ends with this one."""
+        scores = {p: score for p, _, score in self.rows}
+        opens = set()
+        for p, score in scores.items():
+            parts = [part for k in range(1, len(p)) for part in (p[:k], p[k:])]
+            opens.update(part for part in parts if scores.get(part, score) < score)
+        rows = [(*row, row[0] in opens) for row in self.rows]
+        return spark.createDataFrame(rows, "piece string, id int, score double, opens boolean")
 
 
 # --- words as byte ranges -----------------------------------------------------------------------------------------
@@ -92,8 +99,11 @@ class Chunks:
         else:
             self.hashes = np.zeros(0, np.uint64)
 
-    def text(self, i):
-        return self.data[self.starts[i] : self.ends[i]].tobytes().decode()
+    def texts(self, at):
+        """The words at the given places."""
+        bounds = np.append(self.starts, len(self.data)).astype(np.int32)
+        every = pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(bounds), pa.py_buffer(self.data))
+        return every.take(pa.array(at))
 
 
 def _spaced_slices(column, size=1 << 19):
@@ -111,8 +121,7 @@ def count_words(texts: DataFrame, joined) -> DataFrame:
             for _, _, data, offsets in _spaced_slices(batch.column("text")):
                 chunks = Chunks(data, offsets, joined)
                 hashes, at, n = np.unique(chunks.hashes, return_index=True, return_counts=True)
-                words = pa.array([chunks.text(i) for i in at], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), words, pa.array(n)], ["h", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), chunks.texts(at), pa.array(n)], ["h", "word", "n"])
 
     found = texts.select("text").mapInArrow(run, "h long, word string, n long")
     return found.groupBy("h", "word").agg(F.sum("n").alias("n"))
@@ -125,7 +134,7 @@ def lattice(words: DataFrame, keys, pieces: DataFrame, longest) -> DataFrame:
     """``keys``, ``size`` and ``edges`` (rank, start, length, id; best rank first) of every word of ``words``.
 
     Single characters have an edge each; where they are no piece, its id is -1 minus their code point. ``pieces`` is the
-    vocabulary, so its size is bounded. ``words(keys, word)`` must be distinct by ``keys``, none empty, and dealt by
+    vocabulary, so its size is bounded; without its column ``opens`` all pieces are taken to open others. ``words(keys, word)`` must be distinct by ``keys``, none empty, and dealt by
     some of ``keys``.
     """
     text = F.regexp_replace("word", " ", SPACE)
@@ -135,7 +144,8 @@ def lattice(words: DataFrame, keys, pieces: DataFrame, longest) -> DataFrame:
     parts = spans.select(*keys, "s", "n", F.expr("substring(_text, s + 1, n)").alias("piece"))
     edges = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
     rank, own = F.coalesce(-F.col("score"), F.lit(0.0)).cast("float"), F.coalesce("id", -1 - F.ascii("piece"))
-    edge = F.struct(rank.alias("r"), "s", "n", own.alias("id"))
+    opens = F.coalesce("opens", F.lit(False)) if "opens" in pieces.columns else F.lit(True)
+    edge = F.struct(rank.alias("r"), "s", "n", own.alias("id"), opens.alias("opens"))
     grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     return grouped.withColumn("size", F.expr("aggregate(edges, 0, (a, e) -> greatest(a, e.s + e.n))"))
 
@@ -151,7 +161,7 @@ def _fold_fast():
     """One pass over edges by rank; ``late`` tells that a merge opened an edge of better rank, so one pass is not enough."""
     merged = "(a.m & ~" + _INSIDE.format(e="e") + ")"
     opened = "exists(longer, p -> (p.s = e.s or p.s + p.n = e.s + e.n) and p.r < e.r and " + _FITS.format(m=merged, e="p") + ")"
-    step = f"if({_FITS.format(m='a.m', e='e')}, named_struct('m', {merged}, 'late', a.late or {opened}), a)"
+    step = f"if({_FITS.format(m='a.m', e='e')}, named_struct('m', {merged}, 'late', a.late or (e.opens and {opened})), a)"
     return f"aggregate(longer, named_struct('m', shiftleft(1L, size + 1) - 1, 'late', false), (a, e) -> {step})"
 
 
@@ -200,7 +210,7 @@ def ids_of(folded: DataFrame, keys, first_byte) -> DataFrame:
         when c.id >= -2048 then array({first_byte + 192} + shiftright(-1 - c.id, 6), {tail[0]})
         when c.id >= -65536 then array({first_byte + 224} + shiftright(-1 - c.id, 12), {tail[1]}, {tail[0]})
         else array({first_byte + 240} + shiftright(-1 - c.id, 18), {tail[2]}, {tail[1]}, {tail[0]}) end"""
-    chosen = f"array_sort(transform(filter(edges, e -> {_CHOSEN}), e -> struct(e.s as s, e.id as id)))"
+    chosen = f"sort_array(transform(filter(edges, e -> {_CHOSEN}), e -> struct(e.s as s, e.id as id)))"
     ids = f"""if(exists(_chosen, c -> c.id < 0), flatten(transform(_chosen, c -> if(c.id < 0, {octets}, array(c.id)))),
         transform(_chosen, c -> c.id))"""
     return folded.withColumn("_chosen", F.expr(chosen)).select(*keys, F.expr(ids).alias("ids"))
@@ -310,9 +320,8 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
                 missing = np.flatnonzero(~_look_up(chunks.hashes, known)[1])
                 owner = np.searchsorted(chunks.first, missing, "right") - 1
                 ids = batch.column("doc_id").slice(row).take(pa.array(owner))
-                words = pa.array([chunks.text(i) for i in missing], pa.string())
                 hashes = pa.array(chunks.hashes[missing].view(np.int64))
-                yield pa.RecordBatch.from_arrays([hashes, ids, words], ["h", "doc_id", "word"])
+                yield pa.RecordBatch.from_arrays([hashes, ids, chunks.texts(missing)], ["h", "doc_id", "word"])
 
     # written once: the lattice takes short and long words apart
     found = durable(texts.mapInArrow(rare, "h long, doc_id long, word string").distinct()).repartition(pieces, "doc_id")
