@@ -114,17 +114,32 @@ def _spaced_slices(column, size=1 << 19):
 
 
 def count_words(texts: DataFrame, joined) -> DataFrame:
-    """``h, word, n`` of all words of ``texts(text)``."""
+    """``word, n`` of all words of ``texts(text)``."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in _spaced_slices(batch.column("text")):
                 chunks = Chunks(data, offsets, joined)
-                hashes, at, n = np.unique(chunks.hashes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), chunks.texts(at), pa.array(n)], ["h", "word", "n"])
+                _, at, n = np.unique(chunks.hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([chunks.texts(at), pa.array(n)], ["word", "n"])
 
-    found = texts.select("text").mapInArrow(run, "h long, word string, n long")
-    return found.groupBy("h", "word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def with_hash(counts: DataFrame) -> DataFrame:
+    """``h, word, n``: words that are not empty with their hashes, which do not compress and so are left out of shuffles."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                for _, data, offsets in slices(batch.column("word"), 1 << 62):
+                    sizes = np.diff(offsets)
+                    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+                    terms = _power(int(sizes.max()))[place] * (data.astype(np.uint64) + np.uint64(1))
+                    hashes = mix(np.add.reduceat(terms, offsets[:-1]) ^ (sizes.astype(np.uint64) << np.uint64(40)))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *batch.columns], ["h", "word", "n"])
+
+    return counts.mapInArrow(run, "h long, word string, n long")
 
 
 # --- the lattice --------------------------------------------------------------------------------------------------
@@ -282,7 +297,8 @@ def _dictionary(counts: DataFrame, model, most):
         least = key
     words = counts.where(level >= least) if least is not None else counts.limit(0)
     pieces = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    table = encode_words(words.select("h", "word").repartition(pieces, "h"), ["h"], model).toArrow().combine_chunks()
+    keyed = with_hash(words).select("h", "word").repartition(pieces, "h")
+    table = encode_words(keyed, ["h"], model).toArrow().combine_chunks()
     hashes = table.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     ids = table.column("ids").combine_chunks().take(pa.array(order))
