@@ -8,13 +8,14 @@ means, edges are taken best score first and merged where exactly one cut lies in
 Texts are cut wherever no piece holds the two neighbouring characters side by side, so no piece reaches over a border
 and the words between borders can be encoded apart from each other. They are told apart by 64-bit hashes. Words seen at
 least twice form a dictionary of bounded size, which is broadcast; the others pass through the same lattice, keyed by
-their document.
+their document, and those too long for it are merged where their document is put together.
 """
 
 import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from comarca.llm.frames import with_text
@@ -263,11 +264,16 @@ def merge_long(word: str, ranks: dict, first_byte: int) -> list[int]:
     return out
 
 
+def encode_short(words: DataFrame, keys, model: Pieces) -> DataFrame:
+    """``keys, ids`` of ``words(keys, word)`` of at most ``FOLDED`` characters that are distinct by ``keys``."""
+    edges = lattice(words, keys, model.table(words.sparkSession), model.longest)
+    return ids_of(fold_merges(edges), keys, model.bytes[0])
+
+
 def encode_words(words: DataFrame, keys, model: Pieces) -> DataFrame:
     """``keys, ids`` of ``words(keys, word)`` that are distinct by ``keys``."""
-    table, first_byte = model.table(words.sparkSession), model.bytes[0]
-    short = lattice(words.where(F.length("word") <= FOLDED), keys, table, model.longest)
-    folded = ids_of(fold_merges(short), keys, first_byte)
+    first_byte = model.bytes[0]
+    folded = encode_short(words.where(F.length("word") <= FOLDED), keys, model)
     ranks = {p: (s, i) for p, i, s in model.rows}
 
     def long(batches):
@@ -317,7 +323,7 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
     """``doc_id, n_words, n_tokens, ids, round_trip`` and the columns ``carry`` of every row of ``documents(doc_id, text)``.
 
     ``n_words`` counts runs without spaces (U+0020). Ids are those of the model for the whole text. ``round_trip`` tells that they decode to the text, U+2581 counting as
-    a space. Null and empty texts have no ids. Rows that repeat an id are encoded each. Rows of one ``doc_id`` share
+    a space. Null and empty texts have no ids. Rows that repeat an id are encoded each. Rows equal in id and text share
     their rare words, which changes nothing.
     """
     spark = documents.sparkSession
@@ -328,6 +334,9 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
     # at most ``dictionary`` words
     shared = context.broadcast((*_dictionary(counts, model, dictionary), model.joined, model.sizes, model.starts, model.flat))
 
+    key = F.xxhash64("doc_id", "text").alias("_key")
+    keyed = texts.select(key, "doc_id", "text", *[F.col(f"`{c}`").alias(f"_{c}") for c in carry])
+
     def rare(batches):
         known, joined = shared.value[0], shared.value[3]
         for batch in batches:
@@ -335,16 +344,24 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
                 chunks = Chunks(data, offsets, joined)
                 missing = np.flatnonzero(~_look_up(chunks.hashes, known)[1])
                 owner = np.searchsorted(chunks.first, missing, "right") - 1
-                ids = batch.column("doc_id").slice(row).take(pa.array(owner))
-                hashes = pa.array(chunks.hashes[missing].view(np.int64))
-                yield pa.RecordBatch.from_arrays([hashes, ids, chunks.texts(missing)], ["h", "doc_id", "word"])
-
-    # written once: the lattice takes short and long words apart
-    found = durable(texts.mapInArrow(rare, "h long, doc_id long, word string").distinct()).repartition(pieces, "doc_id")
-    keyed = encode_words(found, ["h", "doc_id"], model).groupBy("doc_id").agg(
-        F.collect_list(F.struct("h", "ids")).alias("rare")
-    )
-    joined = texts.join(keyed.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+                # each word of a text once
+                order = np.lexsort((chunks.hashes[missing], owner))
+                missing, owner = missing[order], owner[order]
+                new = np.ones(len(missing), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (chunks.hashes[missing[1:]] != chunks.hashes[missing[:-1]])
+                words = chunks.texts(missing[new])
+                short = pc.less_equal(pc.utf8_length(words), FOLDED)
+                hashes = pa.array(chunks.hashes[missing[new]].view(np.int64))
+                keys = batch.column("_key").slice(row).take(pa.array(owner[new]))
+                yield pa.RecordBatch.from_arrays([keys, hashes, words], ["_key", "h", "word"]).filter(short)
+
+    # dealt by document once: neither the lattice nor what follows shuffles again
+    found = keyed.select("_key", "text").mapInArrow(rare, "_key long, h long, word string").repartition(pieces, "_key")
+    encoded = encode_short(found.distinct(), ["_key", "h"], model)
+    own = encoded.groupBy("_key").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))
+    joined = keyed.join(own, "_key", "left")
+    ranks = {p: (s, i) for p, i, s in model.rows}
+    first_byte = model.bytes[0]
 
     def assemble(batches):
         known, bounds, flat, joined, sizes, starts, letters = shared.value
@@ -358,10 +375,16 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
                 begin[held], count[held] = bounds[at[held]], bounds[at[held] + 1] - bounds[at[held]]
                 extra, end, own, last = [], len(flat), None, -1
                 missing, signed = np.flatnonzero(~held), chunks.hashes.view(np.int64)
+                long = {}  # the words that no lattice takes
                 for i, t in zip(missing, np.searchsorted(chunks.first, missing, "right") - 1):
                     if t != last:
                         own, last = {x["h"]: x["ids"] for x in others[row + t].as_py() or ()}, t
-                    ids = own[signed[i]]
+                    ids = own.get(signed[i]) or long.get(signed[i])
+                    if ids is None:
+                        word = data[chunks.starts[i] : chunks.ends[i]].tobytes().decode()
+                        if len(word) <= FOLDED:
+                            raise KeyError(f"the lattice has lost {word!r}")
+                        ids = long[signed[i]] = merge_long(word.replace(" ", SPACE), ranks, first_byte)
                     begin[i], count[i] = end, len(ids)
                     extra += ids
                     end += len(ids)
@@ -392,7 +415,7 @@ def encode(documents: DataFrame, path=MODEL, dictionary=DICTIONARY, carry=()) ->
     made = ["doc_id", "n_words", "n_tokens", "ids", "round_trip"]
     schema = "doc_id long, n_words long, n_tokens long, ids array<int>, round_trip boolean"
     schema += "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.select("doc_id", "text", "rare", *[F.col(f"`{c}`").alias(f"_{c}") for c in carry]).mapInArrow(assemble, schema)
+    return joined.mapInArrow(assemble, schema)
 
 
 def _ranges(begin, count):
