@@ -8,7 +8,7 @@ chain, so no chain is ever brought into one task.
 from pyspark.sql import DataFrame, functions as F
 
 from comarca.functions.geo import line_geometry
-from comarca.scale import HOT_ROWS, skew_join
+from comarca.scale import HOT_ROWS, number_rows, skew_join
 from comarca.session import durable
 
 MOST_ROUNDS = 62
@@ -29,7 +29,7 @@ def route_lines(segments, route_segments) -> DataFrame:
 def _directed(lines):
     """Both directions of each line as arcs with the arc that follows, if any.
 
-    The forward arc of a segment is twice its id, the backward arc one more.
+    The forward arc of a segment is twice its number, the backward arc one more.
     """
     base = lines.select(
         "route_id", "segment_id", (F.size("geom") - 1).alias("weight"),
@@ -148,6 +148,11 @@ def merge_lines(lines) -> DataFrame:
     id and runs in the direction of most of its segments.
     """
     lines = durable(lines)
+    # ids may take all 64 bits, so segments are numbered in the order of their ids
+    numbers = number_rows(lines.select("segment_id").distinct(), ["segment_id"], "_n")
+    lines = durable(
+        lines.join(numbers, "segment_id").select("route_id", F.col("_n").alias("segment_id"), "geom")
+    )
     arcs = durable(_directed(lines))
     placed, rings = _rank(arcs)
     if not rings.isEmpty():
@@ -173,10 +178,12 @@ def merge_lines(lines) -> DataFrame:
             "route_id", "to", "line_id", "length", "first_arc", "arcs"
         )
     )
+    named = numbers.select(F.col("_n").alias("line_id"), F.col("segment_id").alias("_name"))
     # the lengths of the chains are known, so the hot ones need no count of their own
     long = kept.where(F.col("arcs") >= HOT_ROWS).orderBy(F.desc("arcs"))
     ordered = skew_join(
-        placed.select("route_id", "arc", "to", "ahead", "weight"), kept.drop("arcs"),
+        placed.select("route_id", "arc", "to", "ahead", "weight"),
+        kept.drop("arcs").join(named, "line_id").drop("line_id").withColumnRenamed("_name", "line_id"),
         ["route_id", "to"], hot=[(r.route_id, r.to) for r in long.collect()],
     )
     path = F.when(F.expr("arc & 1L") == 1, F.reverse("geom")).otherwise(F.col("geom"))

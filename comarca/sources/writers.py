@@ -1,5 +1,7 @@
 """Writers: files, tables, GeoJSON features, upserts."""
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from comarca import fixed
@@ -58,16 +60,31 @@ def keep_first(df, keys, order) -> DataFrame:
     return _one_per_key(df, list(keys), lambda row: F.min_by(row, order))
 
 
+def _unrepeated(df, keys) -> DataFrame:
+    """``df``; reading it fails where a key without nulls occurs twice. Null keys equal no other."""
+    full = F.lit(True)
+    for k in keys:
+        full = full & F.col(k).isNotNull()
+    rest = [c for c in df.columns if c not in keys]
+    listed = df.where(full).groupBy(*keys).agg(F.first(F.struct(F.lit(1), *rest)).alias("_row"), F.count("*").alias("_n"))
+    fine = F.when(F.col("_n") > 1, F.raise_error(F.lit("a key occurs twice in the source: give an order")).cast("boolean"))
+    once = listed.where(F.coalesce(fine, F.lit(True)))
+    once = once.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+    return once.unionByName(df.where(~full))
+
+
 def upsert(target, source, keys, update, order=None, stamp=None, reset_geocode_on=()):
     """Target after inserting new keys and refreshing ``update`` columns of known ones.
 
     With ``order`` the source is first reduced to its last row per key, as sequential statements
-    would leave it. ``stamp`` (a timestamp column) sets updated_at on refreshed rows and both
+    would leave it; without it a key that the source repeats is an error. ``stamp`` (a timestamp column) sets updated_at on refreshed rows and both
     stamps on inserted ones. ``reset_geocode_on`` lists address columns whose change clears the
     geocoded flag.
     """
     if order is not None:
         source = keep_last(source, keys, order)
+    else:
+        source = _unrepeated(source, list(keys))
     t, s = target.alias("t"), source.withColumn("_new", F.lit(True)).alias("s")
     same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
     joined = t.withColumn("_old", F.lit(True)).alias("t").join(s, same, "full_outer")
@@ -161,14 +178,32 @@ def write_features(features, path):
     features.select(F.to_json("feature").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collection(features, path, order, metadata=None):
+    """One FeatureCollection of any size as part files: their texts, in the order of their names, are the document.
+
+    Every task writes its features, one a line, sorted by ``order``; ``metadata`` is a small value for JSON.
+    """
+    spark = features.sparkSession
+    more = "" if metadata is None else ',"metadata":' + json.dumps(metadata, ensure_ascii=False)
+    head, foot = (
+        spark.createDataFrame([(line,)], "value string").coalesce(1)
+        for line in ('{"type":"FeatureCollection","features":[', f"]{more}}}")
+    )
+    placed = number_rows(features, order, "_place")
+    comma = F.when(F.col("_place") > 1, ",").otherwise("")
+    lines = placed.select(F.concat(comma, F.to_json("feature")).alias("value"))
+    # a union keeps its parts one behind the other
+    head.union(lines).union(foot).write.mode("overwrite").text(path)
+
+
 def feature_collection(features, metadata=None, most=10_000) -> DataFrame:
     """One FeatureCollection document for a small result.
 
     A document is one row, so the number of features is checked first; write larger results
-    with ``write_features``.
+    with ``write_collection``.
     """
     if features.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} features: use write_features")
+        raise ValueError(f"more than {most} features: use write_collection")
     parts = [F.lit("FeatureCollection").alias("type"), F.col("features")]
     if metadata is not None:
         parts.append(metadata.alias("metadata"))

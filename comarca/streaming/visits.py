@@ -1,8 +1,10 @@
 """Offline visit queues merged into a state table as they arrive.
 
-Every micro-batch writes the rows it changed and the conflicts it found to folders of its own
-number. The state is the newest row per key over all folders, so nothing is rewritten and a
-batch that runs again replaces its own output and reads only earlier ones.
+Every micro-batch writes the rows it changed and the conflicts it found to folders of its own run
+and number. A run is a stream with its progress folder; the store gives each a number, so that a
+stream with a fresh progress folder, whose batches start at 0 again, overwrites nothing. The state is
+the newest row per key over all folders, so nothing is rewritten and a batch that runs again replaces
+its own output and reads only earlier ones. One run at a time may write to a store.
 """
 
 from pyspark.errors import AnalysisException
@@ -21,7 +23,7 @@ CONFLICT = """
 
 
 class VisitStore:
-    """Folders of changed rows and conflicts under a shared path, one per batch."""
+    """Folders of changed rows and conflicts under a shared path, one per run and batch."""
 
     def __init__(self, spark, path, policy="newest"):
         if policy not in ("newest", "overwrite"):
@@ -30,38 +32,57 @@ class VisitStore:
 
     def _read(self, name, schema):
         try:
-            return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(f"{schema}, run long, batch long").parquet(f"{self.path}/{name}")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
                 raise
-            return self.spark.createDataFrame([], f"{schema}, batch long")
+            return self.spark.createDataFrame([], f"{schema}, run long, batch long")
 
     def state(self, before=None) -> DataFrame:
-        """Newest row per key; ``before`` leaves out the given batch and later ones."""
+        """Newest row per key; ``before`` (run, batch) leaves out the given batch and later ones."""
         rows = self._read("changes", schemas.VISIT)
         if before is not None:
-            rows = rows.where(F.col("batch") < before)
-        # one row per key and batch, so the batch number orders them
-        return keep_last(rows, KEYS, "batch").select(*STATE)
+            run, batch = before
+            rows = rows.where((F.col("run") < run) | ((F.col("run") == run) & (F.col("batch") < batch)))
+        # one row per key, run and batch, so these order them
+        return keep_last(rows, KEYS, F.struct("run", "batch")).select(*STATE)
 
     def conflicts(self) -> DataFrame:
         return self._read("conflicts", CONFLICT)
 
-    def apply(self, items, batch):
-        """Merge one batch of queue items (``VISIT_ITEM`` columns)."""
+    def apply(self, items, batch, run=0):
+        """Merge one batch of queue items (``VISIT_ITEM`` columns); streams have runs from 1."""
         if self.policy == "overwrite":
-            self._write(overwrite_rows(items), "changes", batch)
+            self._write(overwrite_rows(items), "changes", batch, run)
             return
-        state = self.state(before=batch)
+        state = self.state(before=(run, batch))
         folded = fold(state, items).persist()
         try:
-            self._write(conflicts(folded), "conflicts", batch)
-            self._write(accepted_state(folded), "changes", batch)
+            self._write(conflicts(folded), "conflicts", batch, run)
+            self._write(accepted_state(folded), "changes", batch, run)
         finally:
             folded.unpersist()
 
-    def _write(self, df, name, batch):
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+    def _write(self, df, name, batch, run=0):
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}/batch={batch}")
+
+    def _run_of(self, checkpoint):
+        """Number of the run whose progress is in ``checkpoint``, a new one for a stream not seen before.
+
+        A stream keeps its id in its progress folder, so a fresh folder of the same name is another run.
+        """
+        stream = self.spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        try:
+            known = {r["stream"]: r["run"] for r in self.spark.read.schema("stream string, run long").parquet(f"{self.path}/runs").collect()}
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+                raise
+            known = {}
+        if stream not in known:
+            known[stream] = max(known.values(), default=0) + 1
+            row = self.spark.createDataFrame([(stream,)], "stream string")
+            row.write.mode("overwrite").parquet(f"{self.path}/runs/run={known[stream]}")
+        return known[stream]
 
     def seed(self, state):
         """Put an existing state in place before the first batch."""
@@ -69,8 +90,15 @@ class VisitStore:
 
     def start(self, items, checkpoint, **trigger):
         """Run over a stream of queue items; resumes from ``checkpoint``."""
+        run = []
+
+        def merge(batch_items, batch):
+            if not run:
+                run.append(self._run_of(checkpoint))
+            self.apply(batch_items, batch, run[0])
+
         return (
-            items.writeStream.foreachBatch(self.apply)
+            items.writeStream.foreachBatch(merge)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()

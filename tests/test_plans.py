@@ -107,3 +107,23 @@ def test_repartitioning_changes_nothing(spark):
     df = spark.createDataFrame(rows, "logradouro string, cnae_fiscal_principal string, porte_empresa string")
     once = analytics.top_streets(df.repartition(1), 3).collect()
     assert once == analytics.top_streets(df.repartition(7), 3).collect()
+
+
+def test_upsert_refuses_repeated_keys(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c"), (None, "d"), (None, "e")], "k int, v string")
+    with pytest.raises(Exception, match="give an order"):
+        writers.upsert(target, twice, ["k"], ["v"]).collect()
+    once = writers.upsert(target, twice.where("v <> 'c'"), ["k"], ["v"]).collect()
+    assert sorted((r.k or 0, r.v) for r in once) == [(0, "d"), (0, "e"), (1, "b")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 12_000])
+def test_collection_of_any_size(spark, tmp_path, n):
+    import json
+
+    features = spark.range(n).repartition(3).selectExpr("struct('Feature' as type, struct(id) as properties) as feature", "id")
+    writers.write_collection(features, str(tmp_path / "out"), ["id"], {"total": n})
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    document = json.loads("".join(p.read_text() for p in parts))
+    assert [f["properties"]["id"] for f in document["features"]] == list(range(n)) and document["metadata"] == {"total": n}

@@ -95,6 +95,13 @@ def test_seed_segments_merge(spark):
     assert list(merged(spark, SEEDS, [1001, 1002, 1002, 77])) == [1001]
 
 
+def test_ids_of_64_bits(spark):
+    """Ids may lie anywhere between the ends of a long, as hashed ones do; the smallest names the line."""
+    low, high = -(2**63), 2**63 - 1
+    lines = {low: line((0, 0), (1, 0)), high: line((1, 0), (2, 0)), 2**62: line((5, 5), (6, 5))}
+    assert merged(spark, lines) == {low: line((0, 0), (1, 0), (2, 0)), 2**62: line((5, 5), (6, 5))}
+
+
 def test_direction_of_the_majority(spark):
     lines = {1: line((2, 0), (1, 0)), 2: line((2, 0), (3, 0)), 3: line((3, 0), (4, 1), (5, 0))}
     assert merged(spark, lines) == {1: line((1, 0), (2, 0), (3, 0), (4, 1), (5, 0))}

@@ -93,6 +93,24 @@ def test_stream_equals_fold(spark, tmp_path, parts):
         assert sorted(r.seq for r in store.conflicts().collect()) == sorted(x[2] for x in want_lost)
 
 
+def test_fresh_progress_keeps_earlier_runs(spark, tmp_path):
+    """A second progress folder, also one of the same name, starts a run of its own over the same store."""
+    import shutil
+
+    state, items = made(8, 40)
+    store = VisitStore(spark, str(tmp_path / "store"))
+    store.seed(spark.createDataFrame(state, schemas.VISIT))
+    for k, part in enumerate((items[:15], items[15:30], items[30:])):
+        write(tmp_path / f"queue{k}", [part])
+        progress = tmp_path / ("first" if k == 0 else "again")
+        if progress.exists():
+            shutil.rmtree(progress)
+        store.start(read_queue(spark, str(tmp_path / f"queue{k}"), 1), str(progress)).awaitTermination()
+    want, want_lost = fold(state, items)
+    assert read(store.state()) == want
+    assert sorted(r.seq for r in store.conflicts().collect()) == sorted(x[2] for x in want_lost)
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     state, items = made(5, 40)
     store = VisitStore(spark, str(tmp_path / "store"))
