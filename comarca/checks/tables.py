@@ -198,6 +198,28 @@ def k4(t):
     )
 
 
+@check("k4_collection_file", """
+    SELECT 'feature' AS line, cnpj_completo AS cnpj, municipio, cnpj_completo > (SELECT min(cnpj_completo) FROM {est}) AS comma FROM {est}
+    UNION ALL SELECT 'head', NULL, NULL, NULL UNION ALL SELECT 'foot', NULL, NULL, NULL""")
+def k4_collection(t):
+    """One document of any size over several files; each line of it is a head, a foot or one feature."""
+    path = _folder(t, "collection")
+    writers.write_collection(writers.heatmap_features(t.est), path, ["feature.properties.cnpj"], {"source": "registry"})
+    text = t.spark.read.text(path)
+    comma = F.col("value").startswith(",")
+    feature = F.regexp_replace("value", "^,", "")
+    member = lambda m: F.get_json_object(feature, f"$.{m}")
+    line = (
+        F.when(F.col("value") == '{"type":"FeatureCollection","features":[', "head")
+        .when(F.col("value") == '],"metadata":{"source": "registry"}}', "foot")
+        .when(member("type") == "Feature", "feature")
+    )
+    return text.select(
+        line.alias("line"), member("properties.cnpj").alias("cnpj"), member("properties.municipio").alias("municipio"),
+        F.when(line == "feature", comma).alias("comma"),
+    )
+
+
 @check("k5_csv", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, sum(l_quantity) AS q FROM {lineitem} GROUP BY 1")
 def k5(t):
     path = _folder(t, "csv")
