@@ -5,6 +5,10 @@ gives a line's variants: two lines of equal length differ in one word exactly wh
 place, and a line is another one with a word inserted exactly where it is a variant of it. Variants and whole
 lines meet as hashed keys, so a key's earliest line is all that its other lines need: no pairs are made.
 
+A replaced word is most of a short line, so lines below eight words are compared as sequences of characters instead
+(their words joined by single spaces), within one character, by the same join. Lines of exactly eight words take part
+in both, since a lost space leaves seven.
+
 Only lines that can have a partner emit variants: of two lines within one edit, the first or the second half of the
 shorter one's length is the same, so lines that share neither half with another line are left out without loss.
 What is left after deletion is compared by two independent 64-bit hashes and the place, which verifies the distance.
@@ -19,7 +23,8 @@ from comarca.llm.words import NOT_SPACE, Words, mix, slices
 from comarca.session import durable
 
 MIN_WORDS = 3  # lines of fewer words stay as they are
-NEAR_WORDS = 8  # lines of fewer words are compared for equality only
+NEAR_WORDS = 8  # lines of fewer words are compared for equality only, or by characters
+WHOLE = {"min_words": 1, "letters": True}  # every line that holds a word takes part, short ones by characters
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -46,6 +51,31 @@ class Sums:
         return self.run(a, i) + self.power[i - a] * self.run(i + 1, b)
 
 
+class Letters:
+    """Characters of lines of words ``a..b`` joined by single spaces: hashes, and each line's first and end one."""
+
+    def __init__(self, words, a, b):
+        n = b - a
+        lines = np.cumsum(n) - n
+        w = np.arange(int(n.sum())) + np.repeat(a - lines, n)
+        sizes = words.ends[w] - words.starts[w] + 1  # each word and a space
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(words.starts[w] - begin, sizes)
+        space = np.zeros(len(at), bool)
+        space[begin + sizes - 1] = True
+        at[space] = 0
+        data = np.where(space, np.uint8(32), words.data[at]) if len(at) else np.zeros(0, np.uint8)
+        head = (data & 0xC0) != 0x80
+        head[begin] = True
+        starts = np.flatnonzero(head)
+        place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+        bits = data.astype(np.uint64) << (8 * np.minimum(place, 7)).astype(np.uint64)
+        codes = np.add.reduceat(bits, starts) if len(starts) else bits
+        self.hashes = mix(codes ^ np.uint64(0x9FB21C651E98DF25))
+        ends = np.searchsorted(starts, np.append(begin, len(data)))
+        self.a, self.b = ends[lines], ends[lines + n] - 1
+
+
 class Lines:
     """Lines of a slice of texts that take part: text, number in it, first and end word, hash."""
 
@@ -55,7 +85,7 @@ class Lines:
         owner = np.searchsorted(offsets, cuts[:-1], "right") - 1
         number = np.arange(len(owner)) - np.searchsorted(owner, owner)
         n = words.counts
-        self.hashes = words.hashes()
+        self.words, self.hashes = words, words.hashes()
         part = n >= min_words
         self.owner, self.number, self.n = owner[part], number[part], n[part]
         self.a, self.b = words.first[:-1][part], words.first[1:][part]
@@ -68,33 +98,68 @@ class Lines:
         self.first = np.ones(len(order), bool)
         self.first[order[again]] = False
 
+    def letters(self, keep):
+        """``Letters`` of the lines that ``keep`` marks."""
+        return Letters(self.words, self.a[keep], self.b[keep])
+
+
+_KEYS = ["k0", "k1", "k2", "k3", "more"]
+
 
-def _first_lines(documents, min_words, near_words):
-    """``doc_id, no, line, k0..k3``: each text's different lines, and the keys of their halves where near ones count."""
+def _half_keys(sums, a, b, domain):
+    """Keys of halves; the two lowest bits tell the half and whether it is one of words (0) or of characters (1)."""
+    n = b - a
+    for size in (n, n - 1):  # as one of equal lengths or the shorter one; as the longer one
+        half = size // 2
+        for side, begin, end in ((0, a, a + half), (1, b - (size - half), b)):
+            h = mix(sums.run(begin, end) ^ mix((size * 4 + 2 * domain + side).astype(np.uint64)))
+            yield ((h & ~np.uint64(3)) | np.uint64(2 * domain + side)).astype(np.int64)
+
+
+def _first_lines(documents, min_words, near_words, letter_words):
+    """``doc_id, no, line, k0..k3, more``: each text's different lines, and the keys of their halves where near ones count.
+
+    Lines that are compared by words and by characters have the keys of the latter in ``more``.
+    """
 
     def run(batches):
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 lines = Lines(data, offsets, min_words)
                 keep = lines.first
-                a, b, n = lines.a[keep], lines.b[keep], lines.n[keep]
-                near, keys = n >= near_words, []
-                for size in (n, n - 1):  # as one of equal lengths or the shorter one; as the longer one
-                    half = size // 2
-                    for side, begin, end in ((0, a, a + half), (1, b - (size - half), b)):
-                        h = mix(lines.sums.run(begin, end) ^ mix((size * 2 + side).astype(np.uint64)))
-                        keys.append(pa.array(h.astype(np.int64), mask=~near))
+                n = lines.n[keep]
+                near, small = n >= near_words, n <= letter_words
+                letters = lines.letters(np.flatnonzero(keep)[small])
+                words = np.stack([*_half_keys(lines.sums, lines.a[keep], lines.b[keep], 0)])
+                spelled = np.stack([*_half_keys(Sums(letters.hashes, _BASES[0]), letters.a, letters.b, 1)])
+                both, short = near & small, ~near & small
+                words[:, short] = spelled[:, short[small]]
+                keys = [pa.array(k, mask=~(near | small)) for k in words]
+                ends = np.concatenate(([0], np.cumsum(both) * 4))
+                offset = pa.array(ends, pa.int32(), mask=np.append(~both, False))
+                keys.append(pa.ListArray.from_arrays(offset, pa.array(spelled[:, both[small]].T.ravel())))
                 ids = batch.column("doc_id").slice(row, len(offsets) - 1).take(pa.array(lines.owner[keep]))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(lines.number[keep], pa.int32()), pa.array(lines.line[keep]), *keys],
-                    ["doc_id", "no", "line", "k0", "k1", "k2", "k3"],
+                    ["doc_id", "no", "line", *_KEYS],
                 )
 
-    schema = "doc_id long, no int, line long, k0 long, k1 long, k2 long, k3 long"
+    schema = "doc_id long, no int, line long, " + ", ".join(f"{k} long" for k in _KEYS[:4]) + ", more array<long>"
     return with_text(documents, "doc_id", "text").mapInArrow(run, schema)
 
 
-def _variants(texts, min_words):
+def _deleted(sums, other, a, b, first, second):
+    """Both hashes and the place of each variant of the sequence ``a..b``, then of the whole (place -1)."""
+    # a shared first half leaves the edit to the second, and the other way round
+    a, b, n = np.array([a]), np.array([b]), b - a
+    at = a + np.arange(0 if second else (n - 1) // 2, n if first else n // 2)
+    return (
+        np.append(sums.without(a, b, at), sums.run(a, b)), np.append(other.without(a, b, at), other.run(a, b)),
+        np.append(at - a, -1),
+    )
+
+
+def _variants(texts, min_words, letter_words):
     """``h, c, i, line, doc_id, no`` of the wanted lines of ``texts(doc_id, text, wanted)``; i is -1 for whole lines."""
 
     def run(batches):
@@ -102,6 +167,9 @@ def _variants(texts, min_words):
             for row, data, offsets in slices(batch.column("text")):
                 lines = Lines(data, offsets, min_words)
                 other = Sums(lines.hashes, _BASES[1])
+                small = np.flatnonzero(lines.first & (lines.n <= letter_words))
+                letters = lines.letters(small)
+                spelled = [Sums(letters.hashes, base) for base in _BASES]
                 parts = []
                 wanted = batch.column("wanted").slice(row, len(offsets) - 1)
                 bounds = np.searchsorted(lines.owner, np.arange(len(offsets)))
@@ -110,14 +178,13 @@ def _variants(texts, min_words):
                     for k in range(bounds[t], bounds[t + 1]):
                         sides = own.get(int(lines.line[k])) if lines.first[k] else None
                         if sides:
-                            a, b, n = lines.a[k : k + 1], lines.b[k : k + 1], lines.n[k]
-                            # a shared first half leaves the edit to the second, and the other way round
-                            at = a + np.arange(0 if sides & 2 else (n - 1) // 2, n if sides & 1 else n // 2)
-                            parts.append((
-                                np.append(lines.sums.without(a, b, at), lines.sums.run(a, b)),
-                                np.append(other.without(a, b, at), other.run(a, b)),
-                                np.append(at - a, -1), np.full(len(at) + 1, k),
-                            ))
+                            found = []
+                            if sides & 3:
+                                found.append(_deleted(lines.sums, other, lines.a[k], lines.b[k], sides & 1, sides & 2))
+                            if sides & 12:
+                                x = np.searchsorted(small, k)
+                                found.append(_deleted(*spelled, letters.a[x], letters.b[x], sides & 4, sides & 8))
+                            parts += [(*f, np.full(len(f[2]), k)) for f in found]
                 if parts:
                     h, c, i, k = (np.concatenate(p) for p in zip(*parts))
                     ids = batch.column("doc_id").slice(row, len(offsets) - 1).take(pa.array(lines.owner[k]))
@@ -144,35 +211,39 @@ def _near_lines(variants):
     return same.unionByName(moved).distinct()
 
 
-def dedup_lines(documents: DataFrame, near=True, min_words=MIN_WORDS, near_words=NEAR_WORDS) -> DataFrame:
+def dedup_lines(
+    documents: DataFrame, near=True, min_words=MIN_WORDS, near_words=NEAR_WORDS, letters=False
+) -> DataFrame:
     """All columns of ``documents(doc_id, text)`` with ``text`` cut to its kept lines, and ``n_lines, n_removed``.
 
     The order of lines is (doc_id, place in the text), null ids first. A line goes where an earlier one is equal (as
-    words) or, from ``near_words`` words on, within one edit, kept or not. Lines of fewer than ``min_words`` words
-    always stay. Null texts stay null with 0 lines. Rows that repeat an id count as one place: they keep the same lines.
+    words) or, from ``near_words`` words on, within one edit, kept or not; with ``letters``, also where one of the two
+    has fewer words and they are within one character. Lines of fewer than ``min_words`` words always stay. Null texts stay null with 0 lines. Rows that repeat an id count as one place: they keep the same lines.
     """
     for name in ("n_lines", "n_removed"):
         if name in documents.columns:
             raise ValueError(f"documents have a column {name}")
     if near and near_words < max(2, min_words):
         raise ValueError("near lines need at least two words and min_words")
-    lines = _first_lines(documents, min_words, near_words if near else 1 << 30)
+    letter_words = near_words if near and letters else 0
+    lines = _first_lines(documents, min_words, near_words if near else 1 << 30, letter_words)
     types = durable(
         lines.groupBy("line").agg(
-            F.min(F.struct("doc_id", "no")).alias("place"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(4)]
+            F.min(F.struct("doc_id", "no")).alias("place"), *[F.first(k).alias(k) for k in _KEYS]
         )
     )
     kept = types.select("line", F.col("place.doc_id").alias("doc_id"))
     if near:
-        halves = types.where("k0 is not null").select(
-            "line", F.col("place.doc_id").alias("doc_id"),
-            F.explode(F.array(*[F.struct(F.col(f"k{j}").alias("key"), F.lit(1 + j % 2).alias("side")) for j in range(4)])).alias("x"),
-        ).select("line", "doc_id", "x.key", "x.side")
-        shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
-        wanted = halves.join(shared, "key").groupBy("line", "doc_id").agg(F.bit_or("side").alias("sides"))
+        keys = F.array(*_KEYS[:4])
+        keys = F.when(F.col("more").isNull(), keys).otherwise(F.concat(keys, "more"))
+        halves = types.where("k0 is not null").select("line", F.col("place.doc_id").alias("doc_id"), F.explode(keys).alias("key"))
+        # the keys of one line differ, so that two rows of a key are two lines
+        shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        side = F.expr("shiftleft(1, cast(key & 3 as int))")
+        wanted = halves.join(shared, "key").groupBy("line", "doc_id").agg(F.bit_or(side).alias("sides"))
         wanted = durable(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "sides")).alias("wanted")))
         asked = documents.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-        gone = _near_lines(_variants(asked.select("doc_id", "text", "wanted"), min_words))
+        gone = _near_lines(_variants(asked.select("doc_id", "text", "wanted"), min_words, letter_words))
         kept = kept.join(gone, "line", "left_anti")
     kept = kept.groupBy("doc_id").agg(F.collect_list("line").alias("_kept")).withColumnRenamed("doc_id", "_id")
     joined = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")

@@ -66,7 +66,7 @@ def op4(spark, folder):
 @query("op8_line_dedup")
 def op8(spark, folder):
     documents = load(spark, folder, "documents")
-    return line_dedup.dedup_lines(documents.select("doc_id", "text"))
+    return line_dedup.dedup_lines(documents.select("doc_id", "text"), **line_dedup.WHOLE)
 
 
 @query("op9_sentencepiece")

@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; a document that has lost every line with a word goes, one that had none stays."""
-    cut = line_dedup.dedup_lines(docs)
+    cut = line_dedup.dedup_lines(docs, **line_dedup.WHOLE)
     left = ~F.col("text").rlike(r"[^\x20\x09-\x0D]") & (F.col("n_removed") > 0)
     cut = cut.where(F.coalesce(~left, F.lit(True)))
     if "n_chars" in docs.columns:

@@ -307,6 +307,57 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def whole_lines(rows, near_words=8):
+    """Plain version of all of line dedup: every line that holds a word; short ones by characters."""
+    first = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        for no, line in enumerate((t or "").split("\n")):
+            first.setdefault(tuple(H.words(line)), (i, no))
+
+    def one_edit(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        a, b = sorted((a, b), key=len)
+        k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+        return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+    def near(a, b):
+        short = min(len(a), len(b)) < near_words
+        return one_edit(" ".join(a), " ".join(b)) if short else one_edit(a, b)
+
+    lines = [w for w in first if w]
+    gone = {a for a in lines for b in lines if first[b] < first[a] and near(a, b)}
+    out = {}
+    for i, t in rows:
+        at = [(no, line, tuple(H.words(line))) for no, line in enumerate((t or "").split("\n"))]
+        kept = [line for no, line, w in at if not w or (first[w] == (i, no) and w not in gone)]
+        out[i] = None if t is None else "\n".join(kept)
+    return out
+
+
+def test_line_dedup_of_short_lines(spark):
+    rng = np.random.default_rng(5)
+    rows = [
+        (1, "Les.\nErheed. Titionly.\n\nAre is anwh reenen."), (2, "Les.\nAre, is anwh reenen.\nErheed.  Titionly.\nErheed. Titionlyx."),
+        (3, "a b c d e f g\nÄb 漢字\n😀"), (4, "a bc d e f g\na b c d e f gh\nÄb 漢\nÄb 漢子\nb"), (5, "c1 c2 c3 c4 c5 c6 c7c8\n\n 😀x"),
+        (6, "c1 c2 c3 c4 c5 c6 c7 c8\na b c d e f h\nb a c d e f g\na\nab\nabc\nxabc"), (7, None), (8, ""), (9, "a c"),
+    ]
+    for k in range(60):  # every place of an edit, in lines of one to five characters and of some words
+        lines = ["".join(rng.choice(list("abé漢 "), rng.integers(1, 6))) for _ in range(4)]
+        base = list("one two three four")
+        base[int(rng.integers(len(base)))] = str(rng.choice(list("xyz")))
+        rows.append((100 + k, "\n".join([*lines, "".join(base), "".join(base[k % 18 :]) + str(k % 7)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, **line_dedup.WHOLE).collect()}
+    assert got == whole_lines(rows)
+    assert got[2] == "" and line_dedup.dedup_lines(docs.limit(0), **line_dedup.WHOLE).collect() == []
+
+
+def test_line_dedup_query_is_whole(spark, small):
+    got = {r["doc_id"]: r["text"] for r in QUERIES["op8_line_dedup"](spark, FOLDER).collect()}
+    assert got == whole_lines(small)
+
+
 # --- pieces ---------------------------------------------------------------------------------------------------------
 
 
