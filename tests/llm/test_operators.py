@@ -412,6 +412,19 @@ def test_quality_rules(spark, small):
     assert not quality_rules.within_bands(5000, 0.02, 0.02) and quality_rules.within_bands(5000, 0.45, 0.47)
 
 
+def test_quality_rules_noise_inside_long_text(spark, small):
+    import base64
+
+    rng = np.random.default_rng(2)
+    prose = "\n".join(t for _, t in small if t and quality_rules.dup_lines(t) == 0)[:40_000]
+    noise = base64.b64encode(rng.bytes(20_000)).decode()
+    rows = [(1, prose[:30_000])]
+    rows += [(2 + k, prose[:at] + noise[:n] + prose[at:end]) for k, (n, at, end) in enumerate([(15_000, 9000, 15_000), (4096, 5001, 26_000), (4096, 0, 3000)])]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(H.documents(spark, rows)).collect()}
+    assert got[1]["kept"] and [got[i]["kept"] for i in (2, 3, 4)] == [False] * 3
+    assert not any(r["base_failed"] for r in got.values()) and got[2]["ratio"] < 0.7
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
