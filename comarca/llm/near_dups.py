@@ -104,8 +104,11 @@ def enough(a, b, percent):
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def with_sets(documents: DataFrame, shingle=SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, key, registers``: ``key`` is one digest for equal sets, null for empty ones."""
+def with_sets(documents: DataFrame, shingle=SHINGLE, row=None) -> DataFrame:
+    """``doc_id, n_shingles, key, registers, row``: ``key`` is one digest for equal sets, null for empty ones.
+
+    ``row`` is what the column ``row`` says of each row, null without it.
+    """
     import hashlib
 
     def run(batches):
@@ -120,12 +123,14 @@ def with_sets(documents: DataFrame, shingle=SHINGLE) -> DataFrame:
                     [
                         batch.column("doc_id").slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys, pa.binary()), pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        batch.column("row").slice(row, len(sets)),
                     ],
-                    ["doc_id", "n_shingles", "key", "registers"],
+                    ["doc_id", "n_shingles", "key", "registers", "row"],
                 )
 
-    rows = with_text(documents, "doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, registers binary")
+    mark = F.lit(None).cast("long") if row is None else row
+    rows = documents.select("doc_id", "text", mark.alias("row"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, registers binary, row long")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -283,11 +288,20 @@ def near_duplicates(documents: DataFrame, shingle=SHINGLE, percent=PERCENT, chun
     shingle have their whole sequence as one. Repeated rows get the same answer each; rows of one ``doc_id`` and different texts are one document
     that has all of their links. A null ``doc_id`` takes no part in links: its component is null, and it is kept.
     """
+    out = _labelled(documents, shingle, percent, chunk)
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
+    )
+
+
+def _labelled(documents: DataFrame, shingle, percent, chunk, row=None) -> DataFrame:
+    """``doc_id, n_shingles, key, row, component_id`` of every row; the component is null where no named row has the set."""
     if not 50 <= percent <= 100:
         raise ValueError("bands are laid out for thresholds from 50 to 100 percent")
     spark = documents.sparkSession
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = durable(with_sets(documents, shingle))
+    rows = durable(with_sets(documents, shingle, row))
     named = rows.where("key is not null and doc_id is not null")
     # one class per distinct set, named by its smallest document; equal keys have equal registers
     classes = named.groupBy("key").agg(
@@ -324,14 +338,34 @@ def near_duplicates(documents: DataFrame, shingle=SHINGLE, percent=PERCENT, chun
     component = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "key", F.coalesce("component", "id").alias("component_id")
     )
-    out = rows.select("doc_id", "n_shingles", "key").join(component, "key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
-    )
+    return rows.select("doc_id", "n_shingles", "key", "row").join(component, "key", "left")
 
 
-def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
-    """The documents that are kept: one of each component, all columns."""
-    gone = near_duplicates(documents, **options).where("not kept").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+def drop_near_duplicates(documents: DataFrame, shingle=SHINGLE, percent=PERCENT, chunk=CHUNK) -> DataFrame:
+    """One row of each component, all columns: that of the smallest id, and of its rows the one of the least hash.
+
+    Rows without an id go where a named row has the same set; of others with one set, one stays. A row without words
+    stands for its id alone, or without an id for the rows that equal it.
+    """
+    columns = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    row = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    labelled = _labelled(documents, shingle, percent, chunk, row)
+    part = F.coalesce("component_id", "doc_id")
+    groups = labelled.select(
+        part.alias("part"), F.when(part.isNull(), F.col("key")).alias("set"),
+        F.when(part.isNull() & F.col("key").isNull(), F.col("row")).alias("alone"), "doc_id", "row",
+    )
+    counts = groups.groupBy("part", "set", "alone", "doc_id", "row").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n")).alias("x")
+    chosen = durable(counts.groupBy("part", "set", "alone").agg(best).select("x.doc_id", "x.row", "x.n"))
+    chosen = chosen.withColumnsRenamed({"doc_id": "_id", "row": "_hash"})
+    marked = documents.withColumn("_row", row)
+    same = (F.col("_row") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = marked.join(chosen.where("n = 1"), same, "left_semi").select(*documents.columns)
+    many = chosen.where("n > 1")
+    if many.isEmpty():
+        return kept
+    repeated = marked.join(many, same, "left_semi").groupBy("doc_id", "_row").agg(
+        F.first(F.struct(*documents.columns)).alias("x")
+    )
+    return kept.unionByName(repeated.select("x.*"))

@@ -162,6 +162,25 @@ def test_estimate():
         assert (near_dups.sketches([a, b]) == np.stack([ra, rb])).all()
 
 
+def test_drop_near_duplicates_keeps_one_row(spark):
+    long = [f"w{k}" for k in range(100)]
+    rows = [
+        (5, " ".join(long)), (9, " ".join([*long, "x"])), (7, "other text here"), (7, "quite another one"), (None, " ".join(long)),
+        (None, "only without id"), (None, "only without id"), (None, "Only  without id"), (3, ""), (4, ""), (None, ""), (2, None),
+    ]
+    got = collect(near_dups.drop_near_duplicates(H.documents(spark, rows + rows)).select("doc_id", "text"))
+    assert [r for r in got if r[0] == 5] == [rows[0]] and not [r for r in got if r[0] == 9]
+    assert sum(r[0] == 7 for r in got) == 1
+    assert sum(r[0] is None and r[1] != "" for r in got) == 1 and sum(r == (None, "") for r in got) == 1
+    assert [r[0] for r in got if r[0] in (2, 3, 4)] == [2, 3, 4]
+    small = [(r["doc_id"], r["text"]) for r in load(spark, FOLDER, "documents").collect()]
+    docs = load(spark, FOLDER, "documents")
+    want = H.components(small, 80, 5)
+    got = near_dups.drop_near_duplicates(docs.unionByName(docs), shingle=5, percent=80)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(r for r in small if want[r[0]] == r[0])
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 
