@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from comarca.llm import (
-    licenses, line_dedup, mixing, near_dups, neighbours, pieces, pii, quality_model, quality_rules, url_filters,
+    filter_audit, licenses, line_dedup, mixing, near_dups, neighbours, pieces, pii, quality_model, quality_rules, url_filters,
 )
 from comarca.llm.frames import load
 
@@ -72,3 +72,9 @@ def op8(spark, folder):
 @query("op9_sentencepiece")
 def op9(spark, folder):
     return pieces.encode(load(spark, folder, "documents"))
+
+
+@query("op12_filter_audit", filter_audit.oracle())
+def op12(spark, folder):
+    masks = filter_audit.fail_masks(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    return filter_audit.audit(masks)
