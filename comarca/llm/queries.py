@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from comarca.llm import (
-    filter_audit, licenses, line_dedup, mixing, near_dups, neighbours, pieces, pii, quality_model, quality_rules, url_filters,
+    filter_audit, language_id, licenses, line_dedup, mixing, near_dups, neighbours, pieces, pii, quality_model, quality_rules, url_filters, whitening,
 )
 from comarca.llm.frames import load
 
@@ -78,3 +78,14 @@ def op9(spark, folder):
 def op12(spark, folder):
     masks = filter_audit.fail_masks(load(spark, folder, "documents"), load(spark, folder, "labels"))
     return filter_audit.audit(masks)
+
+
+@query("op11_embedding_whitening")
+def op11(spark, folder):
+    return whitening.whiten_report(load(spark, folder, "embeddings"))
+
+
+@query("op13_language_id")
+def op13(spark, folder):
+    documents = load(spark, folder, "documents")
+    return language_id.identify(documents, language_id.train(documents))
