@@ -71,6 +71,38 @@ def g1_lines(t):
     return dbscan.cluster_table(points).select("number", "total_lojas", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+CORES = """
+    pts AS (SELECT id, lon, lat FROM ({POINTS}) AS p WHERE situacao_cadastral = 2 AND business_type IN ('tech', 'repairs')),
+    near AS (SELECT a.id AS a, b.id AS b FROM pts AS a JOIN pts AS b ON b.lon BETWEEN a.lon - 0.003 AND a.lon + 0.003
+        WHERE (a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat) <= CAST(0.003 AS DOUBLE) * CAST(0.003 AS DOUBLE)),
+    cores AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4),
+    links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM cores) AND b IN (SELECT id FROM cores)),
+    cc(id, comp) USING KEY (id) AS (
+        SELECT id, id FROM cores
+        UNION SELECT l.b, min(c.comp) FROM cc AS c JOIN links AS l ON l.a = c.id JOIN recurring.cc AS r ON r.id = l.b
+        WHERE c.comp < r.comp GROUP BY l.b),
+    reached AS (SELECT n.a AS id, min(n.b) AS core FROM near AS n JOIN cores AS c ON c.id = n.b GROUP BY n.a),
+    told AS (SELECT pts.id, CASE WHEN cores.id IS NOT NULL THEN 'core' WHEN reached.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind,
+            coalesce(own.comp, other.comp) AS component, lon, lat
+        FROM pts LEFT JOIN cores ON cores.id = pts.id LEFT JOIN cc AS own ON own.id = pts.id
+        LEFT JOIN reached ON reached.id = pts.id LEFT JOIN cc AS other ON other.id = reached.core)""".replace("{POINTS}", POINTS)
+
+
+@check("g1_core_border", f"WITH RECURSIVE {CORES} SELECT id, kind, component FROM told")
+def g1_core_border(t):
+    """Clusters of four points or more within eps, with their border points; the rest is noise."""
+    points = _active(t).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return dbscan.density_clusters(points, min_points=4).select("id", "kind", "component")
+
+
+@check("w1_cluster_numbers", f"""WITH RECURSIVE {CORES}
+    SELECT 99 + row_number() OVER (ORDER BY component) AS cluster_id, n AS total_lojas, round(x, 6) AS x, round(y, 6) AS y
+    FROM (SELECT component, count(*) AS n, avg(lon) AS x, avg(lat) AS y FROM told WHERE component IS NOT NULL GROUP BY component) AS g""")
+def w1_numbers(t):
+    rows = dbscan.clusters(located(t), min_points=4)
+    return rows.select("cluster_id", "total_lojas", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @check("g7_centroids", f"""
     SELECT hub, round(avg(lon), 6) AS x, round(avg(lat), 6) AS y FROM ({POINTS}) AS p GROUP BY hub""")
 def g7(t):

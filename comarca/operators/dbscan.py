@@ -1,7 +1,8 @@
 """Density clusters: points linked when they lie within a radius of each other.
 
 With one point as the minimum every point is a core point, so clusters are the connected
-components of the "within eps" graph. Points are reduced to grid cells whose diagonal is at
+components of the "within eps" graph. With more, core points are found first (``operators/cores.py``) and linked in
+the same way; other points join a core point they can reach or are noise. Points are reduced to grid cells whose diagonal is at
 most eps: one cell is always one cluster. Whether two cells touch is decided from their extreme
 points and bounding boxes; pairs that stay open are looked at in finer cells. Points are compared
 only where two cells have a handful of them, so crowded cells cost no more than others.
@@ -194,13 +195,8 @@ def _labelled_cells(points, eps):
     ).drop("_whole")
 
 
-def dbscan(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -> DataFrame:
-    """Cluster of every point: ``id, x, y, component``; component is its smallest point id.
-
-    ``points`` has a unique ``id`` and coordinates ``x``, ``y``, none of them NULL.
-    """
-    if min_points != 1:
-        raise ValueError("only min_points=1 is supported")
+def _assigned(points, eps) -> DataFrame:
+    """``points`` with ``component``, all of them being core points."""
     w = eps * DIAGONAL
     labels = durable(_labelled_cells(points, eps).select("cx", "cy", "n", "component"))
     top = labels.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"))
@@ -209,18 +205,57 @@ def dbscan(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -
     return skew_join(placed, labels.drop("n"), ["cx", "cy"], hot=hot).drop("cx", "cy")
 
 
+def density_clusters(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -> DataFrame:
+    """``id, x, y, kind, component`` of every point; kind is core, border or noise.
+
+    A core point has ``min_points`` points within ``eps``, itself included. Clusters are what core points reach in
+    steps of ``eps``; a component is its smallest core id. A border point is no core point but near one, and follows
+    the near core point of smallest id, so the result depends on no order. Noise has no component. ``points`` has a
+    unique ``id`` and coordinates ``x``, ``y``, none of them NULL.
+    """
+    from comarca.operators.cores import border_points, split_cores
+
+    cores, others = split_cores(points.select("id", "x", "y"), eps, min_points)
+    labelled = durable(_assigned(cores, eps))
+    near = border_points(others, cores, eps)
+    rest = others.join(near, "id", "left").join(
+        labelled.select(F.col("id").alias("core"), "component"), "core", "left"
+    )
+    kind = F.when(F.col("core").isNull(), F.lit("noise")).otherwise(F.lit("border"))
+    return labelled.select("id", "x", "y", F.lit("core").alias("kind"), "component").unionByName(
+        rest.select("id", "x", "y", kind.alias("kind"), "component")
+    )
+
+
+def dbscan(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -> DataFrame:
+    """Cluster of every point: ``id, x, y, component``; component is its smallest core point id, NULL for noise.
+
+    ``points`` has a unique ``id`` and coordinates ``x``, ``y``, none of them NULL. With ``min_points`` 1 every point
+    is a core point; see ``density_clusters`` for the rest.
+    """
+    if min_points < 1:
+        raise ValueError("min_points is at least 1")
+    if min_points == 1:
+        return _assigned(points, eps)
+    return density_clusters(points, eps, min_points).drop("kind")
+
+
 def cluster_table(points, eps=fixed.CLUSTER_EPS, min_points=fixed.CLUSTER_MIN_POINTS) -> DataFrame:
     """One row per cluster: number, smallest point id, size and centroid.
 
-    Clusters are numbered from 0 by their smallest point id. Sizes and centroids are added up
-    from the cells, so the points are read only once.
+    Clusters are numbered from 0 by their smallest point id (core point id, where ``min_points`` is more than 1). With
+    ``min_points`` 1, sizes and centroids are added up from the cells, so the points are read only once; otherwise
+    border points count for their cluster and noise for none.
     """
-    if min_points != 1:
-        raise ValueError("only min_points=1 is supported")
-    groups = _labelled_cells(points, eps).groupBy("component").agg(
-        F.sum("n").alias("total_lojas"),
-        (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"),
-    )
+    if min_points == 1:
+        groups = _labelled_cells(points, eps).groupBy("component").agg(
+            F.sum("n").alias("total_lojas"),
+            (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"),
+        )
+    else:
+        groups = dbscan(points, eps, min_points).where("component is not null").groupBy("component").agg(
+            F.count("*").alias("total_lojas"), F.avg("x").alias("x"), F.avg("y").alias("y")
+        )
     numbered = number_rows(groups, ["component"], "_number")
     return numbered.withColumn("number", F.col("_number") - 1).drop("_number")
 

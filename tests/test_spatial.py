@@ -69,6 +69,50 @@ def test_dbscan(spark, kind):
     assert sum(r.total_lojas for r in table) == len(pts)
 
 
+def plain_dbscan(pts, eps, least):
+    """Kind and component per point by comparing all pairs."""
+    near = [[j for j, q in enumerate(pts) if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= eps * eps] for p in pts]
+    cores = [i for i, n in enumerate(near) if len(n) >= least]
+    part = smallest_of_component(cores, [(i, j) for i in cores for j in near[i] if j in set(cores)])
+    out = {}
+    for i, n in enumerate(near):
+        reach = [j for j in n if j in part]
+        out[i] = ("core", part[i]) if i in part else ("border", part[min(reach)]) if reach else ("noise", None)
+    return out
+
+
+@pytest.mark.parametrize("kind, least", [("sparse", 3), ("crowded", 40), ("arc", 30), ("line", 3), ("rim", 20)])
+def test_core_and_border(spark, kind, least):
+    rng = random.Random(12)
+    if kind == "rim":
+        # a crowded cell whose points lie on both sides of eps for the points near it, and exact distances of eps
+        pts = [(rng.random() * 0.7, rng.random() * 0.7) for _ in range(200)] + [(1.0 + 0.01 * i, 0.2) for i in range(60)]
+        pts += [(10.0, 0.0), (11.0, 0.0), (12.0, 0.0)] + [(10.0, 0.0)] * 18
+    else:
+        pts = cluster_points(kind, rng)
+    want = plain_dbscan(pts, 1.0, least)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id long, x double, y double").repartition(3)
+    got = {r.id: (r.kind, r.component) for r in dbscan.density_clusters(df, 1.0, least).collect()}
+    assert got == want
+    if kind != "rim":
+        return
+    assert {r.id: r.component for r in dbscan.dbscan(df, 1.0, least).collect()} == {i: c for i, (_, c) in want.items()}
+    table = dbscan.cluster_table(df, 1.0, least).orderBy("number").collect()
+    sizes = defaultdict(int)
+    for _, c in want.values():
+        sizes[c] += c is not None
+    assert [(r.component, r.total_lojas) for r in table] == sorted((c, n) for c, n in sizes.items() if n)
+
+
+def test_core_points_of_nothing(spark):
+    empty = spark.createDataFrame([], "id long, x double, y double")
+    assert dbscan.density_clusters(empty, 1.0, 3).collect() == []
+    alone = spark.createDataFrame([(7, 0.0, 0.0)], "id long, x double, y double")
+    assert [tuple(r) for r in dbscan.density_clusters(alone, 1.0, 2).collect()] == [(7, 0.0, 0.0, "noise", None)]
+    with pytest.raises(ValueError):
+        dbscan.dbscan(alone, 1.0, 0)
+
+
 def line(*vs):
     return [(float(x), float(y)) for x, y in vs]
 
