@@ -7,6 +7,7 @@ from comarca.checks.registry import check
 from comarca.checks.scalars import POINTS, _case, _in, digits, HUB, located
 from comarca.functions import geo, labels, text
 from comarca.operators import analytics, cleaning, filters
+from comarca.operators.nearest import nearest_centres
 from comarca.plans import etl
 from comarca.sources import readers, writers
 
@@ -357,6 +358,39 @@ def a6_centres(t):
     return analytics.recount(centres, points, "software", centres).select("cluster_id", "total_lojas")
 
 
+# one centre per order, on a lattice where many are equally near
+CENTRES = """SELECT o_orderkey AS cluster_id, CAST(-52 AS DOUBLE) + CAST(o_orderkey % 1009 AS DOUBLE) / CAST(500 AS DOUBLE) AS x,
+    CAST(-24 AS DOUBLE) + CAST(o_orderkey * 7 % 997 AS DOUBLE) / CAST(500 AS DOUBLE) AS y FROM {orders}"""
+NEAREST = f"""SELECT id, cnae_fiscal_principal AS cnae, hit.cluster_id AS cluster_id FROM (
+    SELECT p.id, any_value(cnae_fiscal_principal) AS cnae_fiscal_principal, min(struct_pack(
+        d2 := (p.lon - c.x) * (p.lon - c.x) + (p.lat - c.y) * (p.lat - c.y), cluster_id := c.cluster_id)) AS hit
+    FROM ({POINTS}) AS p, ({CENTRES}) AS c GROUP BY p.id) AS m"""
+
+
+def _centres(t):
+    part = lambda c, k: F.expr(f"cast({c} % {k} as double) / 500d")
+    return t.orders.select(
+        F.col("o_orderkey").alias("cluster_id"), (F.lit(-52.0) + part("o_orderkey", 1009)).alias("x"),
+        (F.lit(-24.0) + part("o_orderkey * 7", 997)).alias("y"),
+    )
+
+
+@check("a6_many_centres", f"""
+    SELECT c.cluster_id, coalesce(n, 0) AS total_lojas FROM ({CENTRES}) AS c LEFT JOIN (
+        SELECT cluster_id, count(*) AS n FROM ({NEAREST}) AS s WHERE cnae IN ('6201501', '6202300') GROUP BY cluster_id) AS r
+    ON r.cluster_id = c.cluster_id""")
+def a6_many(t):
+    points = located(t).withColumn("cnae", F.col("cnae_fiscal_principal"))
+    centres = _centres(t).withColumn("total_lojas", F.lit(0).cast("long"))
+    return analytics.recount(centres, points, "software", centres).select("cluster_id", "total_lojas")
+
+
+@check("j8_nearest_centres", f"SELECT id, cluster_id FROM ({NEAREST}) AS s")
+def j8_centres(t):
+    points = located(t).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return points.join(nearest_centres(points, _centres(t)), ["x", "y"]).select("id", "cluster_id")
+
+
 @check("o8_recount_order", f"SELECT cluster_id, total_lojas FROM ({RECOUNT}) AS s ORDER BY 2 DESC, 1")
 def o8(t):
     return analytics.ranked(_recount(t)).select("cluster_id", "total_lojas")

@@ -11,6 +11,7 @@ from comarca.functions.labels import (
 )
 from comarca.functions.text import company_id, fold_accents, or_default_blank, strip
 from comarca.operators.filters import in_sector, on_streets, search
+from comarca.operators.nearest import nearest_centres
 from comarca.scale import number_rows
 from comarca.sources.readers import street_scan
 
@@ -210,34 +211,22 @@ def ranked(clusters) -> DataFrame:
 def recount(clusters, points, sector, centres=None) -> DataFrame:
     """Cluster totals for a sector: each point counts for its nearest centre.
 
-    ``centres`` (id, x, y) defaults to the five hubs; other centres may not exceed 1000 rows,
-    since all of them are compared with every point.
+    ``centres`` (cluster_id, x, y) defaults to the five hubs; of others there may be any number.
     """
     if sector == "all":
         return clusters
     rows = in_sector(points, sector)
-    if centres is None:
-        near = nearest_hub("lon", "lat")
-    else:
-        listed = centres.select("cluster_id", "x", "y").limit(1001).collect()
-        if len(listed) > 1000:
-            raise ValueError("more than 1000 centres: assign points by cluster membership")
-        spots = F.array(
-            *[F.struct(F.lit(float(c.x)).alias("x"), F.lit(float(c.y)).alias("y"), F.lit(c.cluster_id).alias("id")) for c in listed]
-        )
-        near = F.array_min(
-            F.transform(
-                spots,
-                lambda c: F.struct(
-                    ((F.col("lon") - c["x"]) * (F.col("lon") - c["x"]) + (F.col("lat") - c["y"]) * (F.col("lat") - c["y"])).alias("d2"),
-                    c["id"].alias("id"),
-                ),
-            )
-        )["id"]
+    if centres is not None:
+        near = nearest_centres(rows.select(F.col("lon").alias("x"), F.col("lat").alias("y")), centres)
+        return _with_totals(clusters, near.groupBy("cluster_id").agg(F.sum("n").alias("_n")))
+    near = nearest_hub("lon", "lat")
     # a point without coordinates is near no centre; a key that cannot be NULL also spares the
     # optimizer a null filter that would repeat the whole coordinate expression
     key = F.coalesce(near, F.lit(0)).alias("cluster_id")
-    counted = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return _with_totals(clusters, rows.groupBy(key).agg(F.count("*").alias("_n")))
+
+
+def _with_totals(clusters, counted):
     joined = clusters.drop("total_lojas").join(counted, "cluster_id", "left")
     return joined.withColumn("total_lojas", F.coalesce("_n", F.lit(0))).drop("_n")
 
