@@ -93,7 +93,7 @@ def t2(t):
         SELECT *, row_number() OVER (PARTITION BY user_id, segment_id ORDER BY t DESC, seq DESC) AS r FROM ({MET}) AS s) AS x
     WHERE r = 1""")
 def t1(t):
-    """The queue as a file stream, merged micro-batch by micro-batch in the shared folder."""
+    """The queue as a file stream, merged micro-batch by micro-batch in the shared folder, read from a snapshot."""
     import uuid
 
     from comarca.functions.text import iso
@@ -105,9 +105,49 @@ def t1(t):
     store = VisitStore(t.spark, f"{root}/store")
     store.seed(state(t))
     store.start(read_queue(t.spark, f"{root}/queue"), f"{root}/progress").awaitTermination()
+    store.compact()
     return store.state().select("user_id", "segment_id", "visited", iso("visited_at").alias("visited_at"), "notes", "source")
 
 
+SYNCED = f"""SELECT user_id, segment_id, visited, {_iso('t')} AS visited_at, notes, source FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, segment_id ORDER BY t DESC, seq DESC) AS r FROM ({MET}) AS s) AS x
+    WHERE r = 1"""
+
+
+def _keyed(t):
+    import uuid
+
+    from comarca.session import checkpoint_dir
+    from comarca.streaming.keyed import start_keyed_sync
+    from comarca.streaming.visits import read_queue
+
+    root = f"{checkpoint_dir(t.spark)}/visit-keys-{uuid.uuid4().hex}"
+    t.visits_batch.write.json(f"{root}/queue")
+    queue = read_queue(t.spark, f"{root}/queue")
+    start_keyed_sync(queue, state(t), f"{root}/results", f"{root}/progress").awaitTermination()
+    return f"{root}/results"
+
+
+@check("t1_keyed_state", SYNCED)
+def t1_keyed(t):
+    """The queue as a stream over one state per user and segment, which starts from the stored visits."""
+    from comarca.functions.text import iso
+    from comarca.streaming.keyed import keyed_state
+
+    rows = keyed_state(t.spark, _keyed(t), state(t))
+    return rows.select("user_id", "segment_id", "visited", iso("visited_at").alias("visited_at"), "notes", "source")
+
+
+@check("t1_keyed_conflicts", f"""
+    SELECT user_id, segment_id, seq, visited AS client_visited, sent AS client_visited_at, met.visited AS server_visited,
+        {_iso('met.t')} AS server_visited_at, nullif(met.notes, '') AS server_notes
+    FROM ({MET}) AS s WHERE seq >= 0 AND t < met.t""")
+def t1_keyed_lost(t):
+    from comarca.streaming.keyed import keyed_conflicts
+
+    return keyed_conflicts(t.spark, _keyed(t))
+
+
 @check("a19_waiting", "SELECT user_id, count(*) AS waiting FROM {visits_batch} GROUP BY user_id")
 def a19(t):
     return visits.waiting_counts(t.visits_batch)

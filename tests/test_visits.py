@@ -6,6 +6,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from comarca import schemas
 from comarca.operators import visits
@@ -150,3 +151,70 @@ def test_any_seq(spark):
     assert got[0] == got[1] and len(got[0]) == 2 and all(r[1] for r in got[0])
     with pytest.raises(Exception, match="without seq"):
         visits.fold(state, batch({"seq": None, "visited_at": "2026-05-02T00:00:00"})).collect()
+
+
+def files_of(state):
+    """Files that a state is read from, without their buckets."""
+    return {f.split("/store/")[1].rsplit("/bucket=", 1)[0] for f in state.inputFiles()}
+
+
+def test_compaction_bounds_what_a_batch_reads(spark, tmp_path):
+    """Batch 50 reads at most the snapshot and the change folders since, and of these the buckets it touches."""
+    state, items = made(9, 153)
+    good = [i for i in items if i[3] != "bad"]
+    store = VisitStore(spark, str(tmp_path / "store"), buckets=4, compact_every=20)
+    store.seed(spark.createDataFrame(state, schemas.VISIT))
+    size = -(-len(good) // 51)
+    parts = [good[k : k + size] for k in range(0, len(good), size)]
+    for k, part in enumerate(parts[:42]):  # the overwriting policy writes the same folders with less work
+        VisitStore(spark, str(tmp_path / "store"), "overwrite", compact_every=20).apply(spark.createDataFrame(part, schemas.VISIT_ITEM), k)
+    names = files_of(store.state((0, 42)))
+    snapshots = {n for n in names if n.startswith("snapshots/")}
+    assert len(snapshots) == 1 and len(names) <= 21 and store.manifest().snapshot.batch > 20
+    want = {(r[0], r[1]): r[4] for r in state} | {(i[0], i[1]): i[4] for part in parts[:42] for i in part}
+    assert {k: v[2] for k, v in read(store.state()).items()} == want
+
+    bucket = store.state((0, 42), [2])
+    assert all("/bucket=2/" in r[0] for r in bucket.select(F.input_file_name()).distinct().collect() if r[0])
+
+    before = read(store.state())
+    store.compact()
+    assert read(store.state()) == before and len(files_of(store.state())) == 1
+    store.vacuum()
+    assert read(store.state()) == before
+    assert len(list((tmp_path / "store" / "manifest").iterdir())) == 1
+    assert not [p for p in (tmp_path / "store" / "changes").rglob("*.parquet")]
+    store.apply(spark.createDataFrame(parts[3], schemas.VISIT_ITEM), 3)  # a batch the snapshot holds
+    assert read(store.state()) == before
+
+
+def test_compacted_stream_equals_fold(spark, tmp_path):
+    state, items = made(10, 36)
+    write(tmp_path / "queue", [items[k : k + 6] for k in range(0, 36, 6)])
+    store = VisitStore(spark, str(tmp_path / "store"), buckets=3, compact_every=2)
+    store.seed(spark.createDataFrame(state, schemas.VISIT))
+    store.start(read_queue(spark, str(tmp_path / "queue"), 1), str(tmp_path / "progress")).awaitTermination()
+    want, want_lost = fold(state, items)
+    assert read(store.state()) == want and store.manifest().snapshot is not None
+    assert sorted(r.seq for r in store.conflicts().collect()) == sorted(x[2] for x in want_lost)
+    # a manifest that was not finished is passed over
+    (tmp_path / "store" / "manifest" / "version=999999999999").mkdir()
+    assert read(store.state()) == want
+
+
+def test_keyed_state_equals_fold_and_resumes(spark, tmp_path):
+    """States live in Spark's state store; a second start goes on from the stream's progress and repeats nothing."""
+    from comarca.streaming.keyed import keyed_conflicts, keyed_state, start_keyed_sync
+
+    state, items = made(11, 60)
+    items = [(u, s, v, t, n, w, q + (1 << 60)) for u, s, v, t, n, w, q in items]  # beyond what a double holds
+    stored = spark.createDataFrame(state, schemas.VISIT)
+    results, progress = str(tmp_path / "results"), str(tmp_path / "progress")
+    for upto in (25, 60, 60):
+        parts = [items[:25], items[25:]] if upto == 60 else [items[:25]]
+        write(tmp_path / "queue", parts)
+        start_keyed_sync(read_queue(spark, str(tmp_path / "queue"), 1), stored, results, progress).awaitTermination()
+        want, want_lost = fold(state, items[:upto])
+        assert read(keyed_state(spark, results, stored)) == want
+        lost = sorted((r.user_id, r.segment_id, r.seq, r.server_visited, r.server_notes) for r in keyed_conflicts(spark, results).collect())
+        assert lost == want_lost
