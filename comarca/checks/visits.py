@@ -207,10 +207,10 @@ def p15(t):
     return segments.in_box(streets(t), "17.75,2.25,3.5,9.5").select("id")
 
 
-@check("p16_parsed_box", f"SELECT count(*) AS n FROM {{streets}}, {WINDOW} AS w WHERE {HITS}")
+@check("p16_parsed_box", f"SELECT id FROM {{streets}}, {WINDOW} AS w WHERE {HITS}")
 def p16(t):
     box = geo.parse_box("3.5,2.25,17.75,9.5")
-    return segments.in_box(streets(t), box).agg(F.count("*").alias("n"))
+    return segments.in_box(streets(t), box).select("id")
 
 
 @check("g3_line_hits_box", f"SELECT id, {HITS} AS hit FROM {{streets}}, {WINDOW} AS w")
@@ -223,9 +223,22 @@ def j10(t):
     return segments.box_join(streets(t), t.windows)
 
 
-@check("j10_box_join_split", f"SELECT box_id, count(*) AS n FROM {{streets}}, {{windows}} WHERE {HITS} GROUP BY box_id")
+@check("j10_box_join_split", f"SELECT box_id, id FROM {{streets}}, {{windows}} WHERE {HITS}")
 def j10_split(t):
-    return segments.box_join(streets(t), t.windows, min_rows=20).groupBy("box_id").agg(F.count("*").alias("n"))
+    """The same pairs where nearly every cell counts as crowded."""
+    return segments.box_join(streets(t), t.windows, pairs=20)
+
+
+@check("p15_box_stored", f"SELECT id FROM {{streets}}, {WINDOW} AS w WHERE {HITS}")
+def p15_stored(t):
+    """A box over segments stored in the order of their places."""
+    import uuid
+
+    from comarca.session import checkpoint_dir
+
+    path = f"{checkpoint_dir(t.spark)}/places-{uuid.uuid4().hex}"
+    segments.write_by_place(streets(t), path)
+    return segments.in_box(t.spark.read.parquet(path), "3.5,2.25,17.75,9.5").select("id")
 
 
 @check("s4_segments_of_user_in_box", f"""

@@ -221,6 +221,78 @@ def test_kde_against_direct_sum(spark):
     assert np.allclose([stats.p25, stats.p50, stats.p75], np.percentile(want, [25, 50, 75]))
 
 
+def hits(lines, box):
+    """Ids of lines of which an edge meets the box, by clipping every edge."""
+    x1, y1, x2, y2 = box
+    out = []
+    for i, vs in lines:
+        for (ax, ay), (bx, by) in zip(vs, vs[1:]):
+            low, high = 0.0, 1.0
+            for p, q in ((ax - bx, ax - x1), (bx - ax, x2 - ax), (ay - by, ay - y1), (by - ay, y2 - ay)):
+                if p == 0:
+                    high = high if q >= 0 else -1.0
+                elif p < 0:
+                    low = max(low, q / p)
+                else:
+                    high = min(high, q / p)
+            if low <= high:
+                out.append(i)
+                break
+    return out
+
+
+def test_box_join_in_a_crowded_cell(spark):
+    """Half of all boxes and lines crowd in one cell; copies are dealt in blocks, others are told apart by quarters."""
+    rng = random.Random(9)
+    spot = lambda: (7.0 + rng.random() * 0.9, 7.0 + rng.random() * 0.9)
+    lines = [(i, line((rng.random() * 50, rng.random() * 50), (rng.random() * 50, rng.random() * 50))) for i in range(60)]
+    for i in range(100, 180):
+        x, y = spot()
+        lines.append((i, line((x, y), (x + 0.02, y + 0.01))))
+    lines += [(200 + i, line((7.5, 7.5), (7.5, 7.5))) for i in range(40)] + [(300, line((7.5, 7.5)))]
+    boxes = [(i, x, y, x + 3, y + 2) for i in range(60) for x, y in [(rng.random() * 50, rng.random() * 50)]]
+    for i in range(60, 100):
+        x, y = spot()
+        boxes.append((i, x, y, x + 0.03, y + 0.03))
+    boxes += [(100 + i, 7.4, 7.4, 7.6, 7.6) for i in range(30)]
+    segs = spark.createDataFrame(lines, "id long, geom array<struct<x:double,y:double>>")
+    wins = spark.createDataFrame(boxes, "box_id long, x1 double, y1 double, x2 double, y2 double")
+    got = sorted(map(tuple, segments.box_join(segs, wins, pairs=200).collect()))
+    assert got == sorted((b, i) for b, *box in boxes for i in hits(lines, box))
+
+
+def test_box_join_lays_out_bounds_only(spark):
+    segs = spark.createDataFrame([(1, line((0, 0), (1, 1)))], "id long, geom array<struct<x:double,y:double>>")
+    left = segments._laid(segments._sized(segments.with_bounds(segs).select("id", "min_x", "max_x", "min_y", "max_y"), "min_x", "min_y", "max_x", "max_y", 1), [0], "min_x", "min_y", "max_x", "max_y")
+    assert "geom" not in left.columns
+    wins = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0)], "box_id long, x1 double, y1 double, x2 double, y2 double")
+    plan = segments.box_pairs(segs, wins)._jdf.queryExecution().executedPlan().toString()
+    assert "geom" not in plan and segments.box_pairs(segs, wins).columns == ["box_id", "id", "inside", "x1", "y1", "x2", "y2"]
+
+
+def test_box_reads_few_files_of_a_stored_layout(spark, tmp_path):
+    """Most files lie beside a small box by the bounds in their footers, and the box finds the same segments."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(10)
+    lines = [(i, line((x, y), (x + 0.1, y + 0.1))) for i in range(4000) for x, y in [(rng.random() * 100, rng.random() * 100)]]
+    segs = spark.createDataFrame([*lines, (9999, None)], "id long, geom array<struct<x:double,y:double>>")
+    segments.write_by_place(segs, str(tmp_path / "placed"), files=32)
+    box, met, files = (40.0, 40.0, 48.0, 48.0), 0, list((tmp_path / "placed").glob("*.parquet"))
+    for file in files:
+        footer = pq.ParquetFile(file).metadata
+        for g in range(footer.num_row_groups):
+            ends = {footer.row_group(g).column(c).path_in_schema: footer.row_group(g).column(c).statistics for c in range(footer.num_columns)}
+            ends = {k: v for k, v in ends.items() if v is not None and v.has_min_max}
+            met += ends["min_x"].min <= box[2] and ends["max_x"].max >= box[0] and ends["min_y"].min <= box[3] and ends["max_y"].max >= box[1]
+    assert len(files) >= 24 and met <= len(files) / 4
+    stored = spark.read.parquet(str(tmp_path / "placed"))
+    assert stored.count() == 4001
+    found = segments.in_box(stored, box)
+    assert sorted(r.id for r in found.collect()) == sorted(hits(lines, box))
+    assert "PushedFilters: [" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_box_join_against_all_pairs(spark):
     rng = random.Random(8)
     lines = [(i, line(*[(rng.random() * 20, rng.random() * 20) for _ in range(3)])) for i in range(60)]
@@ -230,11 +302,9 @@ def test_box_join_against_all_pairs(spark):
     boxes += [(50, 4.9, 4.9, 5.1, 5.1), (51, -100.0, -100.0, 100.0, 100.0), (52, 5.0, 5.0, 5.0, 5.0)]
     segs = spark.createDataFrame(lines, "id long, geom array<struct<x:double,y:double>>")
     wins = spark.createDataFrame(boxes, "box_id long, x1 double, y1 double, x2 double, y2 double")
-    got = sorted(map(tuple, segments.box_join(segs, wins, min_rows=20).collect()))
-    want = []
-    for b, *box in boxes:
-        want += [(b, r.id) for r in segments.in_box(segs, tuple(box)).select("id").collect()]
-    assert got == sorted(want)
+    for pairs in (20, 1_000_000):
+        got = sorted(map(tuple, segments.box_join(segs, wins, pairs=pairs).collect()))
+        assert got == sorted((b, i) for b, *box in boxes for i in hits(lines, box))
     assert segments.box_join(segs, wins.limit(0)).count() == 0
 
 
