@@ -112,10 +112,10 @@ def a4_summary(t):
 
 
 @check("a5_corridor_line", f"""
-    SELECT string_agg(lng || ' ' || lat, ', ' ORDER BY place) AS line FROM {CORRIDOR}
-    WHERE city IN (SELECT city FROM ({COUNTED}) AS s)""")
+    SELECT string_agg(lng || ' ' || lat, ', ' ORDER BY place) AS line FROM {CORRIDOR}""")
 def a5(t):
-    rows = analytics.corridor_counts(t.est_large).where("place > 0 and total > 0")
+    """All cities of the corridor, with shops or without."""
+    rows = analytics.corridor_counts(t.est_large).where("place > 0")
     spot = lambda v: F.concat_ws(" ", v["x"].cast("string"), v["y"].cast("string"))
     return analytics.corridor_line(rows).select(F.array_join(F.transform("line", spot), ", ").alias("line"))
 
@@ -133,6 +133,24 @@ def a17(t):
     )
 
 
+@check("a17_corridor_document", f"""
+    SELECT 'FeatureCollection' AS type, 'BR-369' AS corridor, (SELECT string_agg(city, ',' ORDER BY place) FROM {CORRIDOR}) AS cities,
+        (SELECT string_agg(city, ',' ORDER BY place) FROM {CORRIDOR}) || ',BR-369 Corridor' AS names,
+        count(*) AS total_businesses, count(*) FILTER (business_type = 'tech') AS total_tech,
+        count(*) FILTER (business_type = 'repairs') AS total_repairs,
+        round(count(*) FILTER (business_type = 'tech') / count(*) * 100, 1) AS tech_pct
+    FROM ({COUNTED}) AS s WHERE city IS NOT NULL""")
+def a17_document(t):
+    doc = analytics.corridor_document(t.est_large).select(F.to_json("document").alias("text")).select(
+        F.from_json("text", "type string, features array<struct<properties:string>>, metadata struct<corridor:string,cities:array<string>,"
+                    "total_businesses:long,total_tech:long,total_repairs:long,tech_pct:double>").alias("d"))
+    names = F.transform("d.features", lambda f: F.get_json_object(f["properties"], "$.name"))
+    return doc.select(
+        "d.type", "d.metadata.corridor", F.array_join("d.metadata.cities", ",").alias("cities"), F.array_join(names, ",").alias("names"),
+        *[f"d.metadata.{c}" for c in ("total_businesses", "total_tech", "total_repairs", "tech_pct")],
+    )
+
+
 TECH = """
     SELECT cnpj_completo AS cnpj, CASE WHEN coalesce(nome_fantasia, '') = '' THEN 'Empresa Tech ' || substr(cnpj_completo, 1, 8)
             ELSE nome_fantasia END AS nome_fantasia,
@@ -568,14 +586,17 @@ LOCATED = f"""
     WHERE p.situacao_cadastral = 2 AND coalesce(p.geocoded, FALSE) = FALSE"""
 
 
-def _geocoded(t):
-    from comarca.plans.geocode import geocode
-
+def _gazetteer(t):
     address = text.address("logradouro", "numero", "bairro", "municipio").alias("address")
-    known = t.est.where("id % 2 = 0").groupBy(address).agg(
+    return t.est.where("id % 2 = 0").groupBy(address).agg(
         F.min(F.lit(-52.0) + F.col("id") / F.lit(1e6)).alias("lon"), F.min(F.lit(-24.0) + F.col("id") / F.lit(1e6)).alias("lat")
     )
-    return geocode(t.est, known)
+
+
+def _geocoded(t):
+    from comarca.plans.geocode import geocode
+
+    return geocode(t.est, _gazetteer(t))
 
 
 @check("j14_geocode", f"SELECT id, round(lon, 10) AS lon, round(lat, 10) AS lat, source FROM ({LOCATED}) AS s")
@@ -590,6 +611,23 @@ def a16(t):
     return geocode_counts(_geocoded(t))
 
 
+@check("t3_geocode_stream", f"SELECT id, round(lon, 10) AS lon, round(lat, 10) AS lat, source FROM ({LOCATED}) AS s")
+def t3_stream(t):
+    """Pending establishments as files, located in bounded batches."""
+    import uuid
+
+    from comarca.session import checkpoint_dir
+    from comarca.streaming import geocode
+
+    root = f"{checkpoint_dir(t.spark)}/geocode-{uuid.uuid4().hex}"
+    todo = readers.pending(t.est).select("id", "cnpj_completo", "logradouro", "numero", "bairro", "municipio", "business_type")
+    todo.repartition(3, "id").write.json(f"{root}/queue")
+    rows = geocode.read_pending(t.spark, f"{root}/queue", 2)
+    geocode.start_geocoding(rows, _gazetteer(t), f"{root}/located", f"{root}/progress").awaitTermination()
+    found = geocode.located_rows(t.spark, f"{root}/located")
+    return found.select("id", F.round("lon", 10).alias("lon"), F.round("lat", 10).alias("lat"), "source")
+
+
 def _filled(t):
     from comarca.plans.geocode import apply_points
 

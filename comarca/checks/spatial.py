@@ -255,6 +255,40 @@ def k8(t):
     return cells.agg(F.count("*").alias("cells"), F.round(F.max("density"), 4).alias("peak"))
 
 
+def _density_files(t):
+    import uuid
+
+    from comarca.session import checkpoint_dir, durable
+    from comarca.sources.writers import write_density_csv
+
+    folder = f"{checkpoint_dir(t.spark)}/density-{uuid.uuid4().hex}"
+    grid = durable(_grid(t))
+    write_density_csv(grid, density.kde_stats(grid), folder)
+    return folder
+
+
+@check("k5_density_statistics", f"""
+    SELECT bandwidth, round(min(density), 4) AS min, round(max(density), 4) AS max, round(avg(density), 4) AS mean,
+        round(quantile_cont(density, 0.25), 4) AS p25, round(quantile_cont(density, 0.5), 4) AS p50,
+        round(quantile_cont(density, 0.75), 4) AS p75 FROM ({GRID}) AS g GROUP BY bandwidth""")
+def k5_statistics(t):
+    """Density statistics written as CSV and read back."""
+    names = ("min", "max", "mean", "p25", "p50", "p75")
+    schema = "bandwidth double, " + ", ".join(f"{c} double" for c in names)
+    rows = t.spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(f"{_density_files(t)}/statistics")
+    return rows.select("bandwidth", *[F.round(c, 4).alias(c) for c in names])
+
+
+@check("k5_density_grid", f"""
+    SELECT round(cell_x, 3) AS cell_x, round(cell_y, 3) AS cell_y, round(density, 4) AS density_stores_km2
+    FROM ({GRID}) AS g WHERE bandwidth = 500""")
+def k5_grid(t):
+    """Cells of the 500 m density written as CSV and read back."""
+    rows = t.spark.read.schema("cell_x double, cell_y double, density_stores_km2 double").option("header", True).option("enforceSchema", False)
+    rows = rows.csv(f"{_density_files(t)}/grid")
+    return rows.select(F.round("cell_x", 3).alias("cell_x"), F.round("cell_y", 3).alias("cell_y"), F.round("density_stores_km2", 4).alias("density_stores_km2"))
+
+
 @check("g5_kde_lines")
 def g5_lines(t):
     """Default grid over one point per order line; too many kernels for plain SQL."""
@@ -278,3 +312,39 @@ def g6(t):
     spot = F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))
     found = density.density_at(rows.select("id", F.array(spot, spot).alias("geom")), _grid(t), 500.0, box.min_x, box.min_y, 1000.0)
     return found.withColumn("density", F.round("density", 4))
+
+
+# streets over a grid of their own corners: cells a unit wide, edges cut where they pass from cell to cell
+STREET_GRID = f"""
+    SELECT ix, iy, sum(exp(-((x0 + ix - ax) * (x0 + ix - ax) + (y0 + iy - ay) * (y0 + iy - ay)) / 2)) * 1e6 / (2 * {PI}) AS density
+    FROM {{streets}}, (SELECT min(ax) - 1 AS x0, min(ay) - 1 AS y0, CAST(ceil(max(ax) - min(ax) + 2) AS BIGINT) AS nx,
+        CAST(ceil(max(ay) - min(ay) + 2) AS BIGINT) AS ny FROM {{streets}}) AS b,
+        LATERAL (SELECT unnest(range(nx)) AS ix) AS c, LATERAL (SELECT unnest(range(ny)) AS iy) AS r
+    GROUP BY ix, iy"""
+
+
+@check("g6_street_density", f"""
+    WITH base AS (SELECT min(ax) - 1.5 AS x0, min(ay) - 1.5 AS y0 FROM {{streets}}),
+        edges AS (
+            SELECT id, 1 AS e, ax - x0 AS px, ay - y0 AS py, bx - x0 AS qx, by_ - y0 AS qy FROM {{streets}}, base
+            UNION ALL SELECT id, 2, bx - x0, by_ - y0, cx - x0, cy - y0 FROM {{streets}}, base),
+        cuts AS (
+            SELECT id, e, px, py, qx, qy, 0.0 AS t FROM edges UNION ALL SELECT id, e, px, py, qx, qy, 1.0 FROM edges
+            UNION ALL SELECT id, e, px, py, qx, qy, (k - px) / (qx - px) FROM edges,
+                LATERAL (SELECT unnest(range(CAST(floor(least(px, qx)) AS BIGINT) + 1, CAST(ceil(greatest(px, qx)) AS BIGINT))) AS k) AS a
+            UNION ALL SELECT id, e, px, py, qx, qy, (k - py) / (qy - py) FROM edges,
+                LATERAL (SELECT unnest(range(CAST(floor(least(py, qy)) AS BIGINT) + 1, CAST(ceil(greatest(py, qy)) AS BIGINT))) AS k) AS a),
+        steps AS (SELECT *, lead(t) OVER (PARTITION BY id, e ORDER BY t) AS t2 FROM cuts),
+        parts AS (SELECT id, CAST(floor(px + (t + t2) / 2 * (qx - px)) AS BIGINT) AS ix, CAST(floor(py + (t + t2) / 2 * (qy - py)) AS BIGINT) AS iy,
+            (t2 - t) * sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) AS d FROM steps WHERE t2 IS NOT NULL)
+    SELECT id AS segment_id, round(CASE WHEN sum(d) > 0 THEN sum(d * coalesce(density, 0)) / sum(d) ELSE max(coalesce(density, 0)) END, 4) AS density
+    FROM parts LEFT JOIN ({STREET_GRID}) AS g USING (ix, iy) GROUP BY id""")
+def g6_streets(t):
+    """Density along every street, by the length that runs in each cell."""
+    from comarca.checks.visits import streets
+
+    corners = t.streets.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
+    box = density.extent(corners, 1.0).first()
+    grid = density.kde(corners, resolution=1.0, bandwidths=(1.0,), margin=1.0)
+    found = density.street_density(streets(t), grid, 1.0, box.min_x, box.min_y, 1.0)
+    return found.withColumn("density", F.round("density", 4))

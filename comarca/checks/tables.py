@@ -40,6 +40,36 @@ def s1(t):
     return _raw_file(t).select("cnpj_basico", "cnpj_ordem", "cnpj_dv", F.trim("municipio").alias("municipio"), "uf", "correio_eletronico")
 
 
+def _flawed_file(t):
+    """One line per establishment: short ones, long ones and ones with a quote that never closes among them."""
+    path = _folder(t, "flawed")
+    named = {"cnpj_basico": F.col("cnpj_basico"), "uf": F.col("uf"), "correio_eletronico": F.lit('"a;b"')}
+    fields = [F.coalesce(named.get(c, F.lit("")), F.lit("")) for c in fixed.RAW_COLUMNS]
+    flaw = F.col("id") % 10
+    line = (
+        F.when(flaw == 0, F.concat_ws(";", *fields[:5]))
+        .when(flaw == 1, F.concat_ws(";", *fields, F.lit("one"), F.lit("more")))
+        .when(flaw == 2, F.concat_ws(";", fields[0], F.lit('"never closed'), *fields[2:]))
+        .otherwise(F.concat_ws(";", *fields))
+    )
+    t.est.select(line).write.text(path)
+    return path
+
+
+@check("s1_bad_rows", """
+    SELECT cnpj_basico, id % 10 IN (0, 1, 2) AS refused, CASE WHEN id % 10 > 2 THEN uf END AS uf,
+        CASE id % 10 WHEN 0 THEN 5 WHEN 1 THEN 35 WHEN 2 THEN 33 END AS fields,
+        count(*) FILTER (id % 10 > 2) OVER () AS kept, count(*) FILTER (id % 10 <= 2) OVER () AS all_refused FROM {est}""")
+def s1_bad(t):
+    """Sound rows and refused ones with their lines; together they are all lines of the file."""
+    sound, refused, counts = readers.quarantine(t.spark, _flawed_file(t), _folder(t, "refused"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = sound.select("cnpj_basico", F.lit(False).alias("refused"), "uf", none("int").alias("fields")).unionByName(
+        refused.select("cnpj_basico", F.lit(True).alias("refused"), none("string").alias("uf"), "fields"))
+    total = counts.first()  # one row of two numbers
+    return rows.withColumns({"kept": F.lit(total.kept).cast("long"), "all_refused": F.lit(total.refused).cast("long")})
+
+
 @check("s2_typed_columns", """
     SELECT cnpj_basico, cnpj_ordem, CAST(codigo_municipio AS BIGINT) AS codigo_municipio,
         CAST(situacao_cadastral AS BIGINT) AS situacao_cadastral FROM {est}""")
@@ -150,6 +180,28 @@ def k3(t):
     return merged.select("cnpj_completo", "nome_fantasia", "numero", "business_type", "porte_empresa", "geocoded")
 
 
+@check("k3_upsert_bucketed", f"""
+    WITH tgt AS ({TARGET}), src AS (SELECT * FROM ({SOURCE}) AS s WHERE seq = 2)
+    SELECT coalesce(t.cnpj_completo, s.cnpj_completo) AS cnpj_completo,
+        CASE WHEN s.cnpj_completo IS NOT NULL THEN s.nome_fantasia ELSE t.nome_fantasia END AS nome_fantasia,
+        CASE WHEN s.cnpj_completo IS NOT NULL THEN s.numero ELSE t.numero END AS numero,
+        CASE WHEN t.cnpj_completo IS NULL THEN s.porte_empresa ELSE t.porte_empresa END AS porte_empresa
+    FROM tgt AS t FULL OUTER JOIN src AS s ON t.cnpj_completo = s.cnpj_completo""")
+def k3_bucketed(t):
+    """The same upsert into a stored table of which only the touched parts are rewritten."""
+    from comarca.session import durable
+    from comarca.sources import keyed
+
+    target, source = _delivery(t)
+    name = f"keyed_{uuid.uuid4().hex}"
+    keyed.create_keyed(target, name, ["cnpj_completo"], parts=8, buckets=4, path=_folder(t, "keyed"))
+    try:
+        keyed.upsert_keyed(t.spark, name, source, fixed.UPSERT_COLUMNS, order="seq")
+        return durable(keyed.read_keyed(t.spark, name).select("cnpj_completo", "nome_fantasia", "numero", "porte_empresa"))
+    finally:
+        t.spark.sql(f"DROP TABLE {name}")
+
+
 @check("k3_upsert_reset_geocode", f"""
     WITH tgt AS ({TARGET}), src AS (SELECT * FROM ({SOURCE}) AS s WHERE seq = 2)
     SELECT coalesce(t.cnpj_completo, s.cnpj_completo) AS cnpj_completo,

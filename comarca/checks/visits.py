@@ -183,6 +183,46 @@ def j4(t):
     return segments.visits_with_segments(state(t), streets(t)).drop("geom")
 
 
+NUMBERED = "CAST(user_id AS BIGINT) * 1000000 + segment_id"
+
+
+@check("j4_visit_records", f"""
+    SELECT CAST(v.user_id AS BIGINT) * 1000000 + v.segment_id AS id, v.user_id, v.segment_id, v.visited, {_iso('v.visited_at')} AS visited_at,
+        v.notes, v.source, s.name AS street_name, coalesce(s.length_m, 0.0) AS length_m, 'LineString' AS kind, 3 AS vertices,
+        ax AS x, cy AS y
+    FROM {{visits_server}} AS v JOIN {{streets}} AS s ON v.segment_id = s.id""")
+def j4_records(t):
+    rows = segments.visit_records(state(t).withColumn("id", F.expr(NUMBERED)), streets(t))
+    member = lambda m: F.get_json_object("geometry", f"$.{m}")
+    return rows.select(
+        *[c for c in rows.columns if c != "geometry"], member("type").alias("kind"),
+        F.size(F.from_json(member("coordinates"), "array<array<double>>")).alias("vertices"),
+        member("coordinates[0][0]").cast("double").alias("x"), member("coordinates[2][1]").cast("double").alias("y"),
+    )
+
+
+@check("k4_segment_features", f"""
+    SELECT 'Feature' AS type, 'LineString' AS geometry, {BASE}, coalesce(v.visited, FALSE) AS visited_by_user, v.notes,
+        {_iso('v.visited_at')} AS visited_at, ax AS x, cy AS y, TRUE AS has_notes
+    FROM {{streets}} AS s LEFT JOIN {{visits_server}} AS v ON v.segment_id = s.id AND v.user_id = '7'""")
+def k4_segments(t):
+    import uuid
+
+    from comarca.session import checkpoint_dir
+    from comarca.sources import writers
+
+    path = f"{checkpoint_dir(t.spark)}/segment-features-{uuid.uuid4().hex}"
+    writers.write_features(writers.segment_features(segments.with_visits(streets(t), state(t), "7")), path, nulls=True)
+    member = lambda m: F.get_json_object("value", f"$.{m}")
+    own = lambda m, kind: member(f"properties.{m}").cast(kind).alias(m)
+    return t.spark.read.text(path).select(
+        member("type").alias("type"), member("geometry.type").alias("geometry"), own("id", "long"), own("osm_id", "long"),
+        own("name", "string"), own("length_m", "double"), own("visited_by_user", "boolean"), own("notes", "string"),
+        own("visited_at", "string"), member("geometry.coordinates[0][0]").cast("double").alias("x"),
+        member("geometry.coordinates[2][1]").cast("double").alias("y"), F.col("value").contains('"notes":').alias("has_notes"),
+    )
+
+
 # an edge meets a closed rectangle: bounds overlap and the corners are not all on one side
 EDGE = """(greatest({ax}, {bx}) >= x1 AND least({ax}, {bx}) <= x2 AND greatest({ay}, {by}) >= y1 AND least({ay}, {by}) <= y2
     AND least(({bx}-{ax})*(y1-{ay})-({by}-{ay})*(x1-{ax}), ({bx}-{ax})*(y2-{ay})-({by}-{ay})*(x1-{ax}),

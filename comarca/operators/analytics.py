@@ -86,9 +86,31 @@ def corridor_counts(est, fold=True) -> DataFrame:
     )
 
 
+def corridor_document(est, fold=True) -> DataFrame:
+    """City points, the route line and the corridor's totals as one GeoJSON document in a struct column ``document``."""
+    rows = _corridor_features(corridor_counts(est, fold))  # eight rows
+    total = lambda c: F.max(F.when(F.col("place") == 0, F.col(c)))
+    found = rows.agg(
+        F.array_sort(F.collect_list(F.struct("_place", "feature"))).alias("parts"), total("total").alias("total"),
+        total("tech").alias("tech"), total("repairs").alias("repairs"),
+    )
+    metadata = F.struct(
+        F.lit(fixed.CORRIDOR_NAME).alias("corridor"), F.array(*[F.lit(c[0]) for c in fixed.CORRIDOR]).alias("cities"),
+        F.col("total").alias("total_businesses"), F.col("tech").alias("total_tech"), F.col("repairs").alias("total_repairs"),
+        F.coalesce(percent("tech", "total"), F.lit(0.0)).alias("tech_pct"),
+    )
+    return found.select(F.struct(
+        F.lit("FeatureCollection").alias("type"), F.transform("parts", lambda e: e["feature"]).alias("features"),
+        metadata.alias("metadata"),
+    ).alias("document"))
+
+
 def corridor_features(est, fold=True) -> DataFrame:
     """City points and the route line as GeoJSON features, in road order."""
-    rows = corridor_counts(est, fold)
+    return _corridor_features(corridor_counts(est, fold)).select("_place", "feature")
+
+
+def _corridor_features(rows) -> DataFrame:
     city = F.struct(
         F.lit("Feature").alias("type"),
         F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates"))).alias("geometry"),
@@ -115,7 +137,7 @@ def corridor_features(est, fold=True) -> DataFrame:
     )
     place = F.when(F.col("place") == 0, len(fixed.CORRIDOR) + 1).otherwise(F.col("place"))
     feature = F.when(F.col("place") == 0, route).otherwise(city)
-    return rows.select(place.alias("_place"), feature.alias("feature"))
+    return rows.select("*", place.alias("_place"), feature.alias("feature"))
 
 
 def corridor_line(dim) -> DataFrame:

@@ -180,3 +180,55 @@ def density_at(segments, grid, bandwidth, min_x, min_y, resolution) -> DataFrame
     values = grid.where(F.col("bandwidth") == float(bandwidth)).select("ix", "iy", "density")
     found = placed.join(values, ["ix", "iy"], "left")
     return found.select("segment_id", F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+def _crossings(a, b):
+    """Parameters from 0 to 1 at which the way from ``a`` to ``b`` (in cells) passes a cell border."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    first, last = F.floor(low) + 1, F.ceil(high) - 1
+    borders = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(borders, lambda k: (k - a) / (b - a))
+
+
+def street_cells(segments, min_x, min_y, resolution) -> DataFrame:
+    """``segment_id, ix, iy, length``: how long each polyline runs in each grid cell, in the units of the grid.
+
+    ``segments`` has id and a geom in the grid's coordinates. Cells are centred on the grid's nodes, as ``kde`` places
+    them; every edge is cut where it passes a border, and a piece belongs to the cell of its middle. A line without
+    length is in the cell of its first vertex, with length 0; a line without vertices in none.
+    """
+    u = lambda v, low: (v - F.lit(float(low))) / F.lit(float(resolution)) + 0.5
+    at = lambda i: F.get("geom", i)
+    ends = F.transform(
+        F.when(F.size("geom") > 1, F.sequence(F.lit(0), F.size("geom") - 2)).otherwise(F.when(F.size("geom") == 1, F.array(F.lit(0)))),
+        lambda i: F.struct(at(i).alias("a"), F.coalesce(at(i + 1), at(i)).alias("b")),
+    )
+    edges = segments.select(F.col("id").alias("segment_id"), F.explode(ends).alias("e")).select(
+        "segment_id", u(F.col("e.a.x"), min_x).alias("ax"), u(F.col("e.a.y"), min_y).alias("ay"),
+        u(F.col("e.b.x"), min_x).alias("bx"), u(F.col("e.b.y"), min_y).alias("by"),
+    )
+    cuts = F.array_sort(F.concat(
+        F.array(F.lit(0.0), F.lit(1.0)), _crossings(F.col("ax"), F.col("bx")), _crossings(F.col("ay"), F.col("by"))
+    ))
+    pieces = edges.withColumn("_cuts", cuts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.size("_cuts") - 2)))
+    t1, t2 = F.get("_cuts", F.col("_k")), F.get("_cuts", F.col("_k") + 1)
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    middle = (t1 + t2) / 2
+    return pieces.select(
+        "segment_id", F.floor(F.col("ax") + middle * dx).alias("ix"), F.floor(F.col("ay") + middle * dy).alias("iy"),
+        ((t2 - t1) * F.sqrt(dx * dx + dy * dy) * F.lit(float(resolution))).alias("length"),
+    ).groupBy("segment_id", "ix", "iy").agg(F.sum("length").alias("length"))
+
+
+def street_density(segments, grid, bandwidth, min_x, min_y, resolution) -> DataFrame:
+    """``segment_id, density``: mean density along each polyline, cells weighted by the length that runs in them.
+
+    A line without length has the density of its cell; cells outside of the grid count as 0. Only ids, cells and
+    lengths meet the grid.
+    """
+    values = grid.where(F.col("bandwidth") == float(bandwidth)).select("ix", "iy", "density")
+    met = street_cells(segments, min_x, min_y, resolution).join(values, ["ix", "iy"], "left")
+    dense = F.coalesce("density", F.lit(0.0))
+    return met.groupBy("segment_id").agg(
+        F.when(F.sum("length") > 0, F.sum(F.col("length") * dense) / F.sum("length")).otherwise(F.max(dense)).alias("density")
+    )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from comarca import fixed
-from comarca.functions.geo import line_bounds, line_hits_box, parse_box
+from comarca.functions.geo import line_bounds, line_geometry, line_hits_box, parse_box
 from comarca.functions.text import iso, or_default_blank
 from comarca.operators.filters import of_user
 from comarca.scale import skew_join
@@ -70,6 +70,23 @@ def user_visits(visits, segments, user, box=None) -> DataFrame:
     return visits_with_segments(of_user(visits, user), streets)
 
 
+def visit_records(visits, segments, user=None, box=None) -> DataFrame:
+    """Visits as records: their ``id``, the visit, its street and the line as GeoJSON text; of one user or of all.
+
+    Visits without an ``id`` column get a repeatable one from user and segment.
+    """
+    own = visits if user is None else of_user(visits, user)
+    if "id" not in own.columns:
+        own = own.withColumn("id", F.xxhash64("user_id", "segment_id"))
+    streets = segments if box is None else in_box(segments, box)
+    streets = streets.select(F.col("id").alias("segment_id"), F.col("name").alias("street_name"), "length_m", "geom")
+    return skew_join(own, streets, ["segment_id"]).select(
+        "id", "user_id", "segment_id", "visited", iso("visited_at").alias("visited_at"), "notes", "source", "street_name",
+        F.coalesce(F.col("length_m").cast("double"), F.lit(0.0)).alias("length_m"),
+        F.to_json(line_geometry("geom")).alias("geometry"),
+    )
+
+
 def known_visits(visits, segments) -> DataFrame:
     """Visits that refer to an existing segment."""
     ids = segments.select(F.col("id").alias("segment_id"))

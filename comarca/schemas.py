@@ -34,6 +34,9 @@ VISIT = """
     source string, synced boolean
 """
 
+#: A stored visit with the id it was given.
+VISIT_RECORD = f"id long, {VISIT.strip()}"
+
 VISIT_ITEM = """
     user_id string, segment_id long, visited boolean, visited_at string, notes string,
     source string, seq long

@@ -25,6 +25,44 @@ def read_registry_csv(spark, paths) -> DataFrame:
     )
 
 
+BAD_LINE = "_bad_line"
+
+
+def read_registry_checked(spark, paths) -> DataFrame:
+    """``read_registry_csv`` with ``_bad_line``: the whole line where a row has too few or too many fields or an
+    unclosed quote, NULL for sound rows. A fault stays within its line."""
+    return (
+        spark.read.schema(f"{schemas.RAW_ESTAB}, {BAD_LINE} string")
+        .option("sep", ";").option("quote", '"').option("escape", '"')
+        .option("encoding", "ISO-8859-1").option("header", False)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+        .option("columnPruning", "false")  # else unread fields are not counted
+        .csv(paths)
+    )
+
+
+def quarantine(spark, paths, folder):
+    """Sound registry rows of ``paths``; the others go to Parquet files under ``folder``.
+
+    Returns the sound rows, the refused ones (``cnpj_basico`` as far as it could be read, ``line``, ``fields``: the
+    number of separators plus one) and their counts (``kept``, ``refused``; together all lines that are not blank).
+    """
+    rows = read_registry_checked(spark, paths)
+    bad = rows.where(F.col(BAD_LINE).isNotNull()).select(
+        "cnpj_basico", F.col(BAD_LINE).alias("line"), F.size(F.split(BAD_LINE, ";")).alias("fields")
+    )
+    bad.write.mode("overwrite").parquet(folder)
+    # always true, and names a field: rows can't be read from a file by their fault alone
+    named = F.coalesce("cnpj_basico", F.lit("")) >= ""
+    sound = rows.where(F.col(BAD_LINE).isNull() & named).drop(BAD_LINE)
+    refused = spark.read.schema("cnpj_basico string, line string, fields int").parquet(folder)
+    zero = F.lit(0).cast("long")
+    counts = sound.agg(F.count("*").alias("kept")).withColumn("refused", zero).unionByName(
+        refused.agg(F.count("*").alias("refused")).withColumn("kept", zero)
+    ).agg(F.sum("kept").alias("kept"), F.sum("refused").alias("refused"))
+    return sound, refused, counts
+
+
 def read_business_json(spark, path, lines=False) -> DataFrame:
     """Business records: one JSON array, or JSON Lines with ``lines=True``.
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from comarca import fixed
-from comarca.functions.geo import point, point_geometry, stored_or, with_synthetic_point
+from comarca.functions.geo import line_geometry, point, point_geometry, stored_or, with_synthetic_point
 from comarca.functions.labels import size_label
 from comarca.functions.text import company_id, or_default
 from comarca.scale import number_rows, skew_join
@@ -60,8 +60,9 @@ def keep_first(df, keys, order) -> DataFrame:
     return _one_per_key(df, list(keys), lambda row: F.min_by(row, order))
 
 
-def _unrepeated(df, keys) -> DataFrame:
-    """``df``; reading it fails where a key without nulls occurs twice. Null keys equal no other."""
+def _unrepeated(df, keys, nulls=True) -> DataFrame:
+    """``df``; reading it fails where a key without nulls occurs twice. Null keys equal no other; without ``nulls``
+    their rows are left out."""
     full = F.lit(True)
     for k in keys:
         full = full & F.col(k).isNotNull()
@@ -70,21 +71,21 @@ def _unrepeated(df, keys) -> DataFrame:
     fine = F.when(F.col("_n") > 1, F.raise_error(F.lit("a key occurs twice in the source: give an order")).cast("boolean"))
     once = listed.where(F.coalesce(fine, F.lit(True)))
     once = once.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
-    return once.unionByName(df.where(~full))
+    return once.unionByName(df.where(~full)) if nulls else once
 
 
-def upsert(target, source, keys, update, order=None, stamp=None, reset_geocode_on=()):
+def upsert(target, source, keys, update, order=None, stamp=None, reset_geocode_on=(), null_keys=True):
     """Target after inserting new keys and refreshing ``update`` columns of known ones.
 
     With ``order`` the source is first reduced to its last row per key, as sequential statements
     would leave it; without it a key that the source repeats is an error. ``stamp`` (a timestamp column) sets updated_at on refreshed rows and both
     stamps on inserted ones. ``reset_geocode_on`` lists address columns whose change clears the
-    geocoded flag.
+    geocoded flag. ``null_keys=False`` says that the source has none, which spares a union.
     """
     if order is not None:
         source = keep_last(source, keys, order)
     else:
-        source = _unrepeated(source, list(keys))
+        source = _unrepeated(source, list(keys), null_keys)
     t, s = target.alias("t"), source.withColumn("_new", F.lit(True)).alias("s")
     same = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
     joined = t.withColumn("_old", F.lit(True)).alias("t").join(s, same, "full_outer")
@@ -173,9 +174,25 @@ def heatmap_features(est, fold=True) -> DataFrame:
     )
 
 
-def write_features(features, path):
-    """Newline-delimited GeoJSON, written by every task."""
-    features.select(F.to_json("feature").alias("value")).write.mode("overwrite").text(path)
+def segment_features(rows) -> DataFrame:
+    """One GeoJSON line feature per street segment with its visit state (``operators.segments.with_visits``)."""
+    properties = F.struct("id", "osm_id", "name", "length_m", "visited_by_user", "notes", "visited_at")
+    return rows.select(F.struct(
+        F.lit("Feature").alias("type"), line_geometry("geom").alias("geometry"), properties.alias("properties")
+    ).alias("feature"))
+
+
+def write_features(features, path, nulls=False):
+    """Newline-delimited GeoJSON, written by every task; ``nulls`` keeps members without a value."""
+    text = F.to_json("feature", {"ignoreNullFields": str(not nulls).lower()})
+    features.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_density_csv(grid, stats, folder, bandwidth=500.0):
+    """Density statistics of all bandwidths and the cells of one of them, as two CSV folders under ``folder``."""
+    write_csv(stats, f"{folder}/statistics")
+    cells = grid.where(F.col("bandwidth") == float(bandwidth))
+    write_csv(cells.select("cell_x", "cell_y", F.col("density").alias("density_stores_km2")), f"{folder}/grid")
 
 
 def write_collection(features, path, order, metadata=None):
