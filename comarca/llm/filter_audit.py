@@ -10,7 +10,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from comarca.llm.frames import with_text
 from comarca.session import durable
@@ -64,7 +64,9 @@ def report(part, cells, filters=FILTERS) -> pd.DataFrame:
 
 
 def fail_masks(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``part, mask, good, toxic`` of every row of ``documents(doc_id, text, lang)``; bit 0 of ``mask`` is filter A.
+    """``part, mask, good, toxic, n`` for ``documents(doc_id, text, lang)``: ``n`` rows of one kind each.
+
+    Bit 0 of ``mask`` is filter A, bit 4 filter E.
 
     A: under 100 words. B: fewer than 80 % of the words are different. C: more than 10 % capitals A-Z. D: holds one
     of ``#$%&*|``. E: the text equals that of a smaller ``doc_id``, whatever becomes of it. Null texts are empty, a
@@ -74,10 +76,10 @@ def fail_masks(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     words = F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), "")
-    n, size = F.size("_words"), F.length("_text")
+    n, size = F.size("_words").cast("long"), F.length("_text").cast("long")
     capitals = size - F.length(F.regexp_replace("_text", "[A-Z]", ""))
     fails = [
-        n < 100, 100 * F.size(F.array_distinct("_words")) < 80 * n, 100 * capitals.cast("long") > 10 * size,
+        n < 100, 100 * F.size(F.array_distinct("_words")) < 80 * n, 100 * capitals > 10 * size,
         F.col("_text").rlike("[#$%&*|]"),
     ]
     mask = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails[1:], 1)), F.when(fails[0], 1).otherwise(0))
@@ -86,31 +88,39 @@ def fail_masks(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = durable(rows.select(
         "doc_id", F.coalesce("lang", F.lit("")).alias("part"), mask.alias("mask"), F.unhex(F.sha2("_text", 256)).alias("digest")
     ))
-    copied = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     marked = with_text(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False)).cast("long")).alias("good"),
         F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("long")).alias("toxic"),
     )
-    # a digest or a null id may hold a third of the rows: adaptive execution splits that side of either join
-    told = rows.join(marked, "doc_id", "left").join(copied.drop("copies"), "digest", "left")
-    repeated = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     zero = F.lit(0).cast("long")
-    return told.select(
-        "part", (F.col("mask") + F.when(repeated, 16).otherwise(0)).alias("mask"),
-        F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic"),
+    alike = ["digest", "part", "mask", "good", "toxic"]
+    # repeated rows are counted first, so an id of many rows meets its labels once for each of its texts
+    own = rows.where("doc_id is not null").groupBy("doc_id", "digest", "part", "mask").agg(F.count("*").alias("n"))
+    own = own.join(marked, "doc_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("good", "toxic")})
+    # a group of copies shrinks inside tasks to one row per part and label, and only these rows meet
+    copies = own.groupBy(*alike).agg(
+        F.sum("n").alias("n"), F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("at_least")
     )
+    first = F.col("least") == F.min("least").over(W.partitionBy("digest"))
+    copies = copies.withColumn("first", F.when(first, F.col("at_least")).otherwise(zero))
+    told = copies.select(*alike, F.explode(F.array(
+        F.struct(F.lit(0).alias("fifth"), F.col("first").alias("n")), F.struct(F.lit(16).alias("fifth"), (F.col("n") - F.col("first")).alias("n"))
+    )).alias("e")).select("part", (F.col("mask") + F.col("e.fifth")).alias("mask"), "good", "toxic", F.col("e.n").alias("n"))
+    nameless = rows.where("doc_id is null").groupBy("part", "mask").agg(F.count("*").alias("n"))
+    return told.where("n > 0").unionByName(nameless.select("part", "mask", zero.alias("good"), zero.alias("toxic"), "n"))
 
 
 def audit(masks: DataFrame, filters=FILTERS) -> DataFrame:
     """``SCHEMA``: per part, order of filters and step, counts within the part.
 
-    ``masks(part, mask, good, toxic)`` has one row per document; bit ``k`` of ``mask`` is set where filter ``k`` of
-    ``filters`` fails it. A part has at most ``2 ** len(filters)`` cells, added up before anything is shuffled, and
+    ``masks(part, mask, good, toxic, n)`` says how many documents fail which filters: bit ``k`` of ``mask`` stands for
+    filter ``k`` of ``filters``, ``good`` and ``toxic`` are 0 or 1. A part has at most ``2 ** len(filters)`` cells, added up before anything is shuffled, and
     ``len(filters)!`` orders. Parts without rows do not occur; an empty table gives no rows.
     """
     if not 1 <= len(filters) <= 6 or len(set(filters)) < len(filters):
         raise ValueError("1 to 6 different filters")
-    cells = masks.groupBy("part", "mask").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
+    marked = lambda c: F.sum(F.col("n") * F.col(c)).alias(c)
+    cells = masks.groupBy("part", "mask").agg(F.sum("n").alias("n"), marked("good"), marked("toxic"))
     parts = cells.groupBy("part").agg(F.collect_list(F.struct("mask", *MEASURES)).alias("cells"))
 
     def orders(batches):
