@@ -130,17 +130,19 @@ def train(documents: DataFrame, rows=TRAIN_ROWS, entries=ENTRIES, longest=LONGES
     as rare as the first that does not fit is left out. Blank languages are values like others.
     """
     known = with_text(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("_rows"))
+    most = entries // (longest + 1)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_rows")).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages do not fit in {entries} entries")
+    # at most one row for each language that the model has room for
+    sizes = F.broadcast(documents.sparkSession.createDataFrame(sizes, "lang string, _rows long"))
     spread = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 52)).cast("double")
-    # one row per language, counted before; Spark broadcasts it below its own threshold
     sample = known.join(sizes, "lang").where(spread * F.col("_rows") < F.lit(float(rows << 52)))
     counts = _counts(sample.select("lang", cleaned(F.col("text")).alias("clean")), longest).persist()
     try:
         kinds = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total")).collect()  # some rows a language
         langs = sorted({r["lang"] for r in kinds})
         each = entries // (max(len(langs), 1) * (longest + 1))
-        if langs and not each:
-            raise ValueError(f"{len(langs)} languages do not fit in {entries} entries")
         # how many entries of each language and kind have which count: the groups are no larger than the counts differ
         ranks = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("have"))
         above = W.partitionBy("lang", "kind").orderBy(F.desc("n"))
