@@ -55,6 +55,39 @@ def test_neighbours_recall(spark):
         assert [r[0] for r in rows] == list(range(1, 21)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
 
 
+@pytest.mark.parametrize("kind", ["equal", "outlier", "lognormal", "mild", "copies"])
+def test_index_recall_whatever_the_lengths(kind):
+    """At least 0.9 of the true neighbours from a share of each class, also where lengths differ."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4_000, 32))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    if kind == "outlier":
+        x[17] *= 10
+    elif kind in ("lognormal", "mild"):
+        x *= np.exp((1.0 if kind == "lognormal" else 0.1) * rng.normal(size=4_000))[:, None]
+    elif kind == "copies":
+        x[1_000:] = x[np.arange(3_000) % 3]
+    index, hits, seen = neighbours.Index(x, small=256), 0, 0
+    asked = range(0, 4_000, 40)
+    for q in asked:
+        rows, products, verified = index.search(x[q], 20, np.arange(4_000) == q)
+        assert q not in rows and np.allclose(products, x[rows] @ x[q], atol=1e-12)
+        true = x @ x[q]
+        true[q] = -np.inf
+        hits += (np.sort(products)[::-1][:20] >= np.sort(true)[::-1][19] - 1e-12).sum()
+        seen += verified
+    assert hits >= 0.95 * 20 * len(asked)
+    assert seen <= 0.6 * len(asked) * 4_000
+    assert sum(len(c[1]) for c in index.classes) == 4_000
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Rows of one id count once, the smallest vector, however many they are and whatever their vectors."""
+    rows = [(0, [1.0, 0.0])] * 300 + [(0, [0.5, 2.0])] + [(i, [float(i), 1.0]) for i in range(1, 5)]
+    got = collect(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3))
+    assert got == [(0, 1, 4, 4.0), (0, 2, 3, 3.5), (0, 3, 2, 3.0)]
+
+
 def test_neighbours_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0], "a"), (20, [0.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"),
