@@ -8,6 +8,7 @@ likelihood of the register comparisons and the known sizes estimates the similar
 is verified on the full sets. Linked classes form components.
 """
 
+import hashlib
 import math
 
 import numpy as np
@@ -109,8 +110,6 @@ def with_sets(documents: DataFrame, shingle=SHINGLE, row=None) -> DataFrame:
 
     ``row`` is what the column ``row`` says of each row, null without it.
     """
-    import hashlib
-
     def run(batches):
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
@@ -267,18 +266,20 @@ def _verify(blocks: DataFrame, percent) -> DataFrame:
 
 
 def _members(documents: DataFrame, wanted: DataFrame, shingle) -> DataFrame:
-    """``id, members`` of the documents in ``wanted(id)``: the sorted shingle hashes."""
+    """``key, members``: the sorted shingle hashes of the documents of ``wanted(doc)``, and the digest of each set."""
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in slices(batch.column("text")):
-                sets = shingle_sets(Words(lower(data), offsets, NOT_SPACE), shingle)
-                members = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(members)), members], ["id", "members"])
+            for _, data, offsets in slices(batch.column("text")):
+                sets = [s.tobytes() for s in shingle_sets(Words(lower(data), offsets, NOT_SPACE), shingle) if len(s)]
+                keys = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "members"])
 
-    rows = with_text(documents, "doc_id", "text").withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
-    # rows that repeat an id: the class is that of the row whose set has the least digest
-    return rows.mapInArrow(run, "id long, members binary")
+    texts = with_text(documents, "doc_id", "text")
+    rows = texts.join(wanted.select(F.col("doc").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    if not wanted.where("doc is null").isEmpty():
+        rows = rows.unionByName(texts.where("doc_id is null"))
+    return rows.select("text").mapInArrow(run, "key binary, members binary")
 
 
 def near_duplicates(documents: DataFrame, shingle=SHINGLE, percent=PERCENT, chunk=CHUNK) -> DataFrame:
@@ -286,28 +287,32 @@ def near_duplicates(documents: DataFrame, shingle=SHINGLE, percent=PERCENT, chun
 
     Null and empty texts, and texts without a word, have an empty set and stand alone. Texts of fewer words than a
     shingle have their whole sequence as one. Repeated rows get the same answer each; rows of one ``doc_id`` and different texts are one document
-    that has all of their links. A null ``doc_id`` takes no part in links: its component is null, and it is kept.
+    that has all of their links. Rows without an id are linked like others: their component is the smallest id that
+    they reach, null without one, and only then are they kept.
     """
     out = _labelled(documents, shingle, percent, chunk)
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")
-    )
+    own = F.coalesce("component_id", "doc_id")
+    kept = F.when(F.col("doc_id").isNull(), own.isNull()).otherwise(F.col("doc_id") == own)
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"))
 
 
 def _labelled(documents: DataFrame, shingle, percent, chunk, row=None) -> DataFrame:
-    """``doc_id, n_shingles, key, row, component_id`` of every row; the component is null where no named row has the set."""
+    """``doc_id, n_shingles, row, part, component_id`` of every row.
+
+    ``part`` is a number that linked rows share, null for rows without words; ``component_id`` is the smallest id among
+    them, null where none has one.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("bands are laid out for thresholds from 50 to 100 percent")
     spark = documents.sparkSession
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     rows = durable(with_sets(documents, shingle, row))
-    named = rows.where("key is not null and doc_id is not null")
-    # one class per distinct set, named by its smallest document; equal keys have equal registers
-    classes = named.groupBy("key").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")
+    full_rows = rows.where("key is not null")
+    # one class per distinct set; equal keys have equal registers. A number names it, since an id may have several sets
+    classes = full_rows.groupBy("key").agg(
+        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")
     )
-    classes = durable(classes)
+    classes = durable(classes.withColumn("id", F.monotonically_increasing_id()))
     pairs = durable(_followers(_bands(classes), pieces))
     # followers of a leader are dealt into chunks by a hash, and every two chunks meet in one block
     counts = pairs.groupBy("leader").agg(F.count("*").alias("c"))
@@ -322,50 +327,56 @@ def _labelled(documents: DataFrame, shingle, percent, chunk, row=None) -> DataFr
     heads = wide.select("leader", "id", "i", F.explode(F.sequence("i", F.col("k") - 1)).alias("j"), F.lit(0).alias("side"))
     blocks = met.unionByName(heads.select("leader", "id", "i", "j", "side"))
     blocks = durable(_promising(blocks.join(classes.select("id", "n", "registers"), "id"), percent))
-    wanted = blocks.select("id").distinct()
+    wanted = classes.join(blocks.select("id").distinct(), "id", "left_semi")
     sets = _members(documents, wanted, shingle)
-    # of rows that repeat an id, the set of the class is taken: as many members and the same digest
-    known = classes.join(wanted, "id", "left_semi")
-    full = sets.withColumn("size", F.length("members") / 8).join(known, "id").where("size = n").groupBy("id", "n", "registers").agg(
-        F.min("members").alias("members")
-    )
+    full = sets.join(wanted.drop("doc"), "key").groupBy("id", "n", "registers").agg(F.min("members").alias("members"))
     links = _verify(blocks.join(full, "id"), percent)
     # a document with several rows of different texts holds its classes together
-    first = named.select("key", "doc_id").join(classes.select("key", "id"), "key").select("doc_id", "id").distinct()
+    first = full_rows.where("doc_id is not null").select("key", "doc_id").join(classes.select("key", "id"), "key").select("doc_id", "id").distinct()
     many = first.groupBy("doc_id").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
     bridges = first.join(many, "doc_id").where("id <> least").select(F.col("least").alias("src"), F.col("id").alias("dst"))
     found = connected_components(durable(links.unionByName(bridges).distinct()))
-    component = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", F.coalesce("component", "id").alias("component_id")
+    parts = classes.select("key", "id", "doc").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "doc", F.coalesce("component", "id").alias("part")
     )
-    return rows.select("doc_id", "n_shingles", "key", "row").join(component, "key", "left")
+    named = parts.join(parts.groupBy("part").agg(F.min("doc").alias("component_id")), "part").drop("doc")
+    return rows.select("doc_id", "n_shingles", "key", "row").join(named, "key", "left").drop("key")
+
+
+def _unused(columns, name):
+    """``name``, or a longer one with which no column begins, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while any(t.startswith(name) for t in taken):
+        name += "_"
+    return name
 
 
 def drop_near_duplicates(documents: DataFrame, shingle=SHINGLE, percent=PERCENT, chunk=CHUNK) -> DataFrame:
     """One row of each component, all columns: that of the smallest id, and of its rows the one of the least hash.
 
-    Rows without an id go where a named row has the same set; of others with one set, one stays. A row without words
-    stands for its id alone, or without an id for the rows that equal it.
+    Rows without an id go where they are linked to a named row; of others that are linked, one stays. A row without
+    words stands for its id alone, or without an id for the rows that equal it. Input columns of any name stay as they are.
     """
+    names = [f"`{c}`" for c in documents.columns]
     columns = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
     row = F.xxhash64(*columns, *[c.isNull() for c in columns])
     labelled = _labelled(documents, shingle, percent, chunk, row)
-    part = F.coalesce("component_id", "doc_id")
+    whose = F.coalesce("component_id", "doc_id")
     groups = labelled.select(
-        part.alias("part"), F.when(part.isNull(), F.col("key")).alias("set"),
-        F.when(part.isNull() & F.col("key").isNull(), F.col("row")).alias("alone"), "doc_id", "row",
+        whose.alias("whose"), F.when(whose.isNull(), F.col("part")).alias("unnamed"),
+        F.when(whose.isNull() & F.col("part").isNull(), F.col("row")).alias("alone"), "doc_id", "row",
     )
-    counts = groups.groupBy("part", "set", "alone", "doc_id", "row").agg(F.count("*").alias("n"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n")).alias("x")
-    chosen = durable(counts.groupBy("part", "set", "alone").agg(best).select("x.doc_id", "x.row", "x.n"))
-    chosen = chosen.withColumnsRenamed({"doc_id": "_id", "row": "_hash"})
-    marked = documents.withColumn("_row", row)
-    same = (F.col("_row") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = marked.join(chosen.where("n = 1"), same, "left_semi").select(*documents.columns)
-    many = chosen.where("n > 1")
+    counts = groups.groupBy("whose", "unnamed", "alone", "doc_id", "row").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "n")).alias("x")
+    mark, ident = _unused(documents.columns, "_row"), _unused(documents.columns, "_id")
+    chosen = durable(counts.groupBy("whose", "unnamed", "alone").agg(best).select(
+        F.col("x.doc_id").alias(ident), F.col("x.row").alias(f"{mark}2"), "x.n"
+    ))
+    marked = documents.withColumn(mark, row)
+    same = (F.col(mark) == F.col(f"{mark}2")) & F.col("doc_id").eqNullSafe(F.col(ident))
+    kept = marked.join(chosen.where("n = 1").drop("n"), same, "left_semi").select(*names)
+    many = chosen.where("n > 1").drop("n")
     if many.isEmpty():
         return kept
-    repeated = marked.join(many, same, "left_semi").groupBy("doc_id", "_row").agg(
-        F.first(F.struct(*documents.columns)).alias("x")
-    )
-    return kept.unionByName(repeated.select("x.*"))
+    repeated = marked.join(many, same, "left_semi").groupBy("doc_id", mark).agg(F.first(F.struct(*names)).alias(f"{mark}3"))
+    return kept.unionByName(repeated.select(f"{mark}3.*"))

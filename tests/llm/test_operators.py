@@ -178,10 +178,38 @@ def test_near_duplicates_odd_rows(spark):
     got = collect(near_dups.near_duplicates(H.documents(spark, [*H.ODD, (None, "a b")])).select("doc_id", "n_shingles", "component_id", "kept"))
     assert [r for r in got if r[0] in (1, 2, 3)] == [(i, 0, i, True) for i in (1, 2, 3)]
     assert [r for r in got if r[0] in (5, 6)] == [(5, 1, 5, True), (6, 1, 5, False)]
-    assert [r for r in got if r[0] is None] == [(None, 1, None, True)] and len(got) == len(H.ODD) + 1
+    # a row without an id is linked like others: it has the set of 5 and 6
+    assert [r for r in got if r[0] is None] == [(None, 1, 5, False)] and len(got) == len(H.ODD) + 1
     assert near_dups.near_duplicates(H.documents(spark, [])).collect() == []
 
 
+def test_links_of_ids_with_several_texts(spark):
+    """An id of two texts holds the links of both; rows without an id link what they are near to."""
+    a, b, c, d = ([f"{x}{k}" for k in range(60)] for x in "abcd")
+    rows = [
+        (5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*a, "more"])), (10, " ".join([*b, "more"])),
+        (20, " ".join([*c, "one"])), (None, " ".join(c)), (21, " ".join(["one", *c])), (None, " ".join(d)), (None, " ".join([*d, "z"])), (30, ""),
+    ]
+    got = collect(near_dups.near_duplicates(H.documents(spark, rows)).select("doc_id", "component_id", "kept"))
+    assert got == collect(spark.createDataFrame(
+        [(5, 5, True), (5, 5, True), (9, 5, False), (10, 5, False), (20, 20, True), (None, 20, False), (21, 20, False),
+         (None, None, True), (None, None, True), (30, 30, True)], "doc_id long, component_id long, kept boolean"))
+    left = collect(near_dups.drop_near_duplicates(H.documents(spark, rows)).select("doc_id", "text"))
+    assert [r for r in left if r[0] is not None] == [(20, rows[4][1]), (30, ""), *[r for r in left if r[0] == 5]]
+    assert sum(r[0] == 5 for r in left) == 1
+    assert [r[1] in (rows[7][1], rows[8][1]) for r in left if r[0] is None] == [True]
+
+
+def test_drop_near_duplicates_leaves_columns_alone(spark):
+    docs = spark.createDataFrame(
+        [(1, "some words here", 7, "a", 0.5, 3), (2, "some words here", 8, "b", 1.5, 4), (3, "others", 9, "c", 2.5, 5)] * 2,
+        "doc_id long, text string, _row int, _ID string, `_hash` double, `n` int",
+    )
+    got = near_dups.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert collect(got) == [(1, "some words here", 7, "a", 0.5, 3), (3, "others", 9, "c", 2.5, 5)]
+
+
 def test_estimate():
     rng = np.random.default_rng(3)
     for same in (0.2, 0.6, 0.9):
