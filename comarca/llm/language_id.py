@@ -242,14 +242,15 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     text that is letters, but of no known word or n-gram, goes to the language that sorts first, with an even share
     as its score. Repeated rows are judged each; ties go to the language that sorts first.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES hashes and savings, some 24 bytes each
+    shared = documents.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays, at most ENTRIES hashes and savings, some 24 bytes each
     rows = with_text(documents, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), cleaned(F.col("text")).alias("clean"),
     )
 
     def run(batches):
-        model = shared.value
+        model = Model.__new__(Model)
+        vars(model).update(shared.value)
         names = np.array([*model.langs, UNKNOWN], object)
         size = SLICE * 16 // max(len(model.langs), 16)  # unseen words take one number a language
         for batch in batches:

@@ -209,10 +209,11 @@ SCHEMA = "vec_id long, n long, deviation long, whitened array<double>"
 
 def whiten(rows: DataFrame, d, fitted: Whitener) -> DataFrame:
     """``SCHEMA`` of every quantised row: one array of whitened components a row."""
-    shared = rows.sparkSession.sparkContext.broadcast(fitted)  # d * (d + components) numbers
+    shared = rows.sparkSession.sparkContext.broadcast(vars(fitted))  # plain arrays, d * (d + components) numbers
 
     def run(batches):
-        w = shared.value
+        w = Whitener.__new__(Whitener)
+        vars(w).update(shared.value)
         for batch in batches:
             x = _matrix(batch, d)
             flat = w.whiten(x)
