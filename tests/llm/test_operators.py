@@ -1,8 +1,10 @@
 """Each operator against plain Python, on a small table and on odd rows."""
 
 import hashlib
+import json
 import re
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -288,6 +290,52 @@ def test_pii_odd_rows(spark):
     assert pii.mask("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a[ip]f"
 
 
+@pytest.fixture(scope="module")
+def trees(spark):
+    """A model of the test corpus, and one of an empty table."""
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
+    return [json.loads(pii.train(d)) for d in (docs, docs.limit(0))]
+
+
+@pytest.mark.parametrize("before, value, after, kind", [
+    ("write to ", "joe (at) example dot com", " now", "email"), ("", "jane.doe[at]mail.example[dot]org", ". Thanks", "email"),
+    ("call ", "0049 30 1234567", "", "phone"), ("Phone: ", "(212) 555-0187", " or write", "phone"),
+    ("password=", "Abc123xyzQwerty9988", "", "secret"), ("token ", "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8", " end", "secret"),
+    ("key: ", "Zk9" * 61, " end", "secret"), ("the host ", "2001:db8::1", " answers", "ip"),
+    ("card ", "4111.1111.1111.1111", " paid", "card"),
+])
+def test_added_spans(trees, before, value, after, kind):
+    text = before + value + after
+    for model in trees:
+        assert pii.added_spans([text], [pii.base_spans(text)], model) == [[(kind, len(before), len(before) + len(value))]]
+
+
+@pytest.mark.parametrize("text", [
+    "on 2021-03-14 at 12:30:45 version 10.2.3", "state-of-the-art and well-thought-out-designs", "a run of 1,234,567,890 rows",
+    "look at the small-scale picture", "Internationalisation", "isbn 978-3-16-148410-0", "order 4111.1111.1111.1112", "",
+])
+def test_look_alikes_stay(trees, text):
+    for model in trees:
+        assert pii.added_spans([text], [pii.base_spans(text)], model) == [[]]
+
+
+def test_pii_long_text(trees):
+    text = "mail joe@example.com or joe (at) example dot com " * 20_000
+    begin = time.time()
+    base = pii.base_spans(text)
+    added = pii.added_spans([text], [base], trees[0])[0]
+    assert len(base) == len(added) == 20_000 and time.time() - begin < 30
+    run = "a" * 1_000_000
+    assert [s[1:] for s in pii.candidates(run)] == [(0, len(run))]
+    spans = [("email", 0, 5), ("ip", 3, 9), ("card", 20, 30)]
+    assert pii.uncovered([("phone", 5, 7), ("phone", 9, 20), ("secret", 10, 21), ("secret", 30, 31)], spans) == [("phone", 9, 20), ("secret", 30, 31)]
+    for k in range(300):  # chosen spans never overlap, and nothing that passes is left without a conflict
+        rng = np.random.default_rng(k)
+        many = sorted({("ip", int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 20), rng.integers(1, 9, 20))})
+        took = pii.chosen(many, rng.random(len(many)), [0.3] * 5)
+        assert all(x[2] <= y[1] for x, y in zip(sorted(took), sorted(took)[1:]))
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 4))
