@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from comarca import fixed
 from comarca.functions.geo import mercator_x, mercator_y
+from comarca.operators.nearest import frame_of, offers
 from comarca.scale import exact_quantiles
+from comarca.session import durable
 
 REACH = 8.5  # bandwidths; a kernel beyond is below double precision of its peak
 
@@ -152,6 +154,54 @@ def kde(
     )
 
 
+FAR_TILE = 16  # cells along a box of far cells
+
+
+def kde_far(
+    points, resolution=fixed.KDE_RESOLUTION, bandwidths=tuple(fixed.KDE_BANDWIDTHS),
+    margin=fixed.KDE_MARGIN, error=1e-9, reach=REACH,
+) -> DataFrame:
+    """The cells of ``kde`` with ``log_density``, the natural logarithm of the density, of relative error below ``error``.
+
+    No cell is cut off: the logarithm is finite however far the nearest point, also where the density itself is below
+    what a double holds (beyond 38 bandwidths). What ``kde`` leaves out is at most ``exp(-reach ** 2 / 2)`` for each point,
+    so cells whose near sum is large against that are settled by it. Every other cell adds up the points whose squared
+    distance is at most ``2 h^2 log(points / error)`` above that of its nearest point; the rest of the points weigh less than
+    ``error`` of that one. A walk down a tree of the points finds them, so far cells meet the rim of a cluster only.
+    """
+    grid = kde(points, resolution, bandwidths, margin, reach)
+    rest = points.groupBy("x", "y").agg(F.count("*").alias("id"))
+    rest = durable(rest.where("x is not null and y is not null"))
+    total = rest.agg(F.sum("id")).first()[0]
+    if not total:
+        return grid.withColumn("log_density", F.lit(None).cast("double"))
+    grid, frame, parts = durable(grid), frame_of(rest), []
+    for h in map(float, bandwidths):
+        unit = 1e6 / (2.0 * math.pi * h * h)
+        own = grid.where(F.col("bandwidth") == h)
+        near = F.col("density") >= total * math.exp(-reach * reach / 2) / error * unit
+        parts.append(own.where(near).withColumn("log_density", F.log("density")))
+        cells = own.where(~near).withColumnsRenamed({"cell_x": "x", "cell_y": "y"})
+        if cells.isEmpty():
+            continue
+        cells, offered = offers(cells, rest, frame, FAR_TILE * float(resolution), 2.0 * h * h * math.log(total / error))
+        offered = durable(offered)
+        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+        d2 = dx * dx + dy * dy
+        key = ["bx", "by", "ix", "iy"]
+        least = cells.join(offered, ["bx", "by"]).groupBy(*key).agg(F.min(d2).alias("least"))
+        cells = durable(cells.join(least, key))
+        weight = F.col("id") * F.exp((F.col("least") - d2) / (2.0 * h * h))
+        sums = cells.join(offered, ["bx", "by"]).groupBy(*key).agg(F.sum(weight).alias("s"))
+        logs = F.log("s") - F.col("least") / (2.0 * h * h) + math.log(unit)
+        done = cells.join(sums, key).withColumnsRenamed({"x": "cell_x", "y": "cell_y"}).withColumn("log_density", logs)
+        parts.append(done.select(*grid.columns, "log_density"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def kde_stats(grid) -> DataFrame:
     """Minimum, maximum, mean and quartiles of the density per bandwidth."""
     plain = grid.groupBy("bandwidth").agg(

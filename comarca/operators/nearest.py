@@ -37,7 +37,7 @@ def _marks(centres, ident):
     return rows.where("id is not null").where(_PLACE).groupBy("x", "y").agg(F.min("id").alias("id"))
 
 
-def _frame(marks):
+def frame_of(marks):
     """Lower left corner and side of the square around all centres, the side a power of two; and their number."""
     return marks.agg(
         F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"),
@@ -55,12 +55,25 @@ def nearest_centres(points, centres, ident="cluster_id") -> DataFrame:
     spots = points.select(F.col("x").cast("double"), F.col("y").cast("double")).where(_PLACE)
     spots = durable(spots.groupBy("x", "y").agg(F.count("*").alias("n")))
     rest = durable(_marks(centres, ident))
-    frame = _frame(rest)
+    frame = frame_of(rest)
     if not frame.n:
         return spots.select("*", F.lit(None).cast(centres.schema[ident].dataType).alias(ident), F.lit(None).cast("double").alias("d2")).limit(0)
 
     # boxes of points: about four to a centre, were these spread evenly over their square
-    width = frame.side / 2 ** max(1, (4 * frame.n - 1).bit_length() // 2)
+    spots, offered = offers(spots, rest, frame, frame.side / 2 ** max(1, (4 * frame.n - 1).bit_length() // 2))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    met = spots.join(offered, ["bx", "by"]).select("x", "y", "n", F.struct((dx * dx + dy * dy).alias("d2"), "id").alias("hit"))
+    return met.groupBy("x", "y").agg(F.first("n").alias("n"), F.min("hit").alias("hit")).select(
+        "x", "y", "n", F.col("hit.id").alias(ident), F.col("hit.d2").alias("d2")
+    )
+
+
+def offers(spots, rest, frame, width, slack=0.0):
+    """``spots`` with their box ``bx, by`` of side ``width``, and ``bx, by, mx, my, id``: the centres each box has to look at.
+
+    These hold every centre whose squared distance from a spot of the box is at most ``slack`` above that of the spot's
+    nearest one. ``rest`` has a row ``id, x, y`` per place of a centre, ``frame`` is their square.
+    """
     grid = lambda c, low, w: F.floor((F.col(c) - F.lit(low)) / F.lit(w))
     spots = spots.withColumns({"bx": grid("x", frame.x, width), "by": grid("y", frame.y, width)})
     front = spots.groupBy("bx", "by").agg(F.expr(_BOX).alias("q")).select(
@@ -81,7 +94,7 @@ def nearest_centres(points, centres, ident="cluster_id") -> DataFrame:
         met = front.join(F.broadcast(nodes) if level <= _SMALL else nodes, ["px", "py"])
         met = met.withColumns({"near": F.expr(_NEAR), "sure": F.expr(_SURE)})
         least = F.min("sure").over(W.partitionBy("bx", "by"))
-        met = met.withColumn("best", F.least("best", least)).where("near <= best")
+        met = met.withColumn("best", F.least("best", least)).where(F.col("near") <= F.col("best") + slack)
         met = durable(met.select("bx", "by", "q", "cx", "cy", "m", "near", "best"))
         done = (F.col("m") <= LEAF) if level < DEPTH else F.lit(True)
         found.append(met.where(done).select("bx", "by", F.lit(level).alias("level"), "cx", "cy", "near", "best"))
@@ -96,10 +109,5 @@ def nearest_centres(points, centres, ident="cluster_id") -> DataFrame:
         pairs, marks = pairs.unionByName(more), marks.unionByName(also)
     # cells kept on an early level may have lost since
     least = F.min("best").over(W.partitionBy("bx", "by"))
-    pairs = pairs.withColumn("best", least).where("near <= best").select("bx", "by", "level", "cx", "cy")
-    offered = pairs.join(marks, ["level", "cx", "cy"]).select("bx", "by", "mx", "my", "id")
-    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    met = spots.join(offered, ["bx", "by"]).select("x", "y", "n", F.struct((dx * dx + dy * dy).alias("d2"), "id").alias("hit"))
-    return met.groupBy("x", "y").agg(F.first("n").alias("n"), F.min("hit").alias("hit")).select(
-        "x", "y", "n", F.col("hit.id").alias(ident), F.col("hit.d2").alias("d2")
-    )
+    pairs = pairs.withColumn("best", least).where(F.col("near") <= F.col("best") + slack).select("bx", "by", "level", "cx", "cy")
+    return spots, pairs.join(marks, ["level", "cx", "cy"]).select("bx", "by", "mx", "my", "id")

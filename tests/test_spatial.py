@@ -221,6 +221,21 @@ def test_kde_against_direct_sum(spark):
     assert np.allclose([stats.p25, stats.p50, stats.p75], np.percentile(want, [25, 50, 75]))
 
 
+def test_far_density_has_no_cut(spark):
+    rng = np.random.default_rng(5)
+    pts = np.vstack([rng.normal(0, 300, (200, 2)), [[0.0, 0.0]] * 3, [[30000.0, 12000.0]]])
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in pts], "x double, y double")
+    got = density.kde_far(df, 400.0, [200.0, 500.0], error=1e-10).toPandas()
+    assert len(got) == len(got.drop_duplicates(["bandwidth", "ix", "iy"])) == len(density.kde(df, 400.0, [200.0, 500.0]).toPandas())
+    for h, part in got.groupby("bandwidth"):
+        d2 = (part.cell_x.to_numpy()[:, None] - pts[:, 0]) ** 2 + (part.cell_y.to_numpy()[:, None] - pts[:, 1]) ** 2
+        low = d2.min(axis=1)
+        want = np.log(np.exp((low[:, None] - d2) / (2 * h * h)).sum(axis=1)) - low / (2 * h * h) + math.log(1e6 / (2 * math.pi * h * h))
+        assert np.abs(part.log_density.to_numpy() - want).max() < 1e-8
+        assert (part.density == 0).any() and (h > 200 or (want < -800).any())
+    assert density.kde_far(df.limit(0)).collect() == []
+
+
 def hits(lines, box):
     """Ids of lines of which an edge meets the box, by clipping every edge."""
     x1, y1, x2, y2 = box
