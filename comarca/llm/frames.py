@@ -14,6 +14,18 @@ def with_text(df, *columns):
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def fresh(df, *names):
+    """``names``, underlined until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def sorted_groups(batches, keys):
     """Rows of each key from Arrow batches sorted by ``keys``, as one table per key.
 

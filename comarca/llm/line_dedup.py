@@ -12,18 +12,21 @@ in both, since a lost space leaves seven.
 Only lines that can have a partner emit variants: of two lines within one edit, the first or the second half of the
 shorter one's length is the same, so lines that share neither half with another line are left out without loss.
 What is left after deletion is compared by two independent 64-bit hashes and the place, which verifies the distance.
+Whole lines are the same when three 64-bit hashes are: of the line and of each of its halves.
+
+A row is known by its id and a hash of its text, so no list outgrows one text, whatever ids repeat or are null.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from comarca.llm.frames import with_text
+from comarca.llm.frames import fresh, with_text
 from comarca.llm.words import NOT_SPACE, Words, mix, slices
 from comarca.session import durable
 
-MIN_WORDS = 3  # lines of fewer words stay as they are
-NEAR_WORDS = 8  # lines of fewer words are compared for equality only, or by characters
+MIN_WORDS = 1  # lines of fewer words stay as they are
+NEAR_WORDS = 8  # lines of fewer words are compared by characters, or for equality only
 WHOLE = {"min_words": 1, "letters": True}  # every line that holds a word takes part, short ones by characters
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -76,14 +79,18 @@ class Letters:
         self.a, self.b = ends[lines], ends[lines + n] - 1
 
 
+def split_lines(data, offsets):
+    """Words of a slice of texts, line by line, and each line's text and number in it."""
+    cuts = np.unique(np.concatenate((offsets, np.flatnonzero(data == 10) + 1)))
+    owner = np.searchsorted(offsets, cuts[:-1], "right") - 1
+    return Words(data, cuts, NOT_SPACE), owner, np.arange(len(owner)) - np.searchsorted(owner, owner)
+
+
 class Lines:
     """Lines of a slice of texts that take part: text, number in it, first and end word, hash."""
 
     def __init__(self, data, offsets, min_words):
-        cuts = np.unique(np.concatenate((offsets, np.flatnonzero(data == 10) + 1)))
-        words = Words(data, cuts, NOT_SPACE)
-        owner = np.searchsorted(offsets, cuts[:-1], "right") - 1
-        number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        words, owner, number = split_lines(data, offsets)
         n = words.counts
         self.words, self.hashes = words, words.hashes()
         part = n >= min_words
@@ -98,6 +105,11 @@ class Lines:
         self.first = np.ones(len(order), bool)
         self.first[order[again]] = False
 
+    def find(self, owner, number):
+        """Indices of lines by text and number, all of which take part."""
+        span = int(self.number.max(initial=0)) + 1
+        return np.searchsorted(self.owner * span + self.number, owner * span + number)
+
     def letters(self, keep):
         """``Letters`` of the lines that ``keep`` marks."""
         return Letters(self.words, self.a[keep], self.b[keep])
@@ -117,7 +129,7 @@ def _half_keys(sums, a, b, domain):
 
 
 def _first_lines(documents, min_words, near_words, letter_words):
-    """``doc_id, no, line, k0..k3, more``: each text's different lines, and the keys of their halves where near ones count.
+    """``doc_id, row, no, line, k0..k3, more``: each text's different lines, and the keys of their halves where near ones count.
 
     Lines that are compared by words and by characters have the keys of the latter in ``more``.
     """
@@ -138,14 +150,21 @@ def _first_lines(documents, min_words, near_words, letter_words):
                 ends = np.concatenate(([0], np.cumsum(both) * 4))
                 offset = pa.array(ends, pa.int32(), mask=np.append(~both, False))
                 keys.append(pa.ListArray.from_arrays(offset, pa.array(spelled[:, both[small]].T.ravel())))
-                ids = batch.column("doc_id").slice(row, len(offsets) - 1).take(pa.array(lines.owner[keep]))
+                at = pa.array(row + lines.owner[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(lines.number[keep], pa.int32()), pa.array(lines.line[keep]), *keys],
-                    ["doc_id", "no", "line", *_KEYS],
+                    [
+                        batch.column("doc_id").take(at), batch.column("row").take(at),
+                        pa.array(lines.number[keep], pa.int32()), pa.array(lines.line[keep]), *keys,
+                    ],
+                    ["doc_id", "row", "no", "line", *_KEYS],
                 )
 
-    schema = "doc_id long, no int, line long, " + ", ".join(f"{k} long" for k in _KEYS[:4]) + ", more array<long>"
-    return with_text(documents, "doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id long, row long, no int, line long, " + ", ".join(f"{k} long" for k in _KEYS[:4]) + ", more array<long>"
+    return _rows(documents).mapInArrow(run, schema)
+
+
+def _rows(documents):
+    return with_text(documents, "doc_id", "text").withColumn("row", F.xxhash64("text"))
 
 
 def _deleted(sums, other, a, b, first, second):
@@ -160,7 +179,10 @@ def _deleted(sums, other, a, b, first, second):
 
 
 def _variants(texts, min_words, letter_words):
-    """``h, c, i, line, doc_id, no`` of the wanted lines of ``texts(doc_id, text, wanted)``; i is -1 for whole lines."""
+    """``h, c, i, doc_id, row, no`` of the wanted lines of ``texts(doc_id, row, text, wanted)``; i is -1 for whole lines.
+
+    ``wanted`` holds 16 times a line's number and one bit of its sides, once for each side.
+    """
 
     def run(batches):
         for batch in batches:
@@ -172,114 +194,114 @@ def _variants(texts, min_words, letter_words):
                 spelled = [Sums(letters.hashes, base) for base in _BASES]
                 parts = []
                 wanted = batch.column("wanted").slice(row, len(offsets) - 1)
-                bounds = np.searchsorted(lines.owner, np.arange(len(offsets)))
-                for t, rows in enumerate(wanted):
-                    own = {x["line"].as_py(): x["sides"].as_py() for x in rows}
-                    for k in range(bounds[t], bounds[t + 1]):
-                        sides = own.get(int(lines.line[k])) if lines.first[k] else None
-                        if sides:
-                            found = []
-                            if sides & 3:
-                                found.append(_deleted(lines.sums, other, lines.a[k], lines.b[k], sides & 1, sides & 2))
-                            if sides & 12:
-                                x = np.searchsorted(small, k)
-                                found.append(_deleted(*spelled, letters.a[x], letters.b[x], sides & 4, sides & 8))
-                            parts += [(*f, np.full(len(f[2]), k)) for f in found]
+                asked = wanted.flatten().to_numpy()
+                texts = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+                sides = np.zeros(len(lines.n), np.int64)
+                np.bitwise_or.at(sides, lines.find(texts, asked >> 4), asked & 15)
+                for k in np.flatnonzero(sides):
+                    side, found = int(sides[k]), []
+                    if side & 3:
+                        found.append(_deleted(lines.sums, other, lines.a[k], lines.b[k], side & 1, side & 2))
+                    if side & 12:
+                        x = np.searchsorted(small, k)
+                        found.append(_deleted(*spelled, letters.a[x], letters.b[x], side & 4, side & 8))
+                    parts += [(*f, np.full(len(f[2]), k)) for f in found]
                 if parts:
                     h, c, i, k = (np.concatenate(p) for p in zip(*parts))
-                    ids = batch.column("doc_id").slice(row, len(offsets) - 1).take(pa.array(lines.owner[k]))
+                    at = pa.array(row + lines.owner[k])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(mix(h).astype(np.int64)), pa.array(mix(c).astype(np.int64)), pa.array(i, pa.int32()),
-                            pa.array(lines.line[k]), ids, pa.array(lines.number[k], pa.int32()),
+                            batch.column("doc_id").take(at), batch.column("row").take(at),
+                            pa.array(lines.number[k], pa.int32()),
                         ],
-                        ["h", "c", "i", "line", "doc_id", "no"],
+                        ["h", "c", "i", "doc_id", "row", "no"],
                     )
 
-    return texts.mapInArrow(run, "h long, c long, i int, line long, doc_id long, no int")
+    return texts.mapInArrow(run, "h long, c long, i int, doc_id long, row long, no int")
 
 
 def _near_lines(variants):
-    """``line`` of every line that has an earlier one within one edit."""
-    place = F.struct("doc_id", "no")
+    """``row, no`` of every line that has an earlier one within one edit."""
+    place = F.struct("doc_id", "row", "no")
     leads = variants.groupBy("h", "c", "i").agg(F.min(place).alias("lead"))
     whole, part = F.when(F.col("i") < 0, F.col("lead")), F.when(F.col("i") >= 0, F.col("lead"))
     keys = leads.groupBy("h", "c").agg(F.min(whole).alias("whole"), F.min(part).alias("part"))
-    same = variants.where("i >= 0").join(leads, ["h", "c", "i"]).where(F.col("lead") < place).select("line")
+    same = variants.where("i >= 0").join(leads, ["h", "c", "i"]).where(F.col("lead") < place).select("row", "no")
     other = F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))
-    moved = variants.join(keys.where("whole is not null and part is not null"), ["h", "c"]).where(other < place).select("line")
+    moved = variants.join(keys.where("whole is not null and part is not null"), ["h", "c"]).where(other < place).select("row", "no")
     return same.unionByName(moved).distinct()
 
 
 def dedup_lines(
-    documents: DataFrame, near=True, min_words=MIN_WORDS, near_words=NEAR_WORDS, letters=False
+    documents: DataFrame, near=True, min_words=MIN_WORDS, near_words=NEAR_WORDS, letters=True, counts=("n_lines", "n_removed")
 ) -> DataFrame:
-    """All columns of ``documents(doc_id, text)`` with ``text`` cut to its kept lines, and ``n_lines, n_removed``.
-
-    The order of lines is (doc_id, place in the text), null ids first. A line goes where an earlier one is equal (as
-    words) or, from ``near_words`` words on, within one edit, kept or not; with ``letters``, also where one of the two
-    has fewer words and they are within one character. Lines of fewer than ``min_words`` words always stay. Null texts stay null with 0 lines. Rows that repeat an id count as one place: they keep the same lines.
+    """All columns of ``documents(doc_id, text)`` with ``text`` cut to its kept lines, and the two ``counts``: lines, removed ones.
+
+    The order of lines is (doc_id, hash of the text, place in the text), null ids first. A line goes where an earlier
+    one is equal (as words) or, from ``near_words`` words on, within one edit, kept or not; with ``letters``, also where
+    one of the two has fewer words and they are within one character. Lines of fewer than ``min_words`` words always
+    stay. Null texts stay null with 0 lines, texts of any length are read whole. Rows that repeat an id and its text count as
+    one place: they keep the same lines. Of rows that repeat an id with other texts, each is a place. Input columns named
+    like ``counts`` are replaced, all others stay as they are.
     """
-    for name in ("n_lines", "n_removed"):
-        if name in documents.columns:
-            raise ValueError(f"documents have a column {name}")
     if near and near_words < max(2, min_words):
         raise ValueError("near lines need at least two words and min_words")
+    documents = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in [n.lower() for n in counts]])
     letter_words = near_words if near and letters else 0
     lines = _first_lines(documents, min_words, near_words if near else 1 << 30, letter_words)
+    same = ["line", "k0", "k1"]
     types = durable(
-        lines.groupBy("line").agg(
-            F.min(F.struct("doc_id", "no")).alias("place"), *[F.first(k).alias(k) for k in _KEYS]
+        lines.groupBy(*same).agg(
+            F.min(F.struct("doc_id", "row", "no")).alias("place"), *[F.first(k).alias(k) for k in _KEYS[2:]]
         )
     )
-    kept = types.select("line", F.col("place.doc_id").alias("doc_id"))
+    kept = types.select("place.*")
     if near:
         keys = F.array(*_KEYS[:4])
         keys = F.when(F.col("more").isNull(), keys).otherwise(F.concat(keys, "more"))
-        halves = types.where("k0 is not null").select("line", F.col("place.doc_id").alias("doc_id"), F.explode(keys).alias("key"))
+        halves = types.where("k0 is not null").select("place.*", F.explode(keys).alias("key"))
         # the keys of one line differ, so that two rows of a key are two lines
         shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        side = F.expr("shiftleft(1, cast(key & 3 as int))")
-        wanted = halves.join(shared, "key").groupBy("line", "doc_id").agg(F.bit_or(side).alias("sides"))
-        wanted = durable(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "sides")).alias("wanted")))
-        asked = documents.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-        gone = _near_lines(_variants(asked.select("doc_id", "text", "wanted"), min_words, letter_words))
-        kept = kept.join(gone, "line", "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.collect_list("line").alias("_kept")).withColumnRenamed("doc_id", "_id")
-    joined = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return _cut(joined, documents.schema, min_words)
-
-
-def _cut(joined, schema, min_words):
+        side = F.expr("cast(no as long) * 16 + shiftleft(1L, cast(key & 3 as int))")
+        wanted = halves.join(shared, "key").groupBy("doc_id", "row").agg(F.collect_list(side).alias("wanted"))
+        wanted = durable(wanted).toDF("_id", "_row", "wanted")
+        asked = _rows(documents).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+        gone = _near_lines(_variants(asked.select("doc_id", "row", "text", "wanted"), min_words, letter_words))
+        kept = kept.join(gone, ["row", "no"], "left_anti")
+    a, b, c, d = fresh(documents, "row", "id", "at", "kept")
+    kept = kept.groupBy("doc_id", "row").agg(F.collect_list("no").alias("kept")).select("doc_id", "row", "kept").toDF(b, c, d)
+    place = F.col("doc_id").eqNullSafe(F.col(b)) & (F.col(a) == F.col(c))
+    joined = documents.withColumn(a, F.xxhash64("text")).join(kept, place, "left")
+    return _cut(joined, documents.schema, min_words, d, counts)
+
+
+def _cut(joined, schema, min_words, kept, counts):
     names = [f.name for f in schema]
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_lines long, n_removed long"
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + "".join(f", `{n}` long" for n in counts)
 
     def run(batches):
         for batch in batches:
-            at, texts = names.index("text"), batch.column(names.index("text"))
-            ids = batch.column(batch.schema.get_field_index("_kept"))
+            at = names.index("text")
+            texts, held = batch.column(at), batch.column(len(names))
             for row, data, offsets in slices(texts):
                 rows = len(offsets) - 1
-                lines = Lines(data, offsets, min_words)
-                bounds = np.searchsorted(lines.owner, np.arange(rows + 1))
+                words, owner, number = split_lines(data, offsets)
+                part = words.counts >= min_words
+                owner, number = owner[part], number[part]
+                bounds = np.searchsorted(owner, np.arange(rows + 1))
                 cut, total, removed = [], [], []
                 for t in range(rows):
                     text = texts[row + t].as_py()
-                    keep = set(ids[row + t].as_py() or ())
-                    span = slice(bounds[t], bounds[t + 1])
-                    gone = {
-                        int(no) for no, line, first in zip(lines.number[span], lines.line[span].tolist(), lines.first[span])
-                        if not first or line not in keep
-                    }
+                    gone = set(number[bounds[t] : bounds[t + 1]].tolist()).difference(held[row + t].as_py() or ())
                     parts = text.split("\n") if text else []
                     cut.append(text if not gone else "\n".join(p for k, p in enumerate(parts) if k not in gone))
                     total.append(len(parts))
                     removed.append(len(gone))
-                part = batch.slice(row, rows)
-                columns = [part.column(k) for k in range(len(names))]
+                columns = batch.slice(row, rows).columns[: len(names)]
                 columns[at] = pa.array(cut, texts.type)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"]
+                    [*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, *counts]
                 )
 
-    return joined.select(*[F.col(f"`{n}`") for n in names], "_kept").mapInArrow(run, out)
+    return joined.select(*[F.col(f"`{n}`") for n in names], kept).mapInArrow(run, out)

@@ -411,7 +411,7 @@ def test_mix(spark, small):
 
 
 def test_line_dedup(spark, small):
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(load(spark, FOLDER, "documents")).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(load(spark, FOLDER, "documents"), min_words=3, letters=False).collect()}
     assert got == H.kept_lines(small)
 
 
@@ -421,7 +421,8 @@ def test_line_dedup_edits(spark):
     rows += [(10 + k, " ".join(line[:k] + ["Q"] + line[k + 1 :])) for k in range(10)]
     rows += [(30 + k, " ".join(line[:k] + line[k + 1 :])) for k in range(10)] + [(50, " ".join([*line, "new", "words"]))]
     rows += [(60, "b a c d e f g h i j"), (4, " ".join([*line, "new"]))]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_words=3, letters=False).collect()}
     assert got == H.kept_lines(rows)
 
 
@@ -435,6 +436,36 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_line_dedup_of_ids_with_several_texts(spark):
+    rows = [(8, "one line of its own here\nshared words of two"), (8, "shared words of two\nanother line that stays"), (9, "shared words of twos")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["text"] for r in line_dedup.dedup_lines(docs).collect()]
+    assert sorted("\n".join(got).split("\n")) == ["", "another line that stays", "one line of its own here", "shared words of two"]
+    again = [r["text"] for r in line_dedup.dedup_lines(docs.repartition(3)).collect()]
+    assert sorted(again) == sorted(got)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_line_dedup_of_a_hot_id(spark, doc_id):
+    """A third of the rows share one id: each keeps its own lines, and no row carries those of others."""
+    word = lambda r, k: hashlib.md5(f"{r}/{k}".encode()).hexdigest()
+    rows = [(doc_id if r % 3 == 0 else 1000 + r, "\n".join(word(r, k) for k in range(5))) for r in range(600)]
+    rows.append((5000, rows[0][1] + "\n" + word(1, 0) + "x\nlast"))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] != 5000) == sorted(t for _, t in rows[:-1])
+    assert [r["text"] for r in got if r["doc_id"] == 5000] == ["last"]
+
+
+def test_line_dedup_leaves_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd", 1, 2, 3, 4)], "doc_id long, text string, _id int, row int, kept int, N_lines int")
+    got = line_dedup.dedup_lines(docs).collect()[0].asDict()
+    assert got == {"doc_id": 1, "text": "a b c\nd", "_id": 1, "row": 2, "kept": 3, "n_lines": 2, "n_removed": 0}
+    names = ("lines", "removed")
+    assert line_dedup.dedup_lines(docs, counts=names).columns == [*docs.columns, *names]
+    kept = corpus_pipeline.drop_lines(spark, docs, "").collect()[0]
+    assert kept["N_lines"] == 4 and kept["_id"] == 1
+
+
 def whole_lines(rows, near_words=8):
     """Plain version of all of line dedup: every line that holds a word; short ones by characters."""
     first = {}
