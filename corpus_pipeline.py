@@ -7,7 +7,7 @@ Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before k
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from comarca.llm import line_dedup, mixing, near_dups, pieces, quality_model
-from comarca.llm.frames import load
+from comarca.llm.frames import fresh, load
 from comarca.session import durable
 
 
@@ -21,11 +21,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated lines; a document that has lost every line with a word goes, one that had none stays."""
-    cut = line_dedup.dedup_lines(docs, **line_dedup.WHOLE)
-    left = ~F.col("text").rlike(r"[^\x20\x09-\x0D]") & (F.col("n_removed") > 0)
+    lines, removed = fresh(docs, "n_lines", "n_removed")
+    cut = line_dedup.dedup_lines(docs, **line_dedup.WHOLE, counts=(lines, removed))
+    left = ~F.col("text").rlike(r"[^\x20\x09-\x0D]") & (F.col(removed) > 0)
     cut = cut.where(F.coalesce(~left, F.lit(True)))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
