@@ -5,10 +5,12 @@ import json
 import re
 import sys
 import time
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -153,6 +155,16 @@ def test_classifier_odd_rows(spark):
     assert quality_model.score_quality(docs.limit(0), weights).collect() == []
 
 
+def test_classifier_of_a_repeated_labelled_id(spark):
+    """Rows that repeat a labelled id count once in the sample, whatever their number."""
+    base = [(k, f"some words {k} of a text") for k in range(40)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    once = quality_model.train(docs(base), marks)
+    assert np.allclose(quality_model.train(docs(base + [base[3]] * 3000), marks), once)
+    assert len(quality_model.train(docs(base + [(3, f"other {k}") for k in range(3000)]), marks)) == len(once)
+
+
 # --- near duplicates ------------------------------------------------------------------------------------------------
 
 
@@ -407,6 +419,90 @@ def test_mix(spark, small):
     assert mixing.mix_report(docs.limit(0)).collect() == []
 
 
+def plain_mix(counts, weights):
+    """Source of each slot by looking at every source in every slot, exact fractions throughout."""
+    left, behind, out = {s: n for s, n in counts.items() if n}, {s: Fraction(0) for s in counts}, []
+    while left:
+        total, done, owed = sum(weights[s] for s in left), dict.fromkeys(left, 0), dict(behind)
+        t = 0
+        while min(left[s] - done[s] for s in left) > 0:
+            ready = [s for s in left if done[s] * total // weights[s] <= t]
+            best = min(ready, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), -owed[s], s))
+            out.append(best)
+            done[best] += 1
+            t += 1
+        for s in list(left):
+            behind[s] += Fraction(t * weights[s], total) - done[s]
+            left[s] -= done[s]
+            if not left[s]:
+                del left[s]
+    return out
+
+
+def slots_of(found):
+    return {
+        begin + j // w * period + places[j % w]: s for s, first, end, begin, w, period, places in found for j in range(end - first)
+    }
+
+
+def test_phases_equal_a_plain_schedule():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        names = [f"s{k}" for k in range(int(rng.integers(1, 6)))]
+        counts = {s: int(rng.integers(0, 40)) for s in names}
+        weights = {s: int(2 ** rng.integers(0, 4)) for s in names}
+        got = slots_of(mixing.phases(counts, weights))
+        assert [got[t] for t in range(len(got))] == plain_mix(counts, weights)
+
+
+def test_many_sources():
+    counts = {f"host{k}": 3 + k % 7 for k in range(5000)}
+    begin = time.time()
+    got = slots_of(mixing.phases(counts, dict.fromkeys(counts, 1)))
+    assert sorted(got) == list(range(sum(counts.values()))) and time.time() - begin < 60
+    firsts = [got[t] for t in range(15000)]  # every host has three blocks at least, so each has had three by then
+    assert set(np.unique(firsts, return_counts=True)[1]) == {3}
+
+
+def test_weights_are_exact():
+    assert mixing.whole_weights({"a": 0.0004, "b": 1}) == {"a": 1, "b": 2500}
+    assert mixing.whole_weights({"a": Fraction(1, 997), "b": Fraction(1, 991)}) == {"a": 991, "b": 997}
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 0})
+    with pytest.raises(ValueError):
+        mixing.phases({"a": 900, "b": 900}, {"a": 10**12 + 1, "b": 10**12 - 1}, most=1000)
+    assert len(slots_of(mixing.phases({"a": 900, "b": 9}, {"a": 10**12 + 1, "b": 3}))) == 909
+
+
+def test_mix_rows_equal_a_plain_mix(spark, small):
+    docs = load(spark, FOLDER, "documents")
+    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text", F.lit(0)).alias("h")).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: ((r["h"] % 2**64 >> 8) % 50, r["h"], r["doc_id"])):
+        by.setdefault(r["source"], []).append(r["doc_id"])
+    counts = {s: -(-len(x) // 4) for s, x in by.items()}
+    want, used = [], dict.fromkeys(by, 0)
+    for s in plain_mix(counts, {s: mixing.TARGETS.get(s, 1) for s in by}):
+        want += by[s][4 * used[s] : 4 * used[s] + 4]
+        used[s] += 1
+    bucket_rows = -(-len(rows) // 50)
+    assert -(-len(rows) // bucket_rows) == 50
+    got = [r["doc_id"] for r in mixing.mix_sources(docs, block_rows=4, bucket_rows=bucket_rows).collect()]
+    assert got == want
+
+
+def test_mix_leaves_columns_alone(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", f"s{k % 3}", k, k, k) for k in range(50)], "doc_id long, text string, source string, _hash int, _slot int, row int")
+    got = mixing.mix_sources(docs)
+    assert got.columns == docs.columns and sorted(got.collect()) == sorted(docs.collect())
+
+
+def test_mix_of_a_hot_id(spark):
+    docs = spark.createDataFrame([(None if k % 3 else k, f"t{k}", "s") for k in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix_report(docs, bucket_rows=100).collect()
+    assert len({(r["slot"], r["seat"]) for r in got}) == len(got) == 3000
+
+
 # --- lines ----------------------------------------------------------------------------------------------------------
 
 
