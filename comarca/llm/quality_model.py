@@ -14,6 +14,7 @@ from comarca.llm.quality_rules import repeat_words
 from comarca.llm.words import NOT_SPACE, Words, lower, slices, table
 
 WORDS = 2048  # hashed word features
+SLICE_ROWS = 1_000  # texts whose features are held at once, 25 KB each
 TRAIN_ROWS = 12_000  # at most so many labelled rows are fitted, those of smallest hashed id
 RANK = 8
 EPOCHS = 12
@@ -127,18 +128,21 @@ def held_out(doc_id):
 def train(documents: DataFrame, labels: DataFrame, most=TRAIN_ROWS) -> list[float]:
     """Fit on at most ``most`` labelled rows that are not held out; returns the packed weights.
 
-    Contradictory or repeated labels of a document count as one label, the smaller; null labels are left out.
+    Contradictory or repeated labels of a document count as one label, the smaller; null labels are left out. Of the rows
+    that repeat a labelled id, the text of least hash is fitted, so the sample has at most ``most`` rows.
     The sample is fitted in one task of bounded size, and only the weights come back.
     """
     marked = with_text(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # ``chosen`` has at most ``most`` rows of two numbers
-    sample = with_text(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = with_text(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")
+    )
 
     def extract(batches):
         for batch in batches:
-            for row, data, offsets in slices(batch.column("text"), 1 << 19):
+            for row, data, offsets in slices(batch.column("text"), 1 << 19, SLICE_ROWS):
                 x = features(data, offsets)
                 rows = [x[i].astype(np.float16).tobytes() for i in range(len(x))]
                 n = len(rows)
@@ -151,7 +155,7 @@ def train(documents: DataFrame, labels: DataFrame, most=TRAIN_ROWS) -> list[floa
 
     def learn(batches):
         rows = pd.concat([pd.DataFrame({"doc_id": [], "quality": [], "x": []}), *batches])
-        rows = rows.drop_duplicates(["doc_id", "x"]).sort_values(["doc_id", "x"]).head(most)
+        rows = rows.sort_values("doc_id")
         x = np.array([np.frombuffer(b, np.float16) for b in rows["x"]], np.float32).reshape(-1, SIZE)
         yield pd.DataFrame({"weights": [fit(x, rows["quality"].to_numpy(np.float64)).pack().tolist()]})
 
@@ -159,7 +163,10 @@ def train(documents: DataFrame, labels: DataFrame, most=TRAIN_ROWS) -> list[floa
 
 
 def score_quality(documents: DataFrame, weights) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``documents(doc_id, text)``; null texts are empty ones."""
+    """``doc_id, held_out, score, predicted`` of every row of ``documents(doc_id, text)``.
+
+    Null texts are scored as empty ones, texts of any length whole, and rows that repeat an id each.
+    """
     return apply_model(with_text(documents, "doc_id", "text"), weights).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= CUT).cast("int").alias("predicted"),
@@ -177,7 +184,7 @@ def apply_model(documents: DataFrame, weights) -> DataFrame:
     def run(batches):
         machine = Machine.unpack(shared.value)
         for batch in batches:
-            for row, data, offsets in slices(batch.column(batch.schema.get_field_index("text")), 1 << 19):
+            for row, data, offsets in slices(batch.column(batch.schema.get_field_index("text")), 1 << 19, SLICE_ROWS):
                 x = features(data, offsets)
                 part = batch.slice(row, len(x))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.score(x))], [*kept, name])

@@ -43,12 +43,13 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def slices(column, size=SLICE):
-    """``(first row, bytes, offsets from 0)`` of consecutive rows holding about ``size`` bytes."""
+def slices(column, size=SLICE, most=None):
+    """``(first row, bytes, offsets from 0)`` of consecutive rows holding about ``size`` bytes, ``most`` rows at most."""
     data, offsets = texts_of(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        last = min(last, row + (most or rows))
         yield row, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
 
