@@ -42,10 +42,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, slot, seat, n_words, n_tokens, ids, round_trip`` in the order of the mix, which ``slot, seat`` tell."""
-    placed = mixing.mix_places(docs.select("doc_id", "text", "source"))
-    placed = placed.withColumnsRenamed({"_slot": "slot", "_seat": "seat"})
+    placed = mixing.mix_places(docs.select("doc_id", "text", "source"), names=("slot", "seat", "block"))
     encoded = pieces.encode(placed, carry=("slot", "seat"))
-    return encoded.repartitionByRange("slot").sortWithinPartitions("slot", "seat")
+    return mixing.in_order(encoded, mixing.count_slots(docs), "slot", "seat")
 
 
 STAGES = [
