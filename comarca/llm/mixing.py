@@ -14,7 +14,7 @@ from math import gcd, lcm
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from comarca.llm.frames import fresh, with_text
+from comarca.llm.frames import fresh
 
 BLOCK_ROWS = 16
 BUCKET_ROWS = 2_000
@@ -95,9 +95,14 @@ def whole_weights(weights: dict) -> dict:
     return {s: int(p * scale) for s, p in parts.items()}
 
 
+def hash_of(documents, seed=0):
+    """What the rows of a source are ordered by."""
+    return F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in documents.columns], F.lit(seed))
+
+
 def mix_places(
     documents: DataFrame, targets=TARGETS, default=DEFAULT, block_rows=BLOCK_ROWS, seed=0, bucket_rows=BUCKET_ROWS, most=PLAN_ROWS,
-    names=("_slot", "_seat", "_block"),
+    names=("_slot", "_seat", "_block"), spot=None,
 ):
     """All columns of ``documents(doc_id, source)`` and three ``names``: slot of the row's block, seat in it, block of its source.
 
@@ -105,16 +110,15 @@ def mix_places(
     ``text``, then by id; rows equal in these take neighbouring places in any order. Rows are numbered inside hash buckets of about ``bucket_rows`` rows,
     and one count per source and bucket is put in sequence, so a source of any size is spread over many tasks, and so
     are rows without an id or of one id if their texts differ. The driver sees one count per source, and a plan of
-    at most ``most`` rows. An empty table has no places. Columns of ``documents`` may have any names but the three.
+    at most ``most`` rows. ``spot`` names a column that has the hash already (``hash_of``). An empty table has no places. Columns of ``documents`` may have any names but the three.
     """
     if taken := {c.lower() for c in documents.columns} & {n.lower() for n in names}:
         raise ValueError(f"documents have columns {sorted(taken)}")
     total = documents.count()
     pieces = max(1, -(-total // bucket_rows))
-    content = [F.col(c) for c in ("doc_id", "text") if c in documents.columns]
     rows = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id",
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("name"), F.xxhash64(*content, F.lit(seed)).alias("hash"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("name"), (F.col(spot) if spot else hash_of(documents, seed)).alias("hash"),
     ).withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 8), F.lit(pieces)))
     sizes = rows.groupBy("name", "bucket").agg(F.count("*").alias("n"))
     before = W.partitionBy("name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -172,7 +176,9 @@ def mix_sources(documents: DataFrame, **options) -> DataFrame:
 
 def mix_report(documents: DataFrame, **options) -> DataFrame:
     """``doc_id, source, slot, block, seat`` of every row; null and repeated ids, ties and null sources as in ``mix_places``."""
-    placed = mix_places(with_text(documents, "doc_id", "source", *(c for c in documents.columns if c == "text")), **options)
+    # texts are hashed where they are read and go no further
+    named = documents.select("doc_id", "source", hash_of(documents, options.get("seed", 0)).alias("spot"))
+    placed = mix_places(named, **options, spot="spot")
     return placed.select(
         "doc_id", "source", F.col("_slot").alias("slot"), F.col("_block").cast("long").alias("block"),
         F.col("_seat").cast("long").alias("seat"),

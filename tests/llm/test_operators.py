@@ -489,6 +489,8 @@ def test_mix_rows_equal_a_plain_mix(spark, small):
     assert -(-len(rows) // bucket_rows) == 50
     got = [r["doc_id"] for r in mixing.mix_sources(docs, block_rows=4, bucket_rows=bucket_rows).collect()]
     assert got == want
+    report = mixing.mix_report(docs, block_rows=4, bucket_rows=bucket_rows).orderBy("slot", "seat").collect()
+    assert [r["doc_id"] for r in report] == want
 
 
 def test_mix_leaves_columns_alone(spark):
