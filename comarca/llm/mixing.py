@@ -116,40 +116,46 @@ def mix_places(
         raise ValueError(f"documents have columns {sorted(taken)}")
     total = documents.count()
     pieces = max(1, -(-total // bucket_rows))
-    rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id",
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("name"), (F.col(spot) if spot else hash_of(documents, seed)).alias("hash"),
-    ).withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 8), F.lit(pieces)))
-    sizes = rows.groupBy("name", "bucket").agg(F.count("*").alias("n"))
-    before = W.partitionBy("name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("name", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = W.partitionBy("name", "bucket").orderBy("hash", "doc_id")
-    counts = {r[0]: r[1] for r in rows.groupBy("name").count().limit(most + 1).collect()}
+    # plain columns rather than a struct of them, so that equal shuffles of several readers are made once
+    name, hashed, bucket, n, start, at, block, seat, span, k = fresh(
+        documents, "_name", "_hash", "_bucket", "_n", "_start", "_at", "_in_source", "_in_block", "_span", "_k"
+    )
+    rows = documents.withColumns({
+        name: F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")),
+        hashed: F.col(spot) if spot else hash_of(documents, seed),
+    }).withColumn(bucket, F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(pieces)))
+    sizes = rows.groupBy(name, bucket).agg(F.count("*").alias(n))
+    before = W.partitionBy(name).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(name, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = W.partitionBy(name, bucket).orderBy(hashed, "doc_id")
+    counts = {r[0]: r[1] for r in rows.groupBy(name).agg(F.count("*")).limit(most + 1).collect()}
     if len(counts) > most:
         raise ValueError(f"more than {most} sources")
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    blocks = {s: -(-c // block_rows) for s, c in counts.items()}
     wanted = whole_weights({s: targets.get(s[1:] if s != "-" else None, default) for s in counts})
     found = phases(blocks, wanted, most)
     spark = documents.sparkSession
-    # both have at most ``most`` rows
+    # both have at most ``most`` rows; the plan of a span is one struct, so that its names meet no column of the documents
     spans = spark.createDataFrame(
-        [(*f[:6], i) for i, f in enumerate(found)], "name string, first long, end long, begin long, w long, period long, span long"
-    )
-    places = spark.createDataFrame(
-        [(i, k, p) for i, f in enumerate(found) for k, p in enumerate(f[6])], "span long, k long, place long"
+        [(f[0], i, tuple(f[1:6])) for i, f in enumerate(found)],
+        "name string, span long, plan struct<first: long, end: long, begin: long, w: long, period: long>",
     )
+    places = spark.createDataFrame([(i, j, p) for i, f in enumerate(found) for j, p in enumerate(f[6])], "span long, k long, place long")
+    planned, plan, place = fresh(rows, "_planned", "_plan", "_place")
     numbered = (
-        rows.withColumn("at", F.row_number().over(inside) - 1)
-        .join(starts, ["name", "bucket"])
-        .withColumn("at", F.col("at") + F.col("start"))
-        .select("row", "name", F.floor(F.col("at") / block_rows).alias("block"), (F.col("at") % block_rows).alias("seat"))
+        rows.withColumn(at, F.row_number().over(inside) - 1)
+        .join(starts, [name, bucket])
+        .withColumn(at, F.col(at) + F.col(start))
+        .withColumns({block: F.floor(F.col(at) / block_rows), seat: F.col(at) % block_rows})
     )
-    spans = F.broadcast(spans.withColumnRenamed("name", "planned"))
-    fits = (F.col("name") == F.col("planned")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
-    step = F.col("block") - F.col("first")
-    placed = numbered.join(spans, fits).withColumn("k", step % F.col("w")).join(F.broadcast(places), ["span", "k"])
-    slot = F.col("begin") + F.floor(step / F.col("w")) * F.col("period") + F.col("place")
-    return placed.select("row.*", slot.cast("long").alias(names[0]), F.col("seat").alias(names[1]), F.col("block").alias(names[2]))
+    part = lambda field: F.col(f"{plan}.{field}")
+    fits = (F.col(name) == F.col(planned)) & (F.col(block) >= part("first")) & (F.col(block) < part("end"))
+    step = F.col(block) - part("first")
+    placed = numbered.join(F.broadcast(spans.toDF(planned, span, plan)), fits).withColumn(k, step % part("w"))
+    placed = placed.join(F.broadcast(places.toDF(span, k, place)), [span, k])
+    slot = part("begin") + F.floor(step / part("w")) * part("period") + F.col(place)
+    kept = [F.col(f"`{c}`") for c in documents.columns]
+    return placed.select(*kept, slot.cast("long").alias(names[0]), F.col(seat).alias(names[1]), F.col(block).alias(names[2]))
 
 
 def count_slots(documents: DataFrame, block_rows=BLOCK_ROWS) -> int:
