@@ -1,18 +1,25 @@
 """Visit merging with one state per user and segment, kept by Spark between micro-batches.
 
 The state is the newest accepted write of a key. It starts from stored visits, is versioned and recovered with the
-stream's progress, and a batch reads and writes the keys of its items only. Accepted states and conflicts go to one
-folder of files; Spark's own log of that folder counts the files of a repeated batch once.
+stream's progress, and a batch reads and writes the keys of its items only. Keys are dealt into buckets, each a group of
+the stream with a map of its keys' states, so that what a group costs is paid once a bucket and not once a key. Accepted
+states and conflicts go to one folder of files; Spark's own log of that folder counts the files of a repeated batch once.
 """
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from itertools import groupby
+from operator import attrgetter
+
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from comarca.functions.text import iso
 from comarca.operators.visits import KEYS, STATE, _timed, replace_rows
 from comarca.sources.writers import keep_last
 
+#: Groups that the keys are dealt into. A stream keeps the number it started with.
+BUCKETS = 4096
+_BUCKET = "bucket"
+_KEY = "user_id string, segment_id long"
 _NOW = "t long, visited boolean, notes string, source string, version long"
 #: ``version`` counts the accepted writes of a key; rows without it are conflicts.
 RESULT = """
@@ -21,62 +28,62 @@ RESULT = """
 """
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROW = Row(*[c.split()[0] for c in RESULT.split(",")])
+
 
+def _key_order(row):
+    return (row.user_id is not None, row.user_id or "", row.segment_id is not None, row.segment_id or 0)
 
-def _plain(value):
-    return None if value is None or value is pd.NA or value != value else value
+
+def _order(row):
+    """Items of a key as they were queued; equal ones by time and then by the rest of the row, nulls first."""
+    return (
+        *_key_order(row), row.seq, row.t, row.visited is not None, row.visited or False,
+        row.notes is not None, row.notes or "", row.source is not None, row.source or "",
+    )
 
 
 class Merge(StatefulProcessor):
     """Last write wins by time; equal times go to the later item. One output row per conflict and per changed key."""
 
     def init(self, handle):
-        self.now = handle.getValueState("now", _NOW)
+        self.now = handle.getMapState("now", _KEY, _NOW)
 
     def handleInitialState(self, key, initialState, timerValues):
-        for row in initialState.itertuples(index=False):
-            self.now.update((int(row.t), bool(row.visited) if _plain(row.visited) is not None else None, _plain(row.notes), _plain(row.source), 0))
+        row = initialState
+        self.now.updateValue((row.user_id, row.segment_id), (row.t, row.visited, row.notes, row.source, 0))
 
     def handleInputRows(self, key, rows, timerValues):
-        """Items of one key in one batch, ordered as they were queued; trigger limits bound their number."""
-        items = pd.concat(list(rows))
-        order = ["seq", "t", "visited", "notes", "source"]
-        items = items.sort_values(order, kind="stable", na_position="first")
-        met = self.now.get() if self.now.exists() else None
-        start, out = met, []
-        for row in items[[*order, "sent_at"]].itertuples(index=False):
-            seq, t, sent_at = int(row.seq), int(row.t), _plain(row.sent_at)
-            visited, notes, source = _plain(row.visited), _plain(row.notes), _plain(row.source)
-            visited = None if visited is None else bool(visited)
-            if met is not None and t < met[0]:
-                out.append((*key, None, seq, visited, t, notes, source, sent_at, met[1], met[0], met[2]))
-            else:
-                met = (t, visited, notes, source, (met[4] if met is not None else 0) + 1)
-        if met is not start:
-            self.now.update(met)
-            out.append((*key, met[4], None, met[1], met[0], met[2], met[3], None, None, None, None))
-        kinds = {"long": "Int64", "boolean": "boolean", "string": "object"}
-        if out:
-            # typed one by one: numbers beside nulls would pass through floating point
-            fields = [c.split() for c in RESULT.split(",")]
-            yield pd.DataFrame({name: pd.array(v, kinds[kind]) for (name, kind), v in zip(fields, zip(*out))})
+        """Items of the keys of one bucket in one batch; trigger limits bound their number."""
+        for pair, items in groupby(sorted(rows, key=_order), attrgetter(*KEYS)):
+            start = self.now.getValue(pair)
+            met = start = tuple(start) if start is not None else None
+            for row in items:
+                if met is not None and row.t < met[0]:
+                    yield _ROW(*pair, None, row.seq, row.visited, row.t, row.notes, row.source, row.sent_at, met[1], met[0], met[2])
+                else:
+                    met = (row.t, row.visited, row.notes, row.source, (met[4] if met is not None else 0) + 1)
+            if met is not start:
+                self.now.updateValue(pair, met)
+                yield _ROW(*pair, met[4], None, met[1], met[0], met[2], met[3], None, None, None, None)
 
     def close(self):
         pass
 
 
-def keyed_sync(items, state) -> DataFrame:
+def keyed_sync(items, state, buckets=BUCKETS) -> DataFrame:
     """Stream of ``RESULT`` rows for a stream of queue items (``VISIT_ITEM``), starting from ``state`` (``VISIT``).
 
     Items with an unreadable time are left out and an item without ``seq`` is an error, as in ``fold``. Items of a later
     batch come after those of earlier ones, whatever their ``seq``.
     """
-    known = state.select(*KEYS, F.unix_micros("visited_at").alias("t"), "visited", "notes", "source").where("t is not null")
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).alias(_BUCKET)
+    known = state.select(bucket, *KEYS, F.unix_micros("visited_at").alias("t"), "visited", "notes", "source").where("t is not null")
     timed = _timed(items).select(
-        *KEYS, "seq", F.unix_micros("t").alias("t"), "visited", "notes", "source", F.col("visited_at").alias("sent_at")
+        bucket, *KEYS, "seq", F.unix_micros("t").alias("t"), "visited", "notes", "source", F.col("visited_at").alias("sent_at")
     )
-    return timed.groupBy(*KEYS).transformWithStateInPandas(
-        Merge(), outputStructType=RESULT, outputMode="Append", timeMode="None", initialState=known.groupBy(*KEYS)
+    return timed.groupBy(_BUCKET).transformWithState(
+        Merge(), outputStructType=RESULT, outputMode="Append", timeMode="None", initialState=known.groupBy(_BUCKET)
     )
 
 

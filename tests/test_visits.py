@@ -218,3 +218,31 @@ def test_keyed_state_equals_fold_and_resumes(spark, tmp_path):
         assert read(keyed_state(spark, results, stored)) == want
         lost = sorted((r.user_id, r.segment_id, r.seq, r.server_visited, r.server_notes) for r in keyed_conflicts(spark, results).collect())
         assert lost == want_lost
+
+
+def test_keyed_merge_takes_many_keys_at_once():
+    """What a group of the stream costs is paid for many keys, also null ones and ids beyond what a double holds."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from comarca.streaming.keyed import Merge
+
+    class Map(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    item = Row("user_id", "segment_id", "seq", "t", "visited", "notes", "source", "sent_at")
+    big = (1 << 60) + 1
+    merge, store = Merge(), Map()
+    merge.init(SimpleNamespace(getMapState=lambda *_: store))
+    merge.handleInitialState((0,), Row("user_id", "segment_id", "t", "visited", "notes", "source")("a", 1, 5, True, "old", "s"), None)
+    rows = [item(u, s, 2, 4, True, None, "w", "4") for u, s in (("a", 1), ("a", big), (None, None))]
+    rows += [item("a", big, 1, 7, None, "n", "w", "7"), item(None, None, 3, 4, False, "z", None, "4")]
+    out = [tuple(r) for r in merge.handleInputRows((0,), iter(rows), None)]
+    assert sorted(out, key=str) == sorted([
+        ("a", 1, None, 2, True, 4, None, "w", "4", True, 5, "old"),
+        ("a", big, None, 2, True, 4, None, "w", "4", None, 7, "n"),
+        ("a", big, 1, None, None, 7, "n", "w", None, None, None, None),
+        (None, None, 2, None, False, 4, "z", None, None, None, None, None),
+    ], key=str)
+    assert store == {("a", 1): (5, True, "old", "s", 0), ("a", big): (7, None, "n", "w", 1), (None, None): (4, False, "z", None, 2)}
