@@ -1,11 +1,12 @@
 """Clusters, components, merged routes and density grids over whole tables."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from comarca.checks.registry import check
 from comarca.checks.scalars import POINTS, located
 from comarca.operators import components, dbscan, density, linemerge
-from comarca.scale import exact_quantiles
+from comarca.scale import HOT_ROWS, exact_quantiles
+from comarca.session import stored
 
 PI = "3.141592653589793"
 MET = f"""SELECT id, lon, lat, radians(lon) * 6378137.0 AS x, ln(tan({PI} / 4 + radians(lat) / 2)) * 6378137.0 AS y
@@ -151,9 +152,12 @@ def p18(t):
     FROM {route_lines} WHERE ax <> bx OR ay <> by_ GROUP BY route_id""")
 def g4_totals(t):
     vertices = linemerge.route_vertices(*_route_parts(t))
-    after = vertices.select("route_id", "line_id", (F.col("pos") - 1).alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    steps = vertices.join(after, ["route_id", "line_id", "pos"]).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    # lines are cut into pieces, so a long one is shared by many tasks; where two pieces meet, both have the vertex
+    here = F.floor(F.col("pos") / HOT_ROWS)
+    pieces = F.when((F.col("pos") % HOT_ROWS == 0) & (here > 0), F.array(here - 1, here)).otherwise(F.array(here))
+    line = W.partitionBy("route_id", "line_id", "piece").orderBy("pos")
+    dx, dy = F.col("x") - F.lag("x").over(line), F.col("y") - F.lag("y").over(line)
+    steps = vertices.withColumn("piece", F.explode(pieces)).select("route_id", F.row_number().over(line).alias("k"), F.sqrt(dx * dx + dy * dy).alias("d")).where("k > 1")
     return steps.groupBy("route_id").agg(F.count("*").alias("edges"), F.round(F.sum("d"), 6).alias("length"))
 
 
@@ -168,14 +172,14 @@ ENDS = """
 def g4_ends(t):
     """Where merged lines end: at every node that is not passed by exactly two lines, once per line."""
     segments, listed = _route_parts(t)
-    vertices = linemerge.route_vertices(segments, listed)
+    lines = stored(linemerge.route_lines(segments, listed))
+    vertices = linemerge.merge_lines(lines)
     tips = vertices.groupBy("route_id", "line_id").agg(
         F.min_by(F.struct("x", "y"), "pos").alias("first"), F.max_by(F.struct("x", "y"), "pos").alias("last")
     )
     ends = tips.select("route_id", F.explode(F.array("first", "last")).alias("v")).select("route_id", "v.x", "v.y")
     counted = ends.groupBy("route_id", "x", "y").agg(F.count("*").alias("ends"))
-    base = linemerge.route_lines(segments, listed)
-    nodes = base.select("route_id", F.explode(F.array(F.element_at("geom", 1), F.element_at("geom", -1))).alias("v"))
+    nodes = lines.select("route_id", F.explode(F.array(F.element_at("geom", 1), F.element_at("geom", -1))).alias("v"))
     degree = nodes.groupBy("route_id", "v.x", "v.y").agg(F.count("*").alias("degree")).where("degree <> 2")
     return counted.join(degree, ["route_id", "x", "y"]).select("route_id", "x", "y", "ends")
 

@@ -2,16 +2,28 @@
 
 Lines are joined where exactly two line ends of the route meet. Chains are ordered by pointer
 doubling: every directed line learns in log2(length) rounds how far it is from the end of its
-chain, so no chain is ever brought into one task.
+chain. Routes of up to ``LOCAL`` vertices are dealt out whole and a task doubles the pointers of
+many routes at once; the rounds over larger ones are joins, so no such chain is ever brought into
+one task.
 """
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from comarca.functions.geo import line_geometry
 from comarca.scale import HOT_ROWS, number_rows, skew_join
-from comarca.session import durable
+from comarca.session import durable, stored
 
 MOST_ROUNDS = 62
+LOCAL = 200_000  # vertices of a route, about 100 bytes each in a task
+
+# the task functions travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _tidy(line):
@@ -141,12 +153,131 @@ def _open_rings(arcs, tails):
     ).drop("start")
 
 
+def _ordered(column):
+    """Two arrays that order coordinates as Spark does, nulls first and NaN last."""
+    return np.asarray(column.is_valid()), np.asarray(column.fill_null(0.0)) + 0.0
+
+
+def _same(values):
+    """Whether each element but the first equals the one before, NaN also."""
+    return (values[1:] == values[:-1]) | ((values[1:] != values[1:]) & (values[:-1] != values[:-1]))
+
+
+def _jumps(follow, ahead, forwards, rounds):
+    """Pointer doubling over arcs: the last arc, and hops, edges and forward arcs that come after."""
+    some = follow >= 0
+    to = np.where(some, follow, np.arange(len(follow)))
+    hops, ahead, forwards = (np.where(some, v, 0) for v in (np.ones(len(to), np.int64), ahead[to], forwards[to]))
+    for _ in range(rounds):
+        hops, ahead, forwards, to = hops + hops[to], ahead + ahead[to], forwards + forwards[to], to[to]
+    return to, hops, ahead, forwards
+
+
+def _merge_whole(rows):
+    """Vertices of the merged lines of whole routes, rows ordered by route and segment; steps and ties as in ``_merge_far``."""
+    geom, n = rows["geom"], rows.num_rows
+    begin = np.asarray(geom.offsets)[: n + 1].astype(np.int64)
+    x, y = geom.values.flatten()
+    begin, x, y = begin - begin[0], x.slice(begin[0], begin[-1] - begin[0]), y.slice(begin[0], begin[-1] - begin[0])
+    # arcs and ends by number: forward twice the row, backward one more; an end is the arc that leaves by it
+    arcs = np.arange(2 * n)
+    edges = np.repeat(np.diff(begin) - 1, 2)
+    tail = np.column_stack([begin[:-1], begin[1:] - 1]).ravel()
+    route = np.repeat(np.asarray(rows["route_id"].dictionary_encode().indices), 2)
+    keys = [v[tail] for c in (x, y) for v in _ordered(c)]
+    order = np.lexsort((arcs, *reversed(keys), route))
+    alike = np.logical_and.reduce([_same(v[order]) for v in (route, *keys)])
+    starts = np.flatnonzero(np.r_[True, ~alike])
+    pairs = starts[np.diff(np.r_[starts, 2 * n]) == 2]
+    p, q = order[pairs], order[pairs + 1]
+    follow = np.full(2 * n, -1)
+    # who arrives by one end leaves by the other; arriving is the reverse of leaving
+    follow[p ^ 1], follow[q ^ 1] = q, p
+    rounds = int(2 * np.bincount(route[::2]).max()).bit_length()
+    to, *found = _jumps(follow, edges, 1 - arcs % 2, rounds)
+    rings = follow[to] >= 0
+    if rings.any():
+        # cut each ring before the arc that leaves its smallest node
+        place = np.empty(2 * n, np.int64)
+        place[np.lexsort((arcs, *reversed(keys)))] = arcs
+        low, at = place.copy(), np.where(follow >= 0, follow, arcs)
+        for _ in range(rounds):
+            low, at = np.minimum(low, low[at]), at[at]
+        follow = np.where(rings & (place[follow] == low), -1, follow)
+        to, *found = _jumps(follow, edges, 1 - arcs % 2, rounds)
+    hops, ahead, forwards = found
+    count, first, least = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64), np.full(2 * n, n)
+    np.maximum.at(count, to, hops + 1)
+    leads = count[to] == hops + 1
+    first[to[leads]] = arcs[leads]
+    np.minimum.at(least, to, arcs // 2)
+    # the other direction starts with the reverse of the last arc
+    forward = (forwards[first] + 1 - first % 2) * 2
+    kept = (count > 0) & ((forward > count) | ((forward == count) & (first < arcs ^ 1)))
+    chosen = arcs[kept[to]]
+    chosen = chosen[np.lexsort((-hops[chosen], to[chosen]))]
+    last, lead = to[chosen], leads[chosen]
+    length = ahead[first[last]] + edges[first[last]]
+    start = length - ahead[chosen] - edges[chosen]
+    sizes = edges[chosen] + lead
+    row = np.repeat(np.arange(len(chosen)), sizes)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + ~lead[row]
+    vertex = tail[chosen][row] + np.where(chosen[row] % 2 == 1, -j, j)
+    line = least[last][row]
+    return pa.RecordBatch.from_arrays(
+        [rows["route_id"].take(line), rows["segment_id"].take(line), pa.array(start[row] + j), x.take(vertex), y.take(vertex)],
+        ["route_id", "line_id", "pos", "x", "y"],
+    )
+
+
+def _merge_near(lines):
+    """``merge_lines`` for routes that a task can hold."""
+
+    def merge(table):
+        return _merge_whole(table.combine_chunks().to_batches()[0])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            met = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, met]) if held else met
+            # a route may go on in the next batch
+            open_ = pc.index(table["route_id"], table["route_id"][-1]).as_py()
+            if open_:
+                yield merge(table.slice(0, open_))
+            held = table.slice(open_)
+        if held:
+            yield merge(held)
+
+    types = {f.name: f.dataType.simpleString() for f in lines.schema}
+    v = lines.schema["geom"].dataType.elementType
+    schema = (
+        f"route_id {types['route_id']}, line_id {types['segment_id']}, pos long, "
+        f"x {v['x'].dataType.simpleString()}, y {v['y'].dataType.simpleString()}"
+    )
+    dealt = lines.select("route_id", "segment_id", "geom").repartition("route_id").sortWithinPartitions("route_id", "segment_id")
+    return dealt.mapInArrow(run, schema)
+
+
 def merge_lines(lines) -> DataFrame:
     """Vertices of the merged lines: ``route_id, line_id, pos, x, y``.
 
-    ``lines`` has route_id, segment_id (long) and geom. A line is named by its smallest segment
+    ``lines`` has route_id, segment_id (long) and geom; it is read twice. A line is named by its smallest segment
     id and runs in the direction of most of its segments.
     """
+    lines = lines.where("route_id is not null and segment_id is not null")
+    sizes = lines.groupBy("route_id").agg(F.sum(F.size("geom")).alias("n"))
+    large = durable(sizes.where(F.col("n") > LOCAL).select("route_id"))  # a row per LOCAL vertices at most
+    if large.isEmpty():
+        return _merge_near(lines)
+    near = _merge_near(lines.join(F.broadcast(large), "route_id", "left_anti"))
+    return near.unionByName(_merge_far(lines.join(F.broadcast(large), "route_id", "left_semi")))
+
+
+def _merge_far(lines):
+    """``merge_lines`` for routes of any size."""
     lines = durable(lines)
     # ids may take all 64 bits, so segments are numbered in the order of their ids
     numbers = number_rows(lines.select("segment_id").distinct(), ["segment_id"], "_n")
@@ -200,7 +331,7 @@ def merge_lines(lines) -> DataFrame:
 
 def route_vertices(segments, route_segments) -> DataFrame:
     """Merged lines of many routes in long form, one row per vertex."""
-    return merge_lines(route_lines(segments, route_segments))
+    return merge_lines(stored(route_lines(segments, route_segments)))
 
 
 def build_routes(segments, routes, route_segments, most_vertices=1_000_000) -> DataFrame:
@@ -209,7 +340,7 @@ def build_routes(segments, routes, route_segments, most_vertices=1_000_000) -> D
     A geometry is one value, so the largest route is checked first; take ``route_vertices`` for
     routes beyond ``most_vertices``.
     """
-    vertices = durable(route_vertices(segments, route_segments))
+    vertices = stored(route_vertices(segments, route_segments))
     sizes = vertices.groupBy("route_id").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n")).first()[0]
     if largest and largest > most_vertices:

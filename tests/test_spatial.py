@@ -348,3 +348,32 @@ def test_long_chain_takes_the_split_path(spark, monkeypatch):
     monkeypatch.setattr(linemerge, "HOT_ROWS", 10)
     lines = {i: line((i, 0), (i + 1, 0)) for i in range(40)} | {100: line((0, 5), (1, 5))}
     assert merged(spark, lines) == {0: line(*[(i, 0) for i in range(41)]), 100: lines[100]}
+
+
+def test_whole_routes_merge_as_large_ones(spark, monkeypatch):
+    """A task merges many routes at once, with the lines that the joins over large routes find; some routes are too large."""
+    rng, rows = random.Random(5), []
+    odd = [0.0, -0.0, None, float("nan"), 1.0]
+    for route in range(60):
+        near = lambda: rng.choice(odd) if route % 6 == 0 else float(rng.randrange(3))
+        for _ in range(rng.choice([1, 2, 3, 9, 30])):
+            rows.append((route, rng.choice([1, -1]) * len(rows), [(near(), near()) for _ in range(rng.choice([2, 2, 4]))]))
+        ring = [(9.0 + rng.random(), rng.random()) for _ in range(rng.choice([0, 1, 2, 5]))]
+        for a, b in zip(ring, ring[1:] + ring[:1]):
+            way = [a, b] if a != b else [a, (20.0, 20.0), a]
+            rows.append((route, len(rows), way if rng.random() < 0.5 else way[::-1]))
+    rows += [(None, 1 << 40, [(0.0, 0.0), (1.0, 0.0)]), (1, None, [(0.0, 0.0), (1.0, 0.0)])]
+    lines = spark.createDataFrame(rows, "route_id long, segment_id long, geom array<struct<x: double, y: double>>")
+    lines = lines.withColumn("geom", linemerge._tidy("geom")).where("size(geom) > 1").localCheckpoint()
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")  # routes go on from batch to batch
+    try:
+        read = lambda df: sorted(repr(tuple(r)) for r in df.selectExpr("route_id", "line_id", "pos", "x + 0d", "y + 0d").collect())
+        found = []
+        for most in (200_000, 20, 0):
+            monkeypatch.setattr(linemerge, "LOCAL", most)
+            found.append(read(linemerge.merge_lines(lines)))
+    finally:
+        spark.conf.set(batch, before)
+    assert found[0] and found[0] == found[1] == found[2]
