@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from comarca import fixed
 from comarca.checks.registry import check
-from comarca.checks.scalars import POINTS, _case, _in, digits, HUB, located
+from comarca.checks.scalars import POINTS, _case, _in, digits, HUB, located, located_once
 from comarca.functions import geo, labels, text
 from comarca.operators import analytics, cleaning, filters
 from comarca.operators.nearest import nearest_centres
@@ -405,7 +405,7 @@ def a6_many(t):
 
 @check("j8_nearest_centres", f"SELECT id, cluster_id FROM ({NEAREST}) AS s")
 def j8_centres(t):
-    points = located(t).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    points = located_once(t, ["id", F.col("lon").alias("x"), F.col("lat").alias("y")])
     return points.join(nearest_centres(points, _centres(t)), ["x", "y"]).select("id", "cluster_id")
 
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from comarca import fixed
 from comarca.checks.registry import check
 from comarca.functions import geo, labels, text
+from comarca.scale import pieces_for
+from comarca.session import stored
 
 
 def _case(subject, pairs, other):
@@ -75,6 +77,15 @@ def located(t):
     return geo.with_synthetic_point(t.est, "cnpj_completo", "business_type", "municipio")
 
 
+def located_once(t, columns):
+    """``columns`` of ``located``, worked out once and stored.
+
+    The hash of a name takes long beside reading it, so rows are dealt out first: a table of millions may be one small file.
+    """
+    dealt = t.est.repartition(pieces_for(t.est))
+    return stored(geo.with_synthetic_point(dealt, "cnpj_completo", "business_type", "municipio").select(*columns))
+
+
 @check("f1_lenient_numbers", f"""
     SELECT id, CASE WHEN regexp_matches(trim(number_text), {NUMBER})
             THEN CAST(trim(number_text) AS DOUBLE) END AS number,

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W, functions as F
 
 from comarca.checks.registry import check
-from comarca.checks.scalars import POINTS, located
+from comarca.checks.scalars import POINTS, located, located_once
 from comarca.operators import components, dbscan, density, linemerge
 from comarca.scale import HOT_ROWS, exact_quantiles
 from comarca.session import stored
@@ -238,7 +238,7 @@ def g5(t):
     GROUP BY h, ix, iy, m""")
 def g5_far(t):
     """Logarithm of the density in every cell, however far from the points."""
-    points = density.metric_points(located(t))
+    points = density.metric_points(located_once(t, ["lon", "lat"]))
     stray = points.agg((F.max("x") + 60000).alias("x"), (F.max("y") + 60000).alias("y"))
     found = density.kde_far(points.unionByName(stray), resolution=4000.0)
     return found.select("bandwidth", "ix", "iy", F.round("log_density", 5).alias("log_density"))

@@ -41,3 +41,17 @@ def test_places_that_are_none(spark):
     assert [(r.x, r.n, r.cluster_id, r.d2) for r in nearest_centres(points, centres).collect()] == [(1.0, 1, 5, 128.0)]
     assert nearest_centres(points, centres.limit(0)).collect() == []
     assert nearest_centres(points.limit(0), centres).collect() == []
+
+
+def test_points_of_one_file_are_made_by_many_tasks(spark, tmp_path):
+    """A table in one small file is dealt out before its names are hashed, and the points are worked out once."""
+    from comarca.checks.scalars import located, located_once
+    from comarca.checks.views import Tables
+
+    rows = [(k, f"Customer#{k}", k % 25, float(k % 3 - 1), "MACHINERY") for k in range(300)] + [(None, None, None, None, None)]
+    customer = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    customer.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    tables = Tables(spark, str(tmp_path))
+    found = located_once(tables, ["id", "lon", "lat"])
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, located(tables).select("id", "lon", "lat").collect()))
+    assert found.selectExpr("input_file_name()").distinct().count() > 1 and "md5" not in found._jdf.queryExecution().toString()
