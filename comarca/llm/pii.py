@@ -2,7 +2,7 @@
 
 High-recall generators propose overlapping candidates. Trees score each by its format and its context. They learn from
 evidence apart from the base formats (what is left once disguises are undone, checksums, valid addresses, cue words) and
-from examples written into sampled texts, right ones and look-alikes. The cut of each kind is calibrated for precision
+from examples written into every text, right ones and look-alikes. The cut of each kind is calibrated for precision
 on rows that the trees were not fitted on and that no base span covers. Candidates that pass are taken best first,
 leaving out those that overlap a taken one. Base spans always stay.
 """
@@ -15,7 +15,6 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,14 +22,13 @@ from comarca.llm import boosting
 from comarca.llm.frames import with_text
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
-TRAIN_DOCUMENTS = 20_000  # candidates of at most so many documents, those of smallest hashed id, are looked at
-TRAIN_ROWS = 20_000  # and at most so many candidates are fitted
 PRECISION = 0.98
 CONTEXT = 24  # code points before and after a candidate that count as its context
-PLANTED = 2  # examples written into each sampled document
+PLANTED = 2  # examples written into each document
 EXAMPLES = 2_000  # and examples in plain frames, so that a corpus without personal data gives a model too
 SLICE = 20_000  # candidates scored at once
 ROUNDS, DEPTH = 80, 4  # of the boosted trees
+WIDTH = 31  # features of a candidate, see ``describe``; kept in single precision
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can only start at the start of a run of digits, which spares retries inside long runs
@@ -283,45 +281,54 @@ def planted(text, rng):
     return [(describe(full, *c), right and c == spot) for c in met]
 
 
-def train(documents: DataFrame, most_documents=TRAIN_DOCUMENTS, most=TRAIN_ROWS) -> str:
-    """Fit trees and cuts on the candidates of a bounded sample of documents and on examples written into them.
+def train(documents: DataFrame) -> str:
+    """Fit trees and cuts on the candidates of every document and on examples written into each of them.
 
-    Candidates that overlap a base span stay out, since they are never asked about. Four fifths of the rows are fitted,
-    the rest calibrate the cuts. An empty table leaves the examples in plain frames. Returns the model as JSON.
+    Candidates that overlap a base span stay out, since they are never asked about. Rows of one id and one text count once.
+    About four fifths of the candidates are fitted, the rest calibrate the cuts. An empty table leaves the examples in plain
+    frames. Returns the model as JSON.
     """
-    ids = with_text(documents, "doc_id").where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
-    sample = with_text(documents, "doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
 
     def extract(batches):
         for batch in batches:
             rows = []
-            for i, t in zip(batch["doc_id"], batch["text"]):
+            for i, t in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 key = f"{i}:{hashlib.sha256(t.encode(errors='replace')).hexdigest()}"
                 rng = random.Random(key)
                 made = [row for _ in range(PLANTED) for row in planted(t, rng)]
                 rows += [(f"{key}:{k}", int(right), x) for k, (x, right) in enumerate(made)]
-                rows += [(f"{key}:{c}", int(evidence(t, *c)), describe(t, *c)) for c in uncovered(candidates(t), base_spans(t))]
-            rows = [(hashlib.sha256(k.encode()).hexdigest(), y, x) for k, y, x in rows]
-            # a task hands on no more than could be chosen in the end
-            yield pd.DataFrame(sorted(rows)[:most], columns=["place", "y", "x"])
-
-    def learn(batches):
-        rows = pd.concat([pd.DataFrame({"place": [], "y": [], "x": []}), *batches])
-        rows = rows.sort_values("place").drop_duplicates("place").head(most)
+                for c in uncovered(candidates(t), base_spans(t) if _HINT.search(t) else []):
+                    rows.append((f"{key}:{c}", int(evidence(t, *c)), describe(t, *c)))
+                    if len(rows) >= SLICE:
+                        yield _rows(rows)
+                        rows = []
+            yield _rows(rows)
+
+    def frames(batches):
         rng = random.Random(0)
-        frames = [row for _ in range(EXAMPLES) for row in planted("the text goes on here " * 3, rng)]
-        x = np.array([*rows["x"].tolist(), *(x for x, _ in frames)], float)
-        y = np.array([*rows["y"], *(right for _, right in frames)], float)
-        fold = np.arange(len(y)) % 5 == 0
-        model = boosting.fit(x[~fold], y[~fold], rounds=ROUNDS, depth=DEPTH)
-        scores, kinds = boosting.predict(model, x), x[:, 0]
-        cuts = [boosting.calibrated_cut(scores[m], y[m], PRECISION) for m in (fold & (kinds == k) for k in range(len(KINDS)))]
-        yield pd.DataFrame({"model": [json.dumps({**model, "cuts": [max(0.5, c) for c in cuts]})]})
+        made = [row for _ in range(EXAMPLES) for row in planted("the text goes on here " * 3, rng)]
+        for _ in batches:
+            yield _rows([(f"{k}", int(right), x) for k, (x, right) in enumerate(made)], np.arange(len(made)) % 5)
 
-    found = sample.mapInPandas(extract, "place string, y int, x array<double>").orderBy("place").limit(most)
-    fitted = found.repartition(1).mapInPandas(learn, "model string").first()
-    return fitted[0] if fitted else json.dumps(next(learn([]))["model"][0])
+    found = with_text(documents, "doc_id", "text").where("text is not null").mapInArrow(extract, _ROWS).dropDuplicates(["place"])
+    plain = documents.sparkSession.range(1).coalesce(1).mapInArrow(frames, _ROWS)
+    rows = found.unionByName(plain).select("x", "y", F.expr("fold = 0").alias("held")).persist()
+    fitted, held = rows.where("not held"), rows.where("held")
+    model = boosting.fit_frame(fitted, WIDTH, rounds=ROUNDS, depth=DEPTH)
+    cuts = boosting.calibrated_cuts(held, model, len(KINDS), PRECISION)
+    rows.unpersist()
+    return json.dumps({**model, "cuts": [max(0.5, c) for c in cuts]})
+
+
+_ROWS = "place binary, fold int, y int, x array<float>"
+
+
+def _rows(rows, folds=None):
+    places = [hashlib.sha256(k.encode(errors="replace")).digest()[:16] for k, _, _ in rows]
+    x = np.array([x for _, _, x in rows], np.float32).ravel()
+    lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (len(x) // max(1, len(rows))), x)
+    columns = [pa.array(places, pa.binary()), pa.array([p[0] % 5 for p in places] if folds is None else folds, pa.int32()), pa.array([y for _, y, _ in rows], pa.int32()), lists]
+    return pa.RecordBatch.from_arrays(columns, ["place", "fold", "y", "x"])
 
 
 def uncovered(spans, base):
@@ -362,7 +369,7 @@ def added_spans(texts, bases, model):
 
     def score():
         if rows:
-            scores.append(boosting.predict(model, np.array(rows)))
+            scores.append(boosting.predict(model, np.array(rows, np.float32)))
             rows.clear()
 
     for at, (text, base) in enumerate(zip(texts, bases)):

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import sys
 import time
@@ -359,6 +360,44 @@ def test_boosting():
     assert boosting.calibrated_cut(np.array([0.5, 0.5]), np.array([1.0, 0.0]), 0.9) == 2.0
 
 
+def test_boosting_of_a_table(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 4)).round(2).astype(np.float32)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(int)
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<float>, y int").repartition(3).persist()
+    want = boosting.predict(boosting.fit(x, y.astype(float), rounds=7), x)
+    for small in (0, 1000):  # histograms of all tasks, and one task; the margins are written down once in between
+        model = boosting.fit_frame(rows, 4, rounds=7, small=small)
+        assert np.abs(boosting.predict(model, x) - want).max() < 1e-5
+    for y in (0, 1):
+        assert boosting.fit_frame(rows.where(F.col("y") == y), 4, small=0)["trees"] == []
+    assert boosting.fit_frame(rows.limit(0), 4) == {"start": 0.0, "trees": []}
+    kinds = spark.createDataFrame([([0.0], 1)] * 99 + [([0.0], 0)] + [([1.0], 0)] * 3, "x array<float>, y int")
+    cuts = boosting.calibrated_cuts(kinds, {"start": 2.0, "trees": [[0, 0.5, 1.0, 0.5]]}, 3)
+    assert cuts[0] == pytest.approx(1 / (1 + np.exp(-3))) and cuts[1:] == [2.0, 2.0]
+
+
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghXYZ0123456789") for _ in range(rng.randint(16, 30)))
+    docs = [(i if i % 7 else None, " ".join(word() for _ in range(110))) for i in range(200)]
+    labels = {}
+    for i, t in docs:
+        key = f"{i}:{hashlib.sha256(t.encode()).hexdigest()}"
+        own = random.Random(key)
+        labels |= {f"{key}:{k}": y for k, (_, y) in enumerate([r for _ in range(pii.PLANTED) for r in pii.planted(t, own)])}
+        labels |= {f"{key}:{c}": pii.evidence(t, *c) for c in pii.uncovered(pii.candidates(t), pii.base_spans(t))}
+    assert len(labels) > 22_000
+    own = random.Random(0)
+    plain = [y for _ in range(pii.EXAMPLES) for _, y in pii.planted("the text goes on here " * 3, own)]
+    fitted = [y for k, y in labels.items() if hashlib.sha256(k.encode()).digest()[0] % 5] + [y for k, y in enumerate(plain) if k % 5]
+    share = (sum(fitted) + 1) / (len(fitted) + 2)
+    for rows in (docs, docs + docs[:50]):  # repeated rows count once
+        model = json.loads(pii.train(H.documents(spark, rows)))
+        assert model["start"] == pytest.approx(np.log(share / (1 - share)), abs=1e-12) and len(model["trees"]) == 2
+
+
 # --- url filters ---------------------------------------------------------------------------------------------------
 
 
